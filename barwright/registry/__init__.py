@@ -6,7 +6,7 @@ import importlib
 
 from .core import QUERIES, SQL
 
-MODULES = ("q_tables",)
+MODULES = ("q_tables", "q_windows")
 
 
 def _load() -> None:
