@@ -6,7 +6,7 @@ import importlib
 
 from .core import QUERIES, SQL
 
-MODULES = ("q_tables", "q_windows")
+MODULES = ("q_tables", "q_windows", "q_bundles")
 
 
 def _load() -> None:

@@ -243,14 +243,14 @@ def ti1b(spark, sf):
     return rounded(rsi_simple(narrow(spark, sf)).select("symbol", "date", "rsi"))
 
 
-def seeded(name: str, source: str, column: str, period: int, first: int, out: str) -> str:
+def seeded(name: str, source: str, column: str, period: int, first: int, out: str, key: str = "symbol") -> str:
     k = repr(2.0 / (period + 1)) + "::DOUBLE"
     return f"""
-{name}(symbol, rn, {out}) AS (
-  SELECT symbol, {first}::BIGINT, avg({column}) FROM {source} WHERE rn BETWEEN {first - period + 1} AND {first}
-  GROUP BY symbol HAVING count(*) = {period}
+{name}({key}, rn, {out}) AS (
+  SELECT {key}, {first}::BIGINT, avg({column}) FROM {source} WHERE rn BETWEEN {first - period + 1} AND {first}
+  GROUP BY {key} HAVING count(*) = {period}
   UNION ALL
-  SELECT b.symbol, b.rn, p.{out} * (1.0 - {k}) + b.{column} * {k} FROM {name} p JOIN {source} b ON b.symbol = p.symbol AND b.rn = p.rn + 1)"""
+  SELECT b.{key}, b.rn, p.{out} * (1.0 - {k}) + b.{column} * {k} FROM {name} p JOIN {source} b ON b.{key} = p.{key} AND b.rn = p.rn + 1)"""
 
 
 MACD_SQL = HEAD + "," + seeded("f", "base", "close", 12, 26, "fast") + "," + seeded("s", "base", "close", 26, 26, "slow") + """,
