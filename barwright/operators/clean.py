@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=list(columns) if columns else None)
+    """Rows with a value in every column.
+
+    One test per column, not a single test over all of them: the optimizer rewrites a
+    condition once per alias of each column it mentions, which explodes on wide tables.
+    """
+    return df.filter(reduce(and_, [F.col(f"`{c}`").isNotNull() for c in columns or df.columns]))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

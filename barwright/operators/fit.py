@@ -19,8 +19,8 @@ from ..functions.scalar import clip_to, dbl, flag
 
 def train_mask(ly: Layout, share: float = 0.7) -> Column:
     """True on the first ``int(share * n)`` rows of each series."""
-    n = F.count(F.lit(1)).over(ly.whole())
-    return F.row_number().over(ly.ordered()) <= F.floor(n * F.lit(share))
+    n = ly.fold("count", F.count, None, None, F.lit(1))
+    return ly.row_number() <= F.floor(n * F.lit(share))
 
 
 def mask_by_index(row: str, total: str, share: float = 0.7) -> Column:
@@ -34,7 +34,11 @@ def on_train(c, mask: Column) -> Column:
 
 def quantile_over(ly: Layout, c, mask: Column | None, q: float) -> Column:
     x = on_train(c, mask) if mask is not None else dbl(c)
-    return F.percentile(x, F.lit(q)).over(ly.whole())
+    return ly.fold(f"quantile{q}", lambda v: F.percentile(v, F.lit(q)), None, None, x)
+
+
+def _mean(ly: Layout, x: Column) -> Column:
+    return ly.fold("avg", F.avg, None, None, x)
 
 
 def unit_if_flat(sd: Column) -> Column:
@@ -48,14 +52,14 @@ def winsor_over(ly: Layout, c, mask: Column, lo: float = 0.005, hi: float = 0.99
 def standard_over(ly: Layout, c, mask: Column) -> Column:
     """Train mean and sample deviation; a series with no training value is left alone."""
     x = on_train(c, mask)
-    mean, sd = F.avg(x).over(ly.whole()), unit_if_flat(F.stddev_samp(x).over(ly.whole()))
+    mean, sd = _mean(ly, x), unit_if_flat(ly.fold("std", F.stddev_samp, None, None, x))
     return F.when(mean.isNull(), dbl(c)).otherwise((dbl(c) - mean) / sd)
 
 
 def scaler_over(ly: Layout, c, mask: Column) -> Column:
     """Population scaler: missing values ignored, flat columns only centred."""
     x = on_train(c, mask)
-    mean, sd = F.avg(x).over(ly.whole()), unit_if_flat(F.stddev_pop(x).over(ly.whole()))
+    mean, sd = _mean(ly, x), unit_if_flat(ly.fold("std_pop", F.stddev_pop, None, None, x))
     return (dbl(c) - mean) / sd
 
 

@@ -66,6 +66,7 @@ def macro_features(df: DataFrame, ly: Layout, configs: Sequence[Macro]) -> DataF
     All exponential means run in one grouped pass and all windows in two layers, however
     many series are configured.
     """
+    ly = ly.layered()
     missing = [m.column for m in configs if m.column not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
@@ -86,7 +87,7 @@ def macro_features(df: DataFrame, ly: Layout, configs: Sequence[Macro]) -> DataF
             layer[f"{m.prefix}_regime_down_flag"] = flag(s < l)
         if m.sigma is not None:
             layer[f"_v{i}"] = ly.ffill(m.column) if m.pad else F.col(m.column)
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     layer = {}
     for i, m in enumerate(configs):
         if m.sigma is not None:
@@ -94,7 +95,7 @@ def macro_features(df: DataFrame, ly: Layout, configs: Sequence[Macro]) -> DataF
             up, down = drift_flags(
                 ly, v, ly.mean(v, DRIFT_WINDOW, DRIFT_NEED), ly.std(v, DRIFT_WINDOW, DRIFT_NEED) * F.lit(m.sigma))
             layer[f"{m.prefix}_cusum_up_flag"], layer[f"{m.prefix}_cusum_down_flag"] = up, down
-    x = x.withColumns(layer) if layer else x
+    x = ly.add(x, layer)
     return x.drop(*[c for c in x.columns if c.startswith(("_ema", "_v")) and c not in given])
 
 
@@ -116,18 +117,19 @@ def volume_dominance_features(df: DataFrame, ly: Layout) -> DataFrame:
 
 def velocity_features(df: DataFrame, ly: Layout, column: str = "velocity_usd_24h") -> DataFrame:
     """Level, lags, first and second differences, spike/crash, regime and drift flags."""
+    ly = ly.layered()
     c = column
     x = scan(df.withColumn(c, dbl(c)), ly, [
         Ema(c, "_ema_s", span=24, adjust=True), Ema(c, "_ema_l", span=72, adjust=True)])
     v = F.col(c)
-    x = x.withColumns({
+    x = ly.add(x, {
         "_mu": ly.mean(v, 200), "_sd": ly.std(v, 200),
         **{f"{c}_lag{n}": ly.lag(v, n) for n in (1, 2, 3)},
         f"delta_{c}": ly.diff(v),
     })
     mu, sd = F.col("_mu"), F.col("_sd")
     up, down = drift_flags(ly, v, mu, sd * 0.5)
-    x = x.withColumns({
+    x = ly.add(x, {
         f"{c}_zn": ratio_level(v, mu, sd),
         f"delta2_{c}": ly.diff(f"delta_{c}"),
         f"{c}_spike_flag": flag(v > mu + sd * 2.0), f"{c}_crash_flag": flag(v < mu - sd * 2.0),
@@ -135,7 +137,7 @@ def velocity_features(df: DataFrame, ly: Layout, column: str = "velocity_usd_24h
         f"{c}_regime_down_flag": flag(F.col("_ema_s") < F.col("_ema_l")),
         f"{c}_cusum_up_flag": up, f"{c}_cusum_down_flag": down,
     })
-    return x.withColumn(f"delta_{c}_zn", ly.diff(f"{c}_zn")).drop("_mu", "_sd", "_ema_s", "_ema_l")
+    return ly.add(x, {f"delta_{c}_zn": ly.diff(f"{c}_zn")}).drop("_mu", "_sd", "_ema_s", "_ema_l")
 
 
 def ratio_level(v: Column, mu: Column, sd: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.over import Layout, log_clipped
 from ..functions.scalar import clip, dbl, finite, flag, ratio, zero_to
@@ -43,6 +43,7 @@ def activity_features(df: DataFrame, ly: Layout, drop: str = "all", columns: Seq
     """Differences, changes, means, lags and deviations of the activity columns, surge and
     growth flags; after incomplete rows are removed, growth, ratio and move columns for
     whichever optional inputs exist."""
+    ly = ly.layered()
     always = (*ly.keys, *ly.order)
     given = list(df.columns)
     layer = {}
@@ -59,7 +60,7 @@ def activity_features(df: DataFrame, ly: Layout, drop: str = "all", columns: Seq
     persist = "buy_sell_imbalance" in given
     if persist:
         layer["_lopsided"] = quantile_flag(ly, "buy_sell_imbalance", 0.75, ">")
-    x = df.withColumns(layer)
+    x = ly.add(df, layer)
     layer = {}
     for c in columns:
         layer[f"{c}_pct_change"] = ly.pct_change(f"_pad_{c}")
@@ -74,7 +75,8 @@ def activity_features(df: DataFrame, ly: Layout, drop: str = "all", columns: Seq
     }
     if persist:
         layer["dex_flow_imbalance_persistence_flag"] = flag(ly.sum("_lopsided", 5, 3) >= 3)
-    x = x.withColumns(layer).withColumn("active_receivers_growth_flag", ternary_quantile_flag(ly, "_growth"))
+    x = ly.add(x, layer)
+    x = ly.add(x, {"active_receivers_growth_flag": ternary_quantile_flag(ly, "_growth")})
     made = [c for c in x.columns if c not in given and not c.startswith("_")]
     x = settle(x.select(*given, *made), drop, always)
     return clip_columns(optional_activity(x, ly), ACTIVITY_BOUNDS)
@@ -88,6 +90,7 @@ def _move(padded_change: Column, ly: Layout, n: int = 24) -> Column:
 
 def optional_activity(df: DataFrame, ly: Layout) -> DataFrame:
     """Columns that depend on which activity inputs are present."""
+    ly = ly.layered()
     has = set(df.columns)
     both = lambda *names: set(names) <= has
     safe = lambda a, b: ratio(dbl(a), dbl(b) + F.lit(EPS))
@@ -95,8 +98,8 @@ def optional_activity(df: DataFrame, ly: Layout) -> DataFrame:
     movers = [c for c in (
         "active_addresses", "transfer_volume", "exchange_inflow", "exchange_outflow", "dex_volume") if c in has]
     padded = {*growers, *movers, *(c for c in ("gas_used", "unique_contracts", "whale_tx_count") if c in has)}
-    x = df.withColumns({f"_p_{c}": ly.ffill(dbl(c)) for c in sorted(padded)})
-    x = x.withColumns({f"_r_{c}": F.coalesce(ly.pct_change(f"_p_{c}"), F.lit(0.0)) for c in sorted(padded)})
+    x = ly.add(df, {f"_p_{c}": ly.ffill(dbl(c)) for c in sorted(padded)})
+    x = ly.add(x, {f"_r_{c}": F.coalesce(ly.pct_change(f"_p_{c}"), F.lit(0.0)) for c in sorted(padded)})
     out: dict[str, Column] = {}
     change = lambda c, n: ly.pct_change(f"_p_{c}", n)
     for c in growers:
@@ -137,7 +140,7 @@ def optional_activity(df: DataFrame, ly: Layout) -> DataFrame:
         out["onchain_sentiment"] = sum(mood[1:], mood[0]) / F.lit(float(len(mood)))
     for c in movers:
         out[f"{c}_zmove_24h"] = _move(F.col(f"_r_{c}"), ly)
-    x = x.withColumns(out)
+    x = ly.add(x, out)
     return x.drop(*[c for c in x.columns if c.startswith(("_p_", "_r_"))])
 
 
@@ -154,6 +157,7 @@ def fitted_scores(
     Returns the table and the ``_zn`` names; ``fit.fit_params`` gives the parameters as a
     table.  Fits are whole-partition windows, so they add no exchange.
     """
+    ly = ly.layered()
     present = [c for c in columns if c in df.columns]
     x = scan(df, ly, [
         Ema(c, f"{c}_ema_{tag}", alpha=a) for c in present for tag, a in (("s", alpha_short), ("m", alpha_mid))
@@ -169,7 +173,7 @@ def fitted_scores(
             f"{c}_slope_s{short}": ly.diff(v, short) / F.lit(short + EPS),
             f"_pad_{c}": ly.ffill(v),
         }
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     layer = {}
     for c in present:
         quick, slow, slowest = F.col(f"{c}_ma_s{short}"), F.col(f"{c}_ma_m{mid}"), F.col(f"{c}_ma_l{long}")
@@ -183,22 +187,22 @@ def fitted_scores(
         }
         for name, n in ((f"{c}_pct1", 1), (f"{c}_pct{short}", short), (f"{c}_pct{mid}", mid)):
             layer[name] = ly.pct_change(f"_pad_{c}", n)
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     mask = F.col("_train")
-    x = x.withColumns({f"_w_{c}": winsor_over(ly, finite(f"{c}_pct{short}"), mask, *winsor) for c in present})
+    x = ly.add(x, {f"_w_{c}": winsor_over(ly, finite(f"{c}_pct{short}"), mask, *winsor) for c in present})
     layer = {}
     for c in present:
         fitted = lambda name: standard_over(ly, finite(name), mask)
         layer[f"{c}_event_score"] = F.greatest(fitted(f"{c}_z_short"), fitted(f"_w_{c}"))
         layer[f"{c}_regime_score"] = F.greatest(fitted(f"{c}_z_mid"), fitted(f"{c}_dev_s_m"))
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     scaled = [
         f"{c}_{tail}" for c in present for tail in (
             "z_short", "z_mid", f"pct{short}", f"pct{mid}", "ema_cross", f"slope_s{short}", "ratio_s_m", "ratio_s_l",
             "event_score", "regime_score", "log1p", f"ma_s{short}", f"ma_m{mid}", f"ma_l{long}")
     ]
-    x = x.withColumns({f"_w_{n}": winsor_over(ly, finite(n), mask, *winsor) for n in scaled})
-    x = x.withColumns({f"{n}_zn": standard_over(ly, f"_w_{n}", mask) for n in scaled})
+    x = ly.add(x, {f"_w_{n}": winsor_over(ly, finite(n), mask, *winsor) for n in scaled})
+    x = ly.add(x, {f"{n}_zn": standard_over(ly, f"_w_{n}", mask) for n in scaled})
     keep = [c for c in x.columns if not c.startswith(("_w_", "_pad_")) and c != "_train"]
     return x.select(*keep), [f"{n}_zn" for n in scaled]
 
@@ -215,6 +219,7 @@ def fitted_flags(
 
     ``thresholds=True`` also returns the levels as ``<flag>_enter`` and ``<flag>_exit``.
     """
+    ly = ly.layered()
     present = [c for c in columns if c in df.columns]
     layer: dict[str, Column] = {"_train": train_mask(ly) if train is None else F.coalesce(train, F.lit(False))}
     for c in present:
@@ -223,7 +228,7 @@ def fitted_flags(
             layer[f"_mu_{tag}_{c}"] = ly.mean(v, n, 1)
             layer[f"_sd_{tag}_{c}"] = zero_to(ly.std(v, n, 1), None)
         layer[f"_pad_{c}"] = ly.ffill(v)
-    x = df.withColumns(layer)
+    x = ly.add(df, layer)
     layer = {}
     for c in present:
         v, mu_s, mu_m = dbl(c), F.col(f"_mu_s_{c}"), F.col(f"_mu_m_{c}")
@@ -232,27 +237,27 @@ def fitted_flags(
             f"{c}_ratio_s_over_m": finite(ratio(mu_s, zero_to(mu_m, None))),
             f"{c}_pctchg_{short}": ly.pct_change(f"_pad_{c}", short),
         }
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     mask = F.col("_train")
 
     def centred(name: str) -> Column:
         v = finite(name)
         t = on_train(v, mask)
-        sd = F.stddev_samp(t).over(ly.whole())
-        return ratio(v - F.avg(t).over(ly.whole()), F.when(sd == 0.0, 1.0).otherwise(sd))
+        sd = ly.fold("std", F.stddev_samp, None, None, t)
+        return ratio(v - ly.fold("avg", F.avg, None, None, t), F.when(sd == 0.0, 1.0).otherwise(sd))
 
     layer = {}
     for c in present:
         layer[f"_e_{c}"] = F.greatest(centred(f"{c}_z_short"), centred(f"{c}_pctchg_{short}"))
         layer[f"_s_{c}"] = F.greatest(F.col(f"{c}_z_mid"), F.abs(F.col(f"{c}_ratio_s_over_m") - 1.0))
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     plan = [(f"{c}_spike_flag", f"_e_{c}", event, event_default) for c in present]
     plan += [(f"{c}_state_flag", f"_s_{c}", state, state_default) for c in present]
     layer = {}
     for name, source, levels, defaults in plan:
         for side, q, fallback in zip(("enter", "exit"), levels, defaults):
             layer[f"{name}_{side}"] = F.coalesce(finite(quantile_over(ly, source, mask, q)), F.lit(fallback))
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     # A reading equal to both levels flips the switch, so ties are counted besides the
     # readings that settle it.
     layer = {}
@@ -260,10 +265,10 @@ def fitted_flags(
         v, on, off = F.col(source), F.col(f"{name}_enter"), F.col(f"{name}_exit")
         tie = (v == on) & (v == off)
         layer[f"_d_{name}"] = F.when(tie, None).when(v >= on, 1).when(v <= off, 0)
-        layer[f"_n_{name}"] = F.sum(F.when(tie, 1).otherwise(0)).over(ly.so_far())
-    x = x.withColumns(layer)
-    latest = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(ly.so_far()), F.lit(0))
-    x = x.withColumns({
+        layer[f"_n_{name}"] = ly.fold("sum", F.sum, Window.unboundedPreceding, 0, F.when(tie, 1).otherwise(0))
+    x = ly.add(x, layer)
+    latest = lambda c: F.coalesce(ly.ffill(c), F.lit(0))
+    x = ly.add(x, {
         name: (
             (latest(F.col(f"_d_{name}")) + F.col(f"_n_{name}")
              - latest(F.when(F.col(f"_d_{name}").isNotNull(), F.col(f"_n_{name}")))) % 2

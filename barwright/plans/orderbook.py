@@ -25,6 +25,7 @@ def orderbook_features(df: DataFrame, ly: Layout, train=None) -> DataFrame:
     ``train`` (a boolean column) restricts the low-liquidity quantile to training rows; by
     default it looks at the whole series.
     """
+    ly = ly.layered()
     c, eps = dbl, F.lit(EPS)
     buy, sell = c("buy_qty_sum"), c("sell_qty_sum")
     n_buy, n_sell = c("buy_trade_sum"), c("sell_trade_sum")
@@ -57,7 +58,7 @@ def orderbook_features(df: DataFrame, ly: Layout, train=None) -> DataFrame:
         "low_liquidity_flag": quantile_flag(ly, "volatility", 0.8, ">", train),
         "_spread": ly.ffill("pseudo_spread"),
     }
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     layer = {
         "spread_change_rate": ly.pct_change("_spread"),
         "buy_sell_diff_smooth_rate": ly.diff("buy_sell_diff_smooth"),
@@ -69,5 +70,5 @@ def orderbook_features(df: DataFrame, ly: Layout, train=None) -> DataFrame:
         f"{name}_Diff_t_{n}": c(name) - F.col(f"{name}_MA_t_{n}")
         for name in ("price_mean", "buy_qty_sum", "sell_qty_sum") for n in (6, 24)
     }
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     return x.withColumn("spread_spike_flag", flag(F.abs(F.col("spread_change_rate")) > 0.5)).drop("_spread")

@@ -23,23 +23,24 @@ PROFILE_COLUMNS = ("vbp_mean", "vbp_max", "vbp_std", "poc_price", "vah_price", "
 
 def profile_features(df: DataFrame, ly: Layout, num_bins: int = 20) -> DataFrame:
     """Volume-profile constants of the series on every row, with their means and lags."""
+    ly = ly.layered()
     profile = volume_profile(df, list(ly.keys), num_bins)
     x = df.join(profile, list(ly.keys))
     layer = {f"{c}_MA_t_{n}": ly.mean(c, n) for c in PROFILE_COLUMNS for n in (6, 24)}
     layer |= {f"{c}_Lag_t_{n}": ly.lag(c, n) for c in PROFILE_COLUMNS[:-1] for n in (1, 3)}
-    return x.withColumns(layer)
+    return ly.add(x, layer)
 
 
 def sentiment_features(df: DataFrame, series: Sequence[str], ts: str = "date") -> DataFrame:
     """Sentiment index on a full hourly grid with mean, deviation, change and lags."""
     coded = category_codes(df, "fg_label", "fg_label_num")
     grid = hourly_grid(coded, series, ts, ["fg_index", "fg_label", "fg_label_num"])
-    ly = Layout.of(tuple(series), ts)
-    x = grid.withColumns({"fg_index_ma": ly.mean("fg_index", 24), "_p": ly.ffill(dbl("fg_index"))})
-    x = x.withColumns({
+    ly = Layout.of(tuple(series), ts).layered()
+    x = ly.add(grid, {"fg_index_ma": ly.mean("fg_index", 24), "_p": ly.ffill(dbl("fg_index"))})
+    x = ly.add(x, {
         "fg_index_diff": dbl("fg_index") - F.col("fg_index_ma"), "fg_index_change": ly.pct_change("_p")})
     names = ("fg_index", "fg_index_ma", "fg_index_diff", "fg_index_change")
-    return x.withColumns({f"{c}_lag{n}": ly.lag(c, n) for c in names for n in (1, 2)}).drop("_p")
+    return ly.add(x, {f"{c}_lag{n}": ly.lag(c, n) for c in names for n in (1, 2)}).drop("_p")
 
 
 def all_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
@@ -65,9 +66,10 @@ def with_slow_series(df: DataFrame, sources: Sequence[tuple[DataFrame, str]], se
 
 def scale_features(df: DataFrame, ly: Layout, train: Column, skip: Sequence[str]) -> DataFrame:
     """Standardise every numeric column except ``skip`` with training-row parameters."""
+    ly = ly.layered()
     names = [c for c in numeric_columns(df) if c not in (*skip, *ly.keys, *ly.order)]
     x = finite_columns(df, names)
-    return x.withColumns({c: scaler_over(ly, c, train) for c in names})
+    return ly.add(x, {c: scaler_over(ly, c, train) for c in names})
 
 
 def split_and_scale(

@@ -42,16 +42,17 @@ def settle(df: DataFrame, drop: str, always: tuple[str, ...]) -> DataFrame:
 
 def indicator_base(df: DataFrame, ly: Layout) -> DataFrame:
     """Narrow window columns followed by one grouped pass for every recurrence."""
+    ly = ly.layered()
     close = dbl("close")
-    base = df.withColumns({
+    base = ly.add(df, {
         "_c": ly.ffill(close),
         "bb_width_20": ratio(
             F.lit(2.0) * ly.std(close, 20, 1), F.abs(ly.mean(close, 20, 1)) + F.lit(EPS)),
         "_bb": ratio(
             ly.std(close, 20, 10) * F.lit(2.0), F.abs(ly.mean(close, 20, 10)) + F.lit(EPS)),
     })
-    base = base.withColumn("ret_1h", ly.pct_change("_c"))
-    base = base.withColumn("_std24", ly.std("ret_1h", 24, 12))
+    base = ly.add(base, {"ret_1h": ly.pct_change("_c")})
+    base = ly.add(base, {"_std24": ly.std("ret_1h", 24, 12)})
     return scan(base, ly, [
         Rsi("close"), Macd("close"), SeededEma("close", "EMA_12", 12), SeededEma("close", "EMA_26", 26),
         Atr("high", "low", "close", "ATR24", 24),
@@ -68,6 +69,7 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
     Windows are layered so every layer is one Window node over the same partitioning and
     order.
     """
+    ly = ly.layered()
     has = set(df.columns)
     usd, eth = "volume_USD" in has, "volume_ETH" in has
     close, high, low = dbl("close"), dbl("high"), dbl("low")
@@ -85,14 +87,14 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
     first |= {
         "ret_6h": ly.pct_change("_c", 6), "ret_12h": ly.pct_change("_c", 12),
         "_chg": ly.diff(close), "_hh": ly.max(high, 14), "_ll": ly.min(low, 14),
-        "_max_before": F.max(close).over(ly.rows(-24, -1)), "_min_before": F.min(close).over(ly.rows(-24, -1)),
-        "_bbw": ly.ffill("bb_width_20"), "_bbp": ly.ffill("_bb"), "_row": F.row_number().over(ly.ordered()),
+        "_max_before": ly.fold("max", F.max, -24, -1, close), "_min_before": ly.fold("min", F.min, -24, -1, close),
+        "_bbw": ly.ffill("bb_width_20"), "_bbp": ly.ffill("_bb"),
     }
     if usd:
         first["volume_zscore_24h"] = ly.zscore("volume_USD", 24, 1e-9)
     if eth:
         first |= {"_ve": ly.ffill(dbl("volume_ETH")), "volume_6h_mean": ly.mean("volume_ETH", 6, 1)}
-    x = df.transform(indicator_base, ly).withColumns(first)
+    x = ly.add(indicator_base(df, ly), first)
 
     col = F.col
     step = {n: ly.diff(f"MA_t_{n}") for n in MA_WINDOWS}
@@ -119,7 +121,7 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
         second[f"MA_{a}_{b}_cross_flag"] = ly.step_of_flag(flag(col(f"MA_t_{a}") > col(f"MA_t_{b}")))
     if eth:
         second |= {"volume_pchg_6h": ly.pct_change("_ve", 6), "_r1_mean": ly.mean("log_return_1h", 6, 3)}
-    x = x.withColumns(second)
+    x = ly.add(x, second)
 
     rsi = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ratio(col("_gain"), col("_loss") + F.lit(EPS)))
     third = {
@@ -131,7 +133,7 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
     third |= {f"_pad_{n}": ly.ffill(f"MA_t_{n}_slope") for n in MA_WINDOWS}
     if eth:
         third["vol_price_corr_6h"] = ly.corr("volume_ETH", "_r1_mean", 6, 3)
-    x = x.withColumns(third)
+    x = ly.add(x, third)
 
     fourth = {f"MA_t_{n}_slope_pct_change": ly.pct_change(f"_pad_{n}") for n in MA_WINDOWS}
     fourth |= {f"sign_entropy_{n}_ma3": ly.mean(f"sign_entropy_{n}", 3) for n in (12, 24)}
@@ -140,7 +142,7 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
         "rsi_overbought_flag": ly.latch(col("_rsi"), 70.0, 60.0),
         "rsi_oversold_flag": ly.latch(F.lit(100.0) - col("_rsi"), 70.0, 60.0),
     }
-    x = x.withColumns(fourth)
+    x = ly.add(x, fourth)
 
     slope = lambda n: col(f"MA_t_{n}_slope")
     bend = lambda n: col(f"MA_t_{n}_slope_pct_change")
@@ -181,7 +183,7 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
         last["flow_strength_6h"] = norm * sign(F.coalesce(col("log_return_6h"), F.lit(0.0)))
         last["price_volume_ratio_6h"] = ratio(
             col("log_return_6h"), zero_to(col("volume_pchg_6h"), EPS) + F.lit(EPS))
-    x = x.withColumns(last)
+    x = ly.add(x, last)
     made = [c for c in x.columns if c not in given and not c.startswith("_")]
     out = clip_columns(x.select(*given, *made), PRICE_BOUNDS)
     return settle(out, drop, (*ly.keys, *ly.order))
@@ -202,6 +204,7 @@ def all_of_last(ly: Layout, cond, n: int):
 
 def persistence_features(df: DataFrame, ly: Layout) -> DataFrame:
     """Persistence flags over whatever base columns are present."""
+    ly = ly.layered()
     has, col = set(df.columns), F.col
     out = {f"{c}_hysteresis": flag(ly.sum(c, 4, 3) >= 3) for c in PERSISTENT_FLAGS if c in has}
     if {"close", "MA_t_24"} <= has:
@@ -214,7 +217,7 @@ def persistence_features(df: DataFrame, ly: Layout) -> DataFrame:
         out["active_receivers_diff_positive_persist_3h"] = all_of_last(ly, col("active_receivers_diff") > 1e-9, 3)
     if "active_ratio" in has:
         out["active_ratio_above_1.5_persist_3h"] = all_of_last(ly, col("active_ratio") > 1.5, 3)
-    return df.withColumns(out)
+    return ly.add(df, out)
 
 
 def price_features_with_hysteresis(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
@@ -225,6 +228,7 @@ def price_features_with_hysteresis(df: DataFrame, ly: Layout, drop: str = "all")
 def deviation_features(df: DataFrame, ly: Layout, drop: str = "rows") -> DataFrame:
     """Distance from eight moving averages, its rolling statistics, signs and turns; whale and
     depth columns where their inputs exist.  Expects ``close`` and ``MA_t_*``."""
+    ly = ly.layered()
     has, col = set(df.columns), F.col
     names = [f"deviation_pct_MA_{n}" for n in MA_WINDOWS]
     layer = {
@@ -234,7 +238,7 @@ def deviation_features(df: DataFrame, ly: Layout, drop: str = "rows") -> DataFra
     book = {"buy_qty_sum", "sell_qty_sum"} <= has
     if book:
         layer["total_orderbook_depth_proxy"] = dbl("buy_qty_sum") + dbl("sell_qty_sum")
-    x = df.withColumns(layer)
+    x = ly.add(df, layer)
     layer = {}
     for d in names:
         for n in (6, 24):
@@ -251,9 +255,9 @@ def deviation_features(df: DataFrame, ly: Layout, drop: str = "rows") -> DataFra
     if book:
         t = "total_orderbook_depth_proxy"
         layer |= {"_t": ly.ffill(t), f"{t}_MA_6": ly.mean(t, 6), f"{t}_deviation_MA_6": col(t) - ly.mean(t, 6)}
-    x = x.withColumns(layer)
+    x = ly.add(x, layer)
     layer = {f"{d}_slope_change_flag": ly.sign_changed(f"{d}_slope") for d in names}
     if book:
         layer["total_orderbook_depth_proxy_pct_change"] = ly.pct_change("_t")
-    x = x.withColumns(layer).drop("_t")
+    x = ly.add(x, layer).drop("_t")
     return settle(x, drop, (*ly.keys, *ly.order))

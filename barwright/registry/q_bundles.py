@@ -108,9 +108,9 @@ def price_ctes(src: str, key: str, tag: str = "") -> tuple[str, list[str], list[
   SELECT {key}, 15::BIGINT, avg(up), avg(down) FROM {t('ud')} WHERE rn <= 15 GROUP BY {key} HAVING count(*) = 14
   UNION ALL SELECT b.{key}, b.rn, (r.u * 13 + b.up) / 14, (r.d * 13 + b.down) / 14
   FROM {t('rs')} r JOIN {t('ud')} b ON b.{key} = r.{key} AND b.rn = r.rn + 1),
-{t('at')}({key}, rn, a) AS (
+{t('atr')}({key}, rn, a) AS (
   SELECT {key}, 25::BIGINT, avg(tr) FROM {t('ud')} WHERE rn <= 25 GROUP BY {key} HAVING count(*) = 24
-  UNION ALL SELECT b.{key}, b.rn, (r.a * 23 + b.tr) / 24 FROM {t('at')} r JOIN {t('ud')} b ON b.{key} = r.{key} AND b.rn = r.rn + 1),
+  UNION ALL SELECT b.{key}, b.rn, (r.a * 23 + b.tr) / 24 FROM {t('atr')} r JOIN {t('ud')} b ON b.{key} = r.{key} AND b.rn = r.rn + 1),
 {seeded(t('e12'), b1, 'close', 12, 12, 'v', key)}, {seeded(t('e26'), b1, 'close', 26, 26, 'v', key)},
 {seeded(t('mf'), b1, 'close', 12, 26, 'v', key)},
 {t('ml')} AS MATERIALIZED (SELECT f.{key}, f.rn, f.v - s.v AS m FROM {t('mf')} f JOIN {t('e26')} s USING ({key}, rn)),
@@ -120,7 +120,7 @@ def price_ctes(src: str, key: str, tag: str = "") -> tuple[str, list[str], list[
          mg.v AS "MACD_signal", m - mg.v AS "MACD_hist", e12.v AS "EMA_12", e26.v AS "EMA_26", e12.v / (e26.v + 1e-9) AS "EMA_ratio",
          a AS "ATR24", CAST({flag(f'close > {ma(24)} AND (CASE WHEN u + d = 0 THEN 0.0 ELSE 100 * u / (u + d) END) BETWEEN 45 AND 65')} AS DOUBLE)
          AS pullback_condition_cont
-  FROM {t('b5')} b LEFT JOIN {t('rs')} USING ({key}, rn) LEFT JOIN {t('at')} USING ({key}, rn)
+  FROM {t('b5')} b LEFT JOIN {t('rs')} USING ({key}, rn) LEFT JOIN {t('atr')} USING ({key}, rn)
   LEFT JOIN {t('e12')} e12 USING ({key}, rn) LEFT JOIN {t('e26')} e26 USING ({key}, rn)
   LEFT JOIN {t('ml')} USING ({key}, rn) LEFT JOIN {t('mg')} mg USING ({key}, rn))"""
     hidden = {"hh", "ll", "chg", "prev", "top24", "low24", "volume_pchg_raw", "bb", "sgn", "k", "rsi2", "r1sd", "r1mean", "bbpct",
@@ -231,12 +231,13 @@ def book_ctes(src: str, key: str, tag: str = "") -> tuple[str, list[str], list[s
 
 
 BOOK, BOOK_INTS, BOOK_DOUBLES = book_ctes("bars", "symbol")
+BOOK1, *_ = book_ctes("bars1", "series_id")
 
 
-@query("b8_orderbook_features", finish(I.BARS_SQL + BOOK, "book", ["symbol", "date", *BOOK_INTS], BOOK_DOUBLES))
+@query("b8_orderbook_features", finish(I.SINGLE_SQL + BOOK1, "book", ["series_id", "date", *BOOK_INTS], BOOK_DOUBLES))
 def b8(spark, sf):
-    x = orderbook_features(I.bars(spark, sf), I.BARS)
-    return rounded(x.select("symbol", "date", *[n.strip('"') for n in (*BOOK_INTS, *BOOK_DOUBLES)]))
+    x = orderbook_features(I.bars_single(spark, sf), I.ONE)
+    return rounded(x.select("series_id", "date", *[n.strip('"') for n in (*BOOK_INTS, *BOOK_DOUBLES)]))
 
 
 @query("f13_order_flow_flags", finish(I.BARS_SQL + BOOK, "book", ["symbol", "date", *BOOK_INTS], []))
@@ -485,11 +486,9 @@ def macro_sql(configs: tuple[M.Macro, ...]) -> tuple[str, list[str], list[str]]:
             l2[f'"{m.prefix}_regime_up_flag"'] = flag(f"es{i} > el{i}")
             l2[f'"{m.prefix}_regime_down_flag"'] = flag(f"es{i} < el{i}")
         if m.sigma is not None:
-            p, n = f"v{i}", M.DRIFT_WINDOW
-            l1_mean = w.mean(p, n, M.DRIFT_NEED)
+            p = f"v{i}"
             l2[f'"{m.prefix}_cusum_up_flag"'] = flag(f"{p} - mu{i} > {m.sigma} * sd{i}")
             l2[f'"{m.prefix}_cusum_down_flag"'] = flag(f"mu{i} - {p} > {m.sigma} * sd{i}")
-            del l1_mean
     ints = list(l2)
     stats = ", ".join(f"{w.mean(f'v{i}', M.DRIFT_WINDOW, M.DRIFT_NEED)} AS mu{i}, {w.std(f'v{i}', M.DRIFT_WINDOW, M.DRIFT_NEED)} AS sd{i}"
                       for i, m in enumerate(configs) if m.sigma is not None)
@@ -538,36 +537,32 @@ def b19(spark, sf):
 
 
 C = "velocity_usd_24h"
-Q = lambda a, b: a / (1 - b)
 
 
 def velocity_sql() -> str:
     w = SA
-    # adjust=True: numerator and denominator both follow s = q*s' + value.
-    num = {f"{n}{k}": None for n in ("s", "l") for k in ("n", "d")}
-    del num
+    # Weighted sum and weight sum both follow s = q*s' + value.
     qs, ql = 1 - 2 / 25, 1 - 2 / 73
     return I.DRIVERS_SQL + f""",
 v0 AS MATERIALIZED (SELECT series_id, date, {C} AS v, {w.rn()} AS rn FROM drivers),
-e(series_id, rn, sn, sd, ln, ld) AS (
+e(series_id, rn, sn, sw, ln, lw) AS (
   SELECT series_id, rn, v, 1.0::DOUBLE, v, 1.0::DOUBLE FROM v0 WHERE rn = 1
-  UNION ALL SELECT b.series_id, b.rn, {qs!r}::DOUBLE * e.sn + b.v, {qs!r}::DOUBLE * e.sd + 1, {ql!r}::DOUBLE * e.ln + b.v, {ql!r}::DOUBLE * e.ld + 1
+  UNION ALL SELECT b.series_id, b.rn, {qs!r}::DOUBLE * e.sn + b.v, {qs!r}::DOUBLE * e.sw + 1, {ql!r}::DOUBLE * e.ln + b.v, {ql!r}::DOUBLE * e.lw + 1
   FROM e JOIN v0 b ON b.series_id = e.series_id AND b.rn = e.rn + 1),
 v1 AS MATERIALIZED (SELECT *, {w.mean('v', 200)} AS mu, {w.std('v', 200)} AS sd, {w.zscore('v', 200)} AS z, {w.diff('v')} AS d,
   {', '.join(f'{w.lag("v", n)} AS {C}_lag{n}' for n in (1, 2, 3))} FROM v0),
 x AS (SELECT v1.series_id, date, z AS {C}_zn, {C}_lag1, {C}_lag2, {C}_lag3, d AS delta_{C}, {w.diff('d')} AS delta2_{C}, {w.diff('z')} AS delta_{C}_zn,
   {flag('v > mu + 2 * sd')} AS {C}_spike_flag, {flag('v < mu - 2 * sd')} AS {C}_crash_flag,
-  {flag('e.sn / e.sd > e.ln / e.ld + 1e-12')} AS {C}_regime_up_flag, {flag('e.sn / e.sd < e.ln / e.ld - 1e-12')} AS {C}_regime_down_flag,
+  {flag('e.sn / e.sw > e.ln / e.lw + 1e-12')} AS {C}_regime_up_flag, {flag('e.sn / e.sw < e.ln / e.lw - 1e-12')} AS {C}_regime_down_flag,
   {flag('v - mu > 0.5 * v1.sd')} AS {C}_cusum_up_flag, {flag('mu - v > 0.5 * v1.sd')} AS {C}_cusum_down_flag
-  FROM v1 JOIN e USING (series_id, rn))""".replace("PARTITION BY series_id ORDER BY date ", "PARTITION BY series_id ORDER BY date ")
+  FROM v1 JOIN e USING (series_id, rn))"""
 
 
 VEL_D = [f"{C}_zn", f"{C}_lag1", f"{C}_lag2", f"{C}_lag3", f"delta_{C}", f"delta2_{C}", f"delta_{C}_zn"]
 VEL_I = [f"{C}_{x}_flag" for x in ("spike", "crash", "regime_up", "regime_down", "cusum_up", "cusum_down")]
 
 
-@query("b5_velocity_features", finish(velocity_sql().replace("OVER (PARTITION BY series_id", "OVER (PARTITION BY series_id"), "x",
-                                      ["series_id", "date", *VEL_I], VEL_D))
+@query("b5_velocity_features", finish(velocity_sql(), "x", ["series_id", "date", *VEL_I], VEL_D))
 def b5(spark, sf):
     x = M.velocity_features(I.drivers(spark, sf).select("series_id", "date", C), I.ONE)
     return rounded(x.drop(C))

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Feature plans compile a few hundred small classes; the default cache of 100 would evict them.
+    "spark.sql.codegen.cache.maxEntries": "4000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
