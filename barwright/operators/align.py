@@ -65,6 +65,36 @@ def asof_join(
     )
 
 
+def asof_join_in_buckets(
+    left: DataFrame,
+    right: DataFrame,
+    series: Sequence[str],
+    ts: str,
+    columns: Sequence[str],
+    tie: Sequence[str] = (),
+    bucket_seconds: int = 3_600,
+) -> DataFrame:
+    """Backward as-of join for a left side too long for one task per series (raw trades).
+
+    Rows are matched inside (series, time bucket); the right row in force when a bucket
+    opens comes from a table with one row per bucket, filled forward.
+    """
+    bucket = F.floor(F.unix_seconds(F.col(ts)) / F.lit(bucket_seconds)).cast("long").alias("_bucket")
+    l, r = left.select("*", bucket), right.select(*series, ts, *columns, *[t for t in tie if t != ts], bucket)
+    inside = asof_join(
+        l, r.withColumn("_hit", F.lit(True)), series, ts, [*columns, "_hit"], tie, extra_keys=["_bucket"])
+    ends = r.groupBy(*series, "_bucket").agg(
+        F.max_by(F.struct(*columns), F.struct(ts, *[t for t in tie if t != ts])).alias("_end"))
+    seen = l.select(*series, "_bucket").distinct()
+    w = Window.partitionBy(*series).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.join(ends, [*series, "_bucket"], "full").select(
+        *series, "_bucket", F.last("_end", ignorenulls=True).over(w).alias("_carry"))
+    joined = inside.join(carried, [*series, "_bucket"], "left")
+    return joined.select(
+        *left.columns,
+        *[F.when(F.col("_hit"), F.col(c)).otherwise(F.col(f"_carry.{c}")).alias(c) for c in columns])
+
+
 def merge_slow_series(
     base: DataFrame, sources: Sequence[tuple[DataFrame, str]], series: Sequence[str], ts: str
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.over import Layout
+from .align import row_index
 
 BLOCK = "_block"
 
@@ -43,6 +44,30 @@ def in_blocks(
     return built.filter(F.col("_home") == F.col(BLOCK)).drop("_home", BLOCK)
 
 
+def windows_by_size(
+    df: DataFrame,
+    series: Sequence[str],
+    ts: str,
+    halo: int,
+    build: Callable[[DataFrame, Layout], DataFrame],
+    bucket: Column | None = None,
+    max_rows: int = 500_000,
+    block_rows: int = 65_536,
+) -> DataFrame:
+    """Run a window layer per series, or in blocks when some series exceeds ``max_rows``.
+
+    The longest series is measured with one count per series, so use it on a stored table
+    (the bar cache), not on an expensive lineage.  ``bucket`` is the time bucket of
+    ``align.row_index`` (the day of ``ts`` by default).
+    """
+    longest = df.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_rows:
+        return build(df, Layout.of(tuple(series), ts))
+    bucket = F.date_trunc("day", F.col(ts)) if bucket is None else bucket
+    indexed = row_index(df, series, [ts], bucket, "_row")
+    return in_blocks(indexed, series, "_row", halo, build, block_rows).drop("_row")
+
+
 def _carry(df: DataFrame, series: Sequence[str], row: str, value: Column, block_rows: int):
     """(keyed rows, last non-missing value of everything before each block)."""
     keyed = df.withColumn(BLOCK, F.floor(F.col(row) / F.lit(block_rows)).cast("long"))

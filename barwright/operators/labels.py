@@ -44,7 +44,12 @@ def concurrency(
     Starts and ends are counted per time first, then one sweep over the bars adds them up:
     no range join and no event-by-bar matrix.
     """
-    closed = close_open_ends(events, bars, series, end, ts)
+    return _sweep(bars, close_open_ends(events, bars, series, end, ts), series, ts, start, end, out)
+
+
+def _sweep(
+    bars: DataFrame, closed: DataFrame, series: Sequence[str], ts: str, start: str, end: str, out: str = "n_open"
+) -> DataFrame:
     opens = closed.groupBy(*series, F.col(start).alias(ts)).agg(F.count(F.lit(1)).alias("_n"))
     ends = closed.groupBy(*series, F.col(end).alias(ts)).agg((-F.count(F.lit(1))).alias("_n"))
     # At equal times: a start is already open on the bar, an end is still open on it.
@@ -123,7 +128,7 @@ def average_uniqueness(
 ) -> DataFrame:
     """Per event, the mean of 1/concurrency over the bars it covers."""
     closed = close_open_ends(events, bars, series, end, ts)
-    shares = concurrency(bars, events, series, ts, start, end).withColumn(
+    shares = _sweep(bars, closed, series, ts, start, end).withColumn(
         "_share", F.try_divide(F.lit(1.0), F.col("n_open").cast("double"))
     )
     summed = interval_sums(shares, closed, series, ["_share"], ts, start, end)
@@ -139,7 +144,7 @@ def sample_weights(
     ly = Layout.of(tuple(series), ts)
     closed = close_open_ends(events, bars, series, end, ts)
     returns = bars.select(*series, ts, ly.log_return(F.col(price)).alias("_ret"))
-    attributed = returns.join(concurrency(bars, events, series, ts, start, end), [*series, ts]).withColumn(
+    attributed = returns.join(_sweep(bars, closed, series, ts, start, end), [*series, ts]).withColumn(
         "_part", F.try_divide(F.col("_ret"), F.col("n_open").cast("double"))
     )
     summed = interval_sums(attributed, closed, series, ["_part"], ts, start, end)

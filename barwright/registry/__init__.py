@@ -6,7 +6,7 @@ import importlib
 
 from .core import QUERIES, SQL
 
-MODULES = ("q_tables", "q_windows", "q_bundles")
+MODULES = ("q_tables", "q_windows", "q_bundles", "q_outcomes")
 
 
 def _load() -> None:

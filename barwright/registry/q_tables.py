@@ -333,6 +333,13 @@ def j3(spark, sf):
     return align.asof_join(I.hourly(spark, sf).select("symbol", "date", "close"), slow_level(spark, sf), ["symbol"], "date", ["level"])
 
 
+@query("j3_asof_join_of_trades", f"""WITH {I.HOURLY_SQL}{SLOW}
+SELECT t.symbol, t.trade_id, t.price, s.level FROM ticks t ASOF LEFT JOIN slow s ON t.symbol = s.symbol AND t."timestamp" >= s.date""")
+def j3_trades(spark, sf):
+    t = I.ticks(spark, sf).select("symbol", "trade_id", F.col("timestamp").alias("date"), "price")
+    return align.asof_join_in_buckets(t, slow_level(spark, sf), ["symbol"], "date", ["level"]).drop("date")
+
+
 @query("j3b_merge_slow_sources", f"""WITH {I.HOURLY_SQL}{SLOW},
 v AS (SELECT symbol, date - INTERVAL 3 HOUR AS date, level * 2 AS vix FROM slow)
 SELECT h.symbol, h.date, h.close, s.level, v.vix FROM hourly h

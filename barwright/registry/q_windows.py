@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip as sclip, dbl, flag as sflag, ratio as sratio, sign, zero_to
 from ..operators import cusum, fit
 from ..operators.align import row_index
-from ..operators.blocks import ffill_in_blocks, in_blocks, latch_in_blocks
+from ..operators.blocks import ffill_in_blocks, in_blocks, latch_in_blocks, windows_by_size
 from ..operators.scan import Atr, Ema, Macd, Rsi, RunningQuantile, SeededEma, ema_in_blocks, scan
 from . import inputs as I
 from .core import finish, query, rounded
@@ -195,6 +195,16 @@ def w_blocks(spark, sf):
     return rounded(x.select("symbol", "date", "mean_96", "std_24", "lag_12"))
 
 
+@query("w_blocks_when_long", f"""WITH {I.HOURLY_SQL}, x AS (SELECT symbol, date, {B.max('close', 24, 1)} AS max_24 FROM hourly)
+SELECT symbol, date, max_24 FROM x""")
+def w_by_size(spark, sf):
+    def build(df, ly):
+        return df.withColumn("max_24", ly.max("close", 24, 1))
+
+    h = I.hourly(spark, sf).select("symbol", "date", "close")
+    return windows_by_size(h, ["symbol"], "date", 24, build, max_rows=100, block_rows=64).select("symbol", "date", "max_24")
+
+
 @query("w19_forward_fill_in_blocks", f"WITH {I.HOURLY_SQL}{GAPPY} SELECT symbol, date, {B.ffill('v')} AS filled FROM gappy")
 def w19_blocks(spark, sf):
     x = ffill_in_blocks(gappy(indexed(spark, sf)), ["symbol"], "row_index", "v", "filled", 128)
