@@ -231,12 +231,19 @@ def book_ctes(src: str, key: str, tag: str = "") -> tuple[str, list[str], list[s
 
 
 BOOK, BOOK_INTS, BOOK_DOUBLES = book_ctes("bars", "symbol")
-BOOK1, *_ = book_ctes("bars1", "series_id")
+BOOK1, *_ = book_ctes("both_sides", "series_id")
+BOTH_SIDES = I.SINGLE_SQL + ", both_sides AS (SELECT * REPLACE (sell_qty_sum + 1.0 AS sell_qty_sum) FROM bars1)"
 
 
-@query("b8_orderbook_features", finish(I.SINGLE_SQL + BOOK1, "book", ["series_id", "date", *BOOK_INTS], BOOK_DOUBLES))
+def both_sides(spark, sf):
+    """Bars whose sell side is never empty, so ratios keep enough digits to compare."""
+    return I.bars_single(spark, sf).withColumn("sell_qty_sum", F.col("sell_qty_sum") + 1.0)
+
+
+
+@query("b8_orderbook_features", finish(BOTH_SIDES + BOOK1, "book", ["series_id", "date", *BOOK_INTS], BOOK_DOUBLES))
 def b8(spark, sf):
-    x = orderbook_features(I.bars_single(spark, sf), I.ONE)
+    x = orderbook_features(both_sides(spark, sf), I.ONE)
     return rounded(x.select("series_id", "date", *[n.strip('"') for n in (*BOOK_INTS, *BOOK_DOUBLES)]))
 
 
@@ -592,18 +599,18 @@ def b21(spark, sf):
 
 # ---- everything together ---------------------------------------------------
 
-COMBINED_SQL = I.SINGLE_SQL + """,
+COMBINED_SQL = BOTH_SIDES + """,
 daily AS (
   SELECT series_id AS series, date, price_max AS high, price_min AS low, price_last AS close, qty_sum AS "volume_ETH", amount_sum AS "volume_USD",
          price_first, price_last, price_max, price_min, price_mean, qty_sum, qty_count, buy_qty_sum, sell_qty_sum, buy_trade_sum, sell_trade_sum,
          amount_sum AS total_flow_sum, CAST(qty_count AS DOUBLE) AS address_count_sum, buy_trade_sum + 1.0::DOUBLE AS active_receivers,
          sell_trade_sum + 1.0::DOUBLE AS active_senders, buy_qty_sum + 1.0 AS dex_volume, sell_qty_sum + 1.0 AS contract_calls,
-         floor(price_max) + 1.0 AS whale_tx_count FROM bars1)"""
+         floor(price_max) + 1.0 AS whale_tx_count FROM both_sides)"""
 
 
 def combined(spark, sf):
     c = F.col
-    b = I.bars_single(spark, sf)
+    b = both_sides(spark, sf)
     return b.select(
         c("series_id").alias("series"), "date", c("price_max").alias("high"), c("price_min").alias("low"), c("price_last").alias("close"),
         c("qty_sum").alias("volume_ETH"), c("amount_sum").alias("volume_USD"), "price_first", "price_last", "price_max", "price_min", "price_mean",

@@ -33,16 +33,12 @@ def simple(name, sql_columns: dict[str, str], spark_columns, flags: tuple[str, .
     return run
 
 
-def with_columns(**columns):
-    return lambda h: h.withColumns(columns)
-
-
 LAGS = (1, 2, 3, 6, 12, 24)
 simple("w1_lag", {f"lag_{n}": B.lag("close", n) for n in LAGS},
-       with_columns(**{f"lag_{n}": LY.lag("close", n) for n in LAGS}))
-simple("w1b_lead", {"lead_4": B.lead("close", 4)}, with_columns(lead_4=LY.lead("close", 4)))
+       lambda h: h.withColumns(dict(**{f"lag_{n}": LY.lag("close", n) for n in LAGS})))
+simple("w1b_lead", {"lead_4": B.lead("close", 4)}, lambda h: h.withColumns(dict(lead_4=LY.lead("close", 4))))
 simple("w2_difference", {f"diff_{n}": B.diff("close", n) for n in (1, 2, 6, 24)},
-       with_columns(**{f"diff_{n}": LY.diff("close", n) for n in (1, 2, 6, 24)}))
+       lambda h: h.withColumns(dict(**{f"diff_{n}": LY.diff("close", n) for n in (1, 2, 6, 24)})))
 
 GAPPY = ", gappy AS (SELECT symbol, date, rn, CASE WHEN hour(date) % 5 <> 2 THEN close END AS v FROM hourly)"
 PADDED = GAPPY + f", padded AS (SELECT *, {B.ffill('v')} AS p FROM gappy)"
@@ -56,10 +52,10 @@ simple("w3_pct_change", {f"pct_{n}": B.pct("p", n) for n in (1, 6, 12, 24)},
        lambda h: gappy(h).withColumn("p", LY.ffill("v")).withColumns({f"pct_{n}": LY.pct_change("p", n) for n in (1, 6, 12, 24)}),
        prior=PADDED, source="padded")
 simple("w4_log_return", {f"logret_{n}": B.logret("close", n) for n in (1, 3, 6, 24)},
-       with_columns(**{f"logret_{n}": LY.log_return("close", n) for n in (1, 3, 6, 24)}))
+       lambda h: h.withColumns(dict(**{f"logret_{n}": LY.log_return("close", n) for n in (1, 3, 6, 24)})))
 SIZES = (3, 6, 7, 12, 20, 24, 48, 72, 96, 168, 200, 336)
 simple("w5_rolling_mean_full", {f"mean_{n}": B.mean("close", n) for n in SIZES},
-       with_columns(**{f"mean_{n}": LY.mean("close", n) for n in SIZES}))
+       lambda h: h.withColumns(dict(**{f"mean_{n}": LY.mean("close", n) for n in SIZES})))
 simple("w6_rolling_mean_partial", {f"mean_{n}": B.mean("v", n, 1) for n in (6, 20, 24, 72)},
        lambda h: gappy(h).withColumns({f"mean_{n}": LY.mean("v", n, 1) for n in (6, 20, 24, 72)}), prior=GAPPY, source="gappy")
 STDS = ((6, 6), (12, 12), (20, 1), (24, 12), (20, 10), (200, 50))
@@ -68,10 +64,10 @@ simple("w7_rolling_std", {f"std_{n}_{k}": B.std("v", n, k) for n, k in STDS},
 simple("w8_centered_std",
        {"std_7": f"(CASE WHEN count(close) {B.rows(3, 3)} >= 7 THEN stddev_samp(close) {B.rows(3, 3)} END)",
         "std_30": f"(CASE WHEN count(close) {B.rows(15, 14)} >= 30 THEN stddev_samp(close) {B.rows(15, 14)} END)"},
-       with_columns(std_7=LY.std_centered("close", 7), std_30=LY.std_centered("close", 30)))
+       lambda h: h.withColumns(dict(std_7=LY.std_centered("close", 7), std_30=LY.std_centered("close", 30))))
 simple("w9_rolling_sum_max_min",
        {"sum_72": B.sum("close", 72), "max_72": B.max("close", 72), "max_24": B.max("close", 24, 1), "min_24": B.min("close", 24, 1)},
-       with_columns(sum_72=LY.sum("close", 72), max_72=LY.max("close", 72), max_24=LY.max("close", 24, 1), min_24=LY.min("close", 24, 1)))
+       lambda h: h.withColumns(dict(sum_72=LY.sum("close", 72), max_72=LY.max("close", 72), max_24=LY.max("close", 24, 1), min_24=LY.min("close", 24, 1))))
 simple("w10_rolling_median", {"median_168": B.quantile("v", 0.5, 168, 24)},
        lambda h: gappy(h).withColumn("median_168", LY.median("v", 168, 24)), prior=GAPPY, source="gappy")
 simple("w11_expanding_quantile", {"median": B.expanding("v", 0.5, 24), "q20": B.expanding("v", 0.2, 100)},
@@ -87,7 +83,7 @@ simple("w12_rolling_correlation", {"corr_6": f"(CASE WHEN count(r) {FR} >= 3 AND
        prior=MEANS, source="m")
 ZS = (24, 168, 200, 252, 336)
 simple("w13_rolling_zscore", {**{f"z_{n}": B.zscore("close", n) for n in ZS}, "z_24_raw": B.zscore("close", 24, "")},
-       with_columns(**{f"z_{n}": LY.zscore("close", n) for n in ZS}, z_24_raw=LY.zscore("close", 24, 0.0)))
+       lambda h: h.withColumns(dict(**{f"z_{n}": LY.zscore("close", n) for n in ZS}, z_24_raw=LY.zscore("close", 24, 0.0))))
 CHANGES = f""", c AS (SELECT symbol, date, coalesce({B.pct('close')}, 0.0) AS r FROM hourly),
 c2 AS (SELECT *, CASE WHEN {B.std('r', 24, 1)} = 0 THEN 1e-8 ELSE {B.std('r', 24, 1)} END AS sd FROM c)"""
 simple("w13b_volatility_normalised_move", {"z_move": clip("r / sd", -10, 10)},
@@ -167,7 +163,7 @@ def frac_sql(d: float = 0.4, cutoff: float = 0.01) -> str:
     return f"(CASE WHEN rn + 1 >= {len(weights)} THEN {terms} ELSE 0.0 END)"
 
 
-simple("w18_fractional_difference", {"close_fracdiff": frac_sql()}, with_columns(close_fracdiff=LY.frac_diff("close", 0.4)))
+simple("w18_fractional_difference", {"close_fracdiff": frac_sql()}, lambda h: h.withColumns(dict(close_fracdiff=LY.frac_diff("close", 0.4))))
 simple("w19_forward_fill", {"filled": B.ffill("v")}, lambda h: gappy(h).withColumn("filled", LY.ffill("v")), prior=GAPPY, source="gappy")
 MAS = f", c AS (SELECT symbol, date, close, {B.mean('close', 6)} AS s, {B.mean('close', 24)} AS m FROM hourly)"
 mas = lambda h: h.withColumns({"s": LY.mean("close", 6), "m": LY.mean("close", 24)})
@@ -278,8 +274,8 @@ def ti2(spark, sf):
 simple("ti3_bollinger_bands",
        {"upper": f"{B.mean('close', 20)} + 2.0 * {B.std_pop('close', 20)}", "middle": B.mean("close", 20),
         "lower": f"{B.mean('close', 20)} - 2.0 * {B.std_pop('close', 20)}", "width": f"4.0 * {B.std_pop('close', 20)}"},
-       with_columns(upper=LY.mean("close", 20) + LY.std_pop("close", 20) * 2.0, middle=LY.mean("close", 20),
-                    lower=LY.mean("close", 20) - LY.std_pop("close", 20) * 2.0, width=LY.std_pop("close", 20) * 4.0))
+       lambda h: h.withColumns(dict(upper=LY.mean("close", 20) + LY.std_pop("close", 20) * 2.0, middle=LY.mean("close", 20),
+                    lower=LY.mean("close", 20) - LY.std_pop("close", 20) * 2.0, width=LY.std_pop("close", 20) * 4.0)))
 
 EMA_RATIO_SQL = HEAD + "," + seeded("f", "base", "close", 12, 12, "e12") + "," + seeded("s", "base", "close", 26, 26, "e26") + """,
 x AS (SELECT b.symbol, b.date, e12 AS "EMA_12", e26 AS "EMA_26", e12 / (e26 + 1e-9) AS "EMA_ratio"
@@ -473,8 +469,8 @@ def f8(spark, sf):
 
 simple("f9_breakouts",
        {"break_up": flag(f"close > max(close) {B.rows(24, -1)}"), "break_down": flag(f"close < min(close) {B.rows(24, -1)}")},
-       with_columns(break_up=sflag(F.col("close") > F.max("close").over(LY.rows(-24, -1))),
-                    break_down=sflag(F.col("close") < F.min("close").over(LY.rows(-24, -1)))),
+       lambda h: h.withColumns(dict(break_up=sflag(F.col("close") > F.max("close").over(LY.rows(-24, -1))),
+                    break_down=sflag(F.col("close") < F.min("close").over(LY.rows(-24, -1))))),
        flags=("break_up", "break_down"))
 REGIME = {"es": ("close", 2 / 11), "el": ("close", 2 / 31)}
 
@@ -531,6 +527,6 @@ simple("f16_breakout_agreement",
 simple("f18_level_flags",
        {"over_half": flag("volume / 97.0 > 0.5"), "under_half": flag("volume / 97.0 < 0.5"), "high_level": flag(f"volume >= {B.qwhole('volume', 0.7)}"),
         "low_level": flag(f"volume <= {B.qwhole('volume', 0.3)}")},
-       with_columns(over_half=sflag(dbl("volume") / 97.0 > 0.5), under_half=sflag(dbl("volume") / 97.0 < 0.5),
-                    high_level=fit.quantile_flag(LY, "volume", 0.7, ">="), low_level=fit.quantile_flag(LY, "volume", 0.3, "<=")),
+       lambda h: h.withColumns(dict(over_half=sflag(dbl("volume") / 97.0 > 0.5), under_half=sflag(dbl("volume") / 97.0 < 0.5),
+                    high_level=fit.quantile_flag(LY, "volume", 0.7, ">="), low_level=fit.quantile_flag(LY, "volume", 0.3, "<="))),
        flags=("over_half", "under_half", "high_level", "low_level"))
