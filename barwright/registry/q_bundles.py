@@ -591,10 +591,11 @@ SENT_D = ["fg_index_ma", "fg_index_change", "fg_index_diff"] + [
 
 
 @query("b21_sentiment_features", finish(SENT, "s3", [
-    "series_id", "date", "fg_index", "fg_label", "fg_label_num", "fg_index_lag1", "fg_index_lag2"], SENT_D))
+    "series_id", "date", "fg_index", "fg_label", "fg_label_num", "CAST(fg_index_lag1 AS DOUBLE) AS fg_index_lag1", "CAST(fg_index_lag2 AS DOUBLE) AS fg_index_lag2"], SENT_D))
 def b21(spark, sf):
     s = sentiment(spark, sf).withColumn("series_id", F.lit(0))
-    return rounded(pipeline.sentiment_features(s, ["series_id"]))
+    x = pipeline.sentiment_features(s, ["series_id"])
+    return rounded(x.withColumns({f"fg_index_lag{n}": F.col(f"fg_index_lag{n}").cast("double") for n in (1, 2)}))
 
 
 # ---- everything together ---------------------------------------------------

@@ -25,11 +25,11 @@ KEY = ["symbol"]
 
 @query("l1_direction_label", f"""WITH {I.HOURLY_SQL}
 SELECT symbol, date, {flag(f"{B.lead('close', 4)} > close")} AS labels,
-       CASE WHEN {B.lead('close', 4)} IS NOT NULL THEN {flag(f"{B.lead('close', 4)} > close")} END AS labels_open FROM hourly""")
+       CASE WHEN {B.lead('close', 4)} IS NOT NULL THEN {flag(f"{B.lead('close', 4)} > close")}::DOUBLE END AS labels_open FROM hourly""")
 def l1(spark, sf):
     return I.hourly(spark, sf).select(
         "symbol", "date", L.direction_label(I.BARS, "close").alias("labels"),
-        L.direction_label(I.BARS, "close", open_tail="null").alias("labels_open"))
+        L.direction_label(I.BARS, "close", open_tail="null").cast("double").alias("labels_open"))
 
 
 CLOSED = I.EVENTS_SQL + """,

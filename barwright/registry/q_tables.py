@@ -309,9 +309,10 @@ def j1(spark, sf):
 
 
 @query("j2_full_outer_join_on_hour", f"""WITH base AS (SELECT 1){PER_TYPE}
-SELECT date, n_click, n_error, n_view FROM t_click FULL JOIN t_error USING (date) FULL JOIN t_view USING (date)""")
+SELECT date, n_click::DOUBLE AS n_click, n_error::DOUBLE AS n_error, n_view::DOUBLE AS n_view FROM t_click FULL JOIN t_error USING (date) FULL JOIN t_view USING (date)""")
 def j2(spark, sf):
-    return align.join_all([per_type(spark, sf, t) for t in TYPES], ["date"], "full")
+    x = align.join_all([per_type(spark, sf, t) for t in TYPES], ["date"], "full")
+    return x.select("date", *[F.col(f"n_{t}").cast("double") for t in TYPES])
 
 
 SLOW = """,
@@ -387,9 +388,10 @@ def j8(spark, sf):
 
 @query("u1_union_keep_first", f"""WITH base AS (SELECT 1){PER_TYPE},
 u AS (SELECT 0 AS src, date, n_click, NULL AS n_error FROM t_click UNION ALL SELECT 1, date, NULL, n_error FROM t_error)
-SELECT date, n_click, n_error FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY src) k FROM u) WHERE k = 1""")
+SELECT date, n_click::DOUBLE AS n_click, n_error::DOUBLE AS n_error FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY src) k FROM u) WHERE k = 1""")
 def u1(spark, sf):
-    return align.union_keep_first([per_type(spark, sf, "click"), per_type(spark, sf, "error")], ["date"])
+    x = align.union_keep_first([per_type(spark, sf, "click"), per_type(spark, sf, "error")], ["date"])
+    return x.select("date", F.col("n_click").cast("double"), F.col("n_error").cast("double"))
 
 
 @query("e1_row_index", f"""WITH {I.TICKS}
@@ -416,11 +418,11 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 @query("a2b_flow_pivot", "SELECT CAST(o_orderdate AS TIMESTAMP) AS date, " + ", ".join(
-    f"""CAST(sum(floor(o_totalprice)) FILTER (o_orderpriority = '{p}') AS BIGINT) AS "{p}" """ for p in PRIORITIES)
+    f"""CAST(sum(floor(o_totalprice)) FILTER (o_orderpriority = '{p}') AS DOUBLE) AS "{p}" """ for p in PRIORITIES)
     + "FROM orders GROUP BY o_orderdate")
 def a2b(spark, sf):
     o = I.table(spark, sf, "orders").select(
-        F.col("o_orderdate").cast("timestamp").alias("date"), "o_orderpriority", F.floor("o_totalprice").alias("flow"))
+        F.col("o_orderdate").cast("timestamp").alias("date"), "o_orderpriority", F.floor("o_totalprice").cast("double").alias("flow"))
     return align.flow_pivot(o, "date", "o_orderpriority", "flow", PRIORITIES)
 
 

@@ -82,6 +82,10 @@ def main(sf: str, names: list[str]) -> None:
             print(f"{name}: SQL FAILED {str(e)[:1500]}", flush=True)
             continue
         diff = difference(got, want)
+        kinds = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns if c in want.columns
+                 and got[c].dtype.kind != want[c].dtype.kind}
+        if kinds:
+            print(f"  types {name}: {kinds}")
         print(f"{name}: {'ok' if not diff else 'DIFF ' + diff} rows={len(got)} cols={len(got.columns)} "
               f"[{t1 - t0:.1f}s / {time.time() - t1:.1f}s]", flush=True)
 
