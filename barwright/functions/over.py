@@ -131,6 +131,19 @@ class Layout:
     def mean(self, c, n: int, need: int | None = None) -> Column:
         return self._rolling("avg", F.avg, c, n, need)
 
+    def mean_of_parts(self, part_sum: str, n: int, part: int) -> Column:
+        """Full-window mean over ``n`` rows from a column of full sums over ``part`` rows.
+
+        A frame is re-read for every row, so a 336-row mean costs 336 additions; adding the 14
+        lagged 24-row sums costs 14 and shares them with the other multiples of 24.
+        """
+        if n % part:
+            raise ValueError("n must be a multiple of part")
+        total = col(part_sum)
+        for k in range(part, n, part):
+            total = total + self.lag(part_sum, k)
+        return total / F.lit(float(n))
+
     def sum(self, c, n: int, need: int | None = None) -> Column:
         return self._rolling("sum", F.sum, c, n, need)
 

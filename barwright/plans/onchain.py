@@ -46,12 +46,13 @@ def activity_features(df: DataFrame, ly: Layout, drop: str = "all", columns: Seq
     ly = ly.layered()
     always = (*ly.keys, *ly.order)
     given = list(df.columns)
+    df = ly.add(df, {f"_day_{c}": ly.sum(c, 24) for c in columns})
     layer = {}
     for c in columns:
         layer[f"{c}_diff"] = ly.diff(dbl(c))
         layer[f"_pad_{c}"] = ly.ffill(dbl(c))
         for name, n in ((6, 7), (12, 12), (24, 24), (48, 48), (72, 72), (96, 96), (168, 168)):
-            layer[f"{c}_MA_t_{name}"] = ly.mean(c, n)
+            layer[f"{c}_MA_t_{name}"] = ly.mean(c, n) if n <= 24 else ly.mean_of_parts(f"_day_{c}", n, 24)
         for n in (1, 3):
             layer[f"{c}_Lag_t_{n}"] = ly.lag(dbl(c), n)
         for n in (7, 30):

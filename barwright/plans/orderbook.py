@@ -30,7 +30,8 @@ def orderbook_features(df: DataFrame, ly: Layout, train=None) -> DataFrame:
     buy, sell = c("buy_qty_sum"), c("sell_qty_sum")
     n_buy, n_sell = c("buy_trade_sum"), c("sell_trade_sum")
     spread = ratio(c("price_max") - c("price_min"), c("price_mean"))
-    x = df.withColumns({
+    x = ly.add(df, {
+        "_day": ly.sum("price_mean", 24),
         "buy_sell_ratio": ratio(buy, sell + eps),
         "volatility": spread,
         "price_change": c("price_last") - c("price_first"),
@@ -42,7 +43,10 @@ def orderbook_features(df: DataFrame, ly: Layout, train=None) -> DataFrame:
         "buy_sell_imbalance": buy - sell,
         "order_imbalance_norm": ratio(buy - sell, buy + sell + eps),
     })
-    layer = {f"{name}_MA_t_{n}": ly.mean(name, n) for name, sizes in FLOW_MEANS.items() for n in sizes}
+    layer = {
+        f"{name}_MA_t_{n}": ly.mean(name, n) if n <= 24 else ly.mean_of_parts("_day", n, 24)
+        for name, sizes in FLOW_MEANS.items() for n in sizes
+    }
     layer |= {f"{name}_Lag_t_{n}": ly.lag(c(name), n) for name in ("price_mean", "buy_qty_sum", "sell_qty_sum") for n in (1, 3)}
     layer |= {
         "delta_buy_qty": ly.diff(buy), "delta_sell_qty": ly.diff(sell),
@@ -71,4 +75,4 @@ def orderbook_features(df: DataFrame, ly: Layout, train=None) -> DataFrame:
         for name in ("price_mean", "buy_qty_sum", "sell_qty_sum") for n in (6, 24)
     }
     x = ly.add(x, layer)
-    return x.withColumn("spread_spike_flag", flag(F.abs(F.col("spread_change_rate")) > 0.5)).drop("_spread")
+    return x.withColumn("spread_spike_flag", flag(F.abs(F.col("spread_change_rate")) > 0.5)).drop("_spread", "_day")

@@ -12,6 +12,7 @@ from ..operators.scan import Atr, Macd, Rsi, RunningQuantile, SeededEma, scan
 from ..session import cut_lineage
 
 MA_WINDOWS = (6, 12, 24, 48, 72, 96, 168, 336)
+DAY = 24
 EPS = 1e-8
 
 # Bounds applied to the finished columns.
@@ -46,6 +47,7 @@ def indicator_base(df: DataFrame, ly: Layout) -> DataFrame:
     close = dbl("close")
     base = ly.add(df, {
         "_c": ly.ffill(close),
+        "_day": ly.sum(close, DAY),
         "bb_width_20": ratio(
             F.lit(2.0) * ly.std(close, 20, 1), F.abs(ly.mean(close, 20, 1)) + F.lit(EPS)),
         "_bb": ratio(
@@ -78,7 +80,8 @@ def price_features(df: DataFrame, ly: Layout, drop: str = "all") -> DataFrame:
     first = {f"log_return_{n}h": ly.log_return(close, n) for n in (1, 3, 6, 24)}
     first |= {f"momentum_{n}h": ly.diff(close, n) for n in (6, 12)}
     first |= {f"volatility_{n}h": ly.std(close, n) for n in (6, 12)}
-    first |= {f"MA_t_{n}": ly.mean(close, n) for n in MA_WINDOWS}
+    first |= {
+        f"MA_t_{n}": ly.mean(close, n) if n <= DAY else ly.mean_of_parts("_day", n, DAY) for n in MA_WINDOWS}
     first |= {"ma_6h": ly.mean(close, 6), "ma_24h": ly.mean(close, 24)}
     first |= {f"Lag_t_{n}": ly.lag(close, n) for n in (1, 3)}
     first |= {f"ma_{n}": ly.mean(close, n, 1) for n in (6, 24, 72)}
