@@ -44,6 +44,8 @@ def asof_join(
     if missing:
         raise ValueError(f"columns not found on the right side: {missing}")
     keys = [*series, *extra_keys]
+    if not keys:
+        raise ValueError("name at least one series column; a window without keys runs in one task")
     payload = [c for c in left.columns if c not in (*keys, ts)]
     l = left.select(
         *keys, ts, F.lit(1).alias("_side"), F.struct(*payload).alias("_left")
@@ -54,9 +56,8 @@ def asof_join(
         F.struct(*columns).alias("_right"), *[F.col(t).alias(f"_tie_{t}") for t in tie],
     )
     both = l.unionByName(r, allowMissingColumns=True)
-    w = (
-        Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ).orderBy(ts, "_side", *[f"_tie_{t}" for t in tie]).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(ts, "_side", *[f"_tie_{t}" for t in tie]).rowsBetween(
+        Window.unboundedPreceding, 0)
     carried = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w))
     return carried.filter("_side = 1").select(
         *keys, ts,

@@ -38,7 +38,7 @@ def replay(
             if rows.empty:
                 continue
             out = np.zeros((len(rows), len(outputs)), dtype="int32")
-            ids = list(rows[keys].itertuples(index=False, name=None)) if keys else [()] * len(rows)
+            ids = list(rows[keys].itertuples(index=False, name=None))
             values = rows[list(inputs)].to_numpy(float)
             for i in range(len(rows)):
                 if ids[i] != current:
@@ -49,8 +49,7 @@ def replay(
                 result[name] = out[:, j]
             yield result
 
-    placed = df.repartition(*keys) if keys else df.coalesce(1)
-    return placed.sortWithinPartitions(*keys, *ly.order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *ly.order).mapInPandas(run, schema)
 
 
 def cusum_flags_resetting(df: DataFrame, ly: Layout, column: str, threshold: float) -> DataFrame:

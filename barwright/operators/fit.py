@@ -98,7 +98,7 @@ def apply_standard(
     wide = params.groupBy(*series).agg(
         *[F.max(F.when(F.col("column") == c, F.struct("mean", std))).alias(f"_p_{c}") for c in columns]
     )
-    joined = df.join(wide, list(series), "left") if series else df.crossJoin(F.broadcast(wide))
+    joined = df.join(wide, list(series), "left")
     scaled = joined.withColumns({
         f"{c}{suffix}": (dbl(c) - F.col(f"_p_{c}.mean")) / unit_if_flat(F.col(f"_p_{c}.{std}")) for c in columns
     })

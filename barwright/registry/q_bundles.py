@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.over import Layout
-from ..operators.fit import train_mask
 from ..plans import macro as M
 from ..plans import onchain, pipeline
 from ..plans.orderbook import FLOW_MEANS, orderbook_features

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.over import Layout
 from ..functions.scalar import ratio as sratio
 from ..operators import align, clean, fit, profile
 from ..operators.bars import BAR_COLUMNS, ticks_to_bars
