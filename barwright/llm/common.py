@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,19 @@ def worker_state(key: str, make: Callable):
     return home.__dict__[key]
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` holds about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield table.combine_chunks().to_batches()[0]
+
+
 def batch(columns: dict[str, tuple]) -> pa.RecordBatch:
     """A record batch from name -> (values, Arrow type)."""
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, pii
+import public_tokenizers
+
+from ..session import scratch_dir
+from . import decontaminate, fingerprint, packing, pii, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,5 +31,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup)}
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written to wavelet-matrix shards and read back."""
+    out = scratch_dir(spark, "token-shards")
+    wavelet.write_shards(read_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.documents(wavelet.read_shards(spark, out))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.report(packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op5_token_shards, op8_packing)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_exact_dedup": fingerprint.SQL}

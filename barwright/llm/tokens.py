@@ -1,110 +1,138 @@
 """Fast whole-text encoding with a tokenizers file.
 
-Encoding a text equals encoding its pieces wherever the pre-tokenizer always cuts.  A single space between two
-visible characters is such a place for pre-tokenizers that split words at white space, whether the space is
-dropped or starts the next word.  Texts are cut there, each distinct piece is encoded by the library once per
-worker, and a text's ids are gathered from its pieces.  A text with any other kind of space between pieces
-(doubled, at an end, next to an invisible character) is encoded whole.
+Encoding a text equals encoding its pieces wherever the pre-tokenizer always cuts.  For pre-tokenizers that take
+runs of letters, and drop white space or let one space start the next word, such places are: before a single space
+between two visible characters, before a full stop or comma that follows a Latin letter, and around a single
+line feed between two visible characters.  Texts are cut there, each distinct piece is encoded by the library
+once per worker, and a text's ids are gathered from its pieces.  A text with any other kind of space between
+pieces (doubled, at an end, next to an invisible character) is encoded whole.
 """
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import worker_state
+from .common import utf8_views, worker_state
 
 #: Pieces remembered per worker; beyond it the memory starts anew, which changes no result.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 1_000_000
+#: Starts a piece that continues the one before it without a space.
+JOINT = "\x01"
+#: Starts the memory's key of a piece at the start of a text.
+HEAD = "\x02"
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def visible(c: str) -> bool:
     return c.isalnum() or "!" <= c <= "~"
 
 
+def edges(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word starts and ends with a visible character (or at a joint)."""
+    offsets, data = utf8_views(words)
+    first = np.zeros(len(words), np.uint8)
+    last = np.zeros(len(words), np.uint8)
+    full = offsets[1:] > offsets[:-1]
+    first[full], last[full] = data[offsets[:-1][full]], data[offsets[1:][full] - 1]
+    start = (first > 32) & (first < 127) | (first == 1)
+    end = (last > 32) & (last < 127)
+    for i in np.flatnonzero((first > 127) | (last > 127) | (last == 10)).tolist():
+        w = words[i].as_py()
+        start[i] |= visible(w[0])
+        end[i] = visible(w[-1]) or w == JOINT + "\n"
+    return start, end
+
+
 class Encoder:
     """ids of whole texts as one flat array with bounds."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.cuts: list[bool] = []
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > MEMORY_PIECES:
-            self.known, self.lengths, self.starts, self.ids = {}, self.lengths[:0], self.starts[:0], self.ids[:0]
-        encoded = self.plain(pieces)
-        lengths = np.array([len(e) for e in encoded], np.int64)
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        for p in pieces:
-            self.known[p] = len(self.known)
-        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
-        self.ids = np.concatenate([self.ids, np.array([i for e in encoded for i in e], np.uint32)])
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Index of each piece in the memory."""
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before + len(new):  # the memory started anew
-                self.learn([p for p in pieces if p not in self.known])
-        return np.array([self.known[p] for p in pieces], np.int64)
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Index in the memory of each word; a word stands for the piece that starts with a space, at a joint or,
+        marked as a head, at the start of a text."""
+        find = self.known.get
+        at = np.array([find(w, -1) for w in words], np.int64)
+        if (at < 0).any():
+            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0).tolist()))
+            if len(self.known) + len(new) > MEMORY_PIECES and self.known:
+                self.forget()
+                return self.places(words)
+            encoded = self.plain([w[1:] if w[0] in (JOINT, HEAD) else " " + w for w in new])
+            lengths = np.array([len(e) for e in encoded], np.int64)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            at[at < 0] = [self.known[words[i]] for i in np.flatnonzero(at < 0).tolist()]
+        return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of text i are ids[bounds[i]:bounds[i + 1]]."""
         n = len(column)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        words = pc.split_pattern(column, " ")
+        own_marks = pc.match_substring_regex(column, f"[{JOINT}{HEAD}]").to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring_regex(column, f"([{LATIN}])([.,])", rf"\1 {JOINT}\2")
+        marked = pc.replace_substring_regex(marked, f"([!-~{LATIN}])\n([!-~{LATIN}])", f"\\1 {JOINT}\n {JOINT}\\2")
+        words = pc.split_pattern(marked, " ")
         offsets = words.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = words.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        good_start = np.array([bool(w) and visible(w[0]) for w in distinct])
-        good_end = np.array([bool(w) and visible(w[-1]) for w in distinct])
-        heads = np.zeros(len(codes), bool)
-        heads[offsets[:-1]] = True
+        codes = coded.indices.to_numpy()
+        good_start, good_end = edges(coded.dictionary)
         bad = np.zeros(len(codes), bool)
-        bad[1:] = ~heads[1:] & ~(good_end[codes[:-1]] & good_start[codes[1:]])
-        whole = np.add.reduceat(bad, offsets[:-1]) > 0
-        owner = np.repeat(np.arange(n), np.diff(offsets))
-        use = ~whole[owner]
-        # The first piece of a text has no space before it; all others have.
-        key = codes + np.where(heads, len(distinct), 0)
-        wanted = np.unique(key[use])
-        pieces = [distinct[k - len(distinct)] if k >= len(distinct) else " " + distinct[k] for k in wanted.tolist()]
-        place = np.zeros(2 * len(distinct), np.int64)
-        place[wanted] = self.places(pieces)
-        at = place[key]
-        lengths = np.where(use, self.lengths[at] if len(self.lengths) else 0, 0)
-        totals = np.zeros(n, np.int64)
-        np.add.at(totals, owner, lengths)
-        late = np.flatnonzero(whole)
-        encoded = self.plain(column.take(pa.array(late)).to_pylist()) if len(late) else []
-        for i, e in zip(late.tolist(), encoded, strict=True):
-            totals[i] = len(e)
-        bounds = np.concatenate([[0], np.cumsum(totals)])
-        out = np.zeros(bounds[-1], np.uint32)
-        # Each used piece copies lengths[j] ids to its place in the output.
-        before = np.cumsum(lengths) - lengths
-        shift = np.where(whole, totals, 0)
-        target = before + (np.cumsum(shift) - shift)[owner]
-        total = int(lengths.sum())
-        inner = np.arange(total) - np.repeat(before, lengths)
-        out[np.repeat(target, lengths) + inner] = self.ids[np.repeat(self.starts[at] if len(self.starts) else at, lengths) + inner]
-        for i, e in zip(late.tolist(), encoded, strict=True):
-            out[bounds[i]:bounds[i + 1]] = e
-        return out, bounds
+        bad[1:] = ~(good_end[codes[:-1]] & good_start[codes[1:]])
+        bad[offsets[:-1]] = False
+        whole = (np.add.reduceat(bad, offsets[:-1]) > 0) | own_marks
+        used = np.ones(len(codes), bool)
+        if whole.any():
+            used = ~np.repeat(whole, np.diff(offsets))
+        distinct = coded.dictionary.to_pylist()
+        inner = used.copy()
+        inner[offsets[:-1]] = False
+        wanted = np.zeros(len(distinct), bool)
+        wanted[codes[inner]] = True
+        wanted = np.flatnonzero(wanted)
+        heads = offsets[:-1][~whole]
+        first = codes[heads]
+        # One call, so that the memory cannot start anew in between.
+        at = self.places([distinct[i] for i in wanted.tolist()] + [HEAD + distinct[i] for i in first.tolist()])
+        place = np.zeros(len(distinct), np.int64)
+        place[wanted] = at[:len(wanted)]
+        piece = place[codes]
+        piece[heads] = at[len(wanted):]
+        piece = piece[used]
+        lengths = self.lengths[piece] if len(piece) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.starts[piece] - before[:-1], lengths) + np.arange(before[-1])] if len(piece) else self.ids[:0]
+        upto = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(offsets)))])
+        bounds = before[upto]
+        if not whole.any():
+            return ids, bounds
+        late = np.flatnonzero(whole).tolist()
+        encoded = dict(zip(late, self.plain([column[i].as_py() for i in late]), strict=True))
+        parts = [np.array(encoded[i], np.uint32) if i in encoded else ids[bounds[i]:bounds[i + 1]] for i in range(n)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def encoder(path: str) -> Encoder:
