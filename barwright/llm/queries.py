@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..session import scratch_dir
-from . import decontaminate, fingerprint, packing, pii, wavelet
+from . import chat, decontaminate, fingerprint, packing, pii, quality, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,32 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(wavelet.read_shards(spark, out))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted, written and read back."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string"))
+    out = scratch_dir(spark, "chat")
+    chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")).write.parquet(out)
+    return chat.report(spark.read.parquet(out))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.report(packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op5_token_shards, op8_packing)}
-SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_exact_dedup": fingerprint.SQL}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op5_token_shards, op6_quality, op7_chat_format, op8_packing,
+                                               op10_toxicity)}
+SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_exact_dedup": fingerprint.SQL,
+                       "op7_chat_format": chat.SQL}
