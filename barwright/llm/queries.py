@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..session import scratch_dir
-from . import chat, decontaminate, fingerprint, packing, pii, quality, toxicity, wavelet
+from . import chat, decontaminate, fingerprint, neardup, packing, pii, quality, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes over all documents."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written to wavelet-matrix shards and read back."""
     out = scratch_dir(spark, "token-shards")
@@ -63,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op5_token_shards, op6_quality, op7_chat_format, op8_packing,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op4_near_dedup, op5_token_shards, op6_quality, op7_chat_format, op8_packing,
                                                op10_toxicity)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_exact_dedup": fingerprint.SQL,
                        "op7_chat_format": chat.SQL}
