@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..session import scratch_dir
-from . import chat, decontaminate, fingerprint, neardup, packing, pii, quality, toxicity, wavelet
+from . import chat, decontaminate, fingerprint, neardup, packing, pii, quality, suffix, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that repeat an earlier document, over all documents."""
+    return suffix.repeated_strings(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = read_table(spark, sf_dir, "documents")
@@ -69,6 +74,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op4_near_dedup, op5_token_shards, op6_quality, op7_chat_format, op8_packing,
-                                               op10_toxicity)}
+                                               op9_suffix_dedup, op10_toxicity)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_exact_dedup": fingerprint.SQL,
                        "op7_chat_format": chat.SQL}

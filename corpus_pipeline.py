@@ -1,20 +1,46 @@
-"""A training-corpus pipeline of five stages over ``documents``."""
+"""A training-corpus pipeline of five stages over ``documents``.
+
+Each stage takes the documents that its predecessor kept and returns a table with the same columns (the last one:
+pieces of packed sequences).  Rows with a null text count as empty; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import fingerprint
+from barwright.llm import decontaminate, fingerprint, neardup, packing, toxicity
 from barwright.llm.common import read_table
 from barwright.session import scratch_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of these documents, does not reject."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts stays."""
+    """One document of each set of equal texts."""
     return fingerprint.drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return neardup.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest, packed into sequences of 1024 tokens."""
+    return packing.report(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("packing", pack)]
 ORACLE_SQL = None
 
 
