@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size and kept."""
     marks = cut_lineage(signed(docs, bands, rows))
     heads = marks.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("node"))
-    members = cut_lineage(marks.join(heads, ["same_a", "same_b"]))
+    members = cut_lineage(marks.join(heads, ["same_a", "same_b"]).withColumn(
+        "node", F.when(F.size("keys") > 0, F.col("node")).otherwise(F.col("doc_id"))))
     buckets = members.filter("doc_id = node").select("node", F.explode("keys").alias("key")).distinct()
     shared = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     buckets = cut_lineage(buckets.join(shared, "key"))  # only keys that several nodes have
