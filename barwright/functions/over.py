@@ -13,7 +13,9 @@ exchange and one sort for a whole layer of them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import accumulate, count, takewhile
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -51,7 +53,7 @@ class Layout:
         A formula that mentions one window several times would otherwise have Spark evaluate
         it several times.  Use :meth:`add` to turn a layer of formulas into columns.
         """
-        return Layout(self.keys, self.order, _Pending())
+        return replace(self, pending=_Pending())
 
     def add(self, df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
         if self.pending is None or not self.pending.columns:
@@ -249,14 +251,13 @@ class Layout:
 
 
 def frac_weights(d: float, cutoff: float) -> list[float]:
-    """Binomial weights of (1 - L)^d, newest first, cut at the first small one."""
-    weights = [1.0]
-    while True:
-        k = len(weights)
-        w = -weights[-1] * (d - k + 1) / k
-        if abs(w) < cutoff:
-            return weights
-        weights.append(w)
+    """Coefficients of the series of (1 - L)^d, newest first, up to where they first fall below ``cutoff``.
+
+    The k-th is (-1)^k times the generalised binomial coefficient of d over k, a product of the k
+    factors (j - 1 - d) / j.
+    """
+    factors = ((j - 1 - d) / j for j in count(1))
+    return list(takewhile(lambda w: abs(w) >= cutoff, accumulate(factors, mul, initial=1.0)))
 
 
 def log_clipped(c: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import clip, finite
@@ -20,13 +20,11 @@ def time_range(df: DataFrame, ts: str, lo, hi) -> DataFrame:
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first by ``order``.
 
-    An aggregate with map-side combine rather than ``row_number``: a key holding a large
-    share of all rows is reduced before the exchange and never sorted in one task.
+    Spark limits each map task to the first row of every key before the exchange
+    (``WindowGroupLimit``), so a key holding a large share of all rows arrives as one row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -152,7 +152,7 @@ def sample_weights(
     age = F.floor((F.unix_seconds(F.max(start).over(whole)) - F.unix_seconds(F.col(start))) / F.lit(86_400))
     raw = summed.withColumn("_w", F.abs(F.col("_part") * F.exp(F.lit(-decay) * age)))
     # The scale is one row per series; aggregating it apart keeps many events off one task.
-    scale = raw.groupBy(*series).agg((F.count(F.lit(1)) / F.sum("_w")).alias("_scale"))
+    scale = raw.groupBy(*series).agg(F.try_divide(F.count(F.lit(1)).cast("double"), F.sum("_w")).alias("_scale"))
     return raw.join(scale, list(series)).withColumn(out, F.col("_w") * F.col("_scale")).drop(
         "_part", "_rows", "_w", "_scale"
     )

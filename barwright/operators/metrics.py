@@ -93,13 +93,14 @@ def kl_histograms(
         F.struct(F.lit(0).alias("side"), dbl(y).alias("v")), F.struct(F.lit(1).alias("side"), dbl(pred).alias("v"))
     )).alias("_r")).join(span, list(keys))
     v, lo, hi = F.col("_r.v"), F.col("_lo"), F.col("_hi")
-    place = F.least(F.floor((v - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(bins - 1))
+    # Equal targets leave a span of zero; everything on it falls into the first bin.
+    place = F.least(F.coalesce(F.floor(F.try_divide((v - lo) * F.lit(float(bins)), hi - lo)), F.lit(0)), F.lit(bins - 1))
     counts = rows.filter(v.between(lo, hi)).groupBy(*keys, place.alias("_bin")).agg(
         F.sum(F.when(F.col("_r.side") == 0, 1).otherwise(0)).alias("_t"),
         F.sum(F.when(F.col("_r.side") == 1, 1).otherwise(0)).alias("_p"),
     )
     w = Window.partitionBy(*keys)
-    p = F.col("_t") / F.sum("_t").over(w)
+    p = F.try_divide(F.col("_t").cast("double"), F.sum("_t").over(w))
     q = F.try_divide(F.col("_p").cast("double"), F.sum("_p").over(w))
     parts = counts.withColumn("_part", F.when(F.col("_t") == 0, 0.0)
                               .when(F.coalesce(q, F.lit(0.0)) == 0.0, F.lit(float("inf"))).otherwise(p * F.ln(p / q)))
@@ -142,19 +143,20 @@ def fold_mean(df: DataFrame, keys: Sequence[str], score: str, out: str = "mean_s
     return df.groupBy(*keys).agg(F.avg(score).alias(out))
 
 
-def auc(df: DataFrame, keys: Sequence[str], y: str, score: str, out: str = "auc", slices: int = 4096) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str], y: str, score: str, out: str = "auc", slices: int = 256) -> DataFrame:
     """Exact rank-sum AUC.
 
     Ties are collapsed to counts per distinct score with map-side combine.  The running
-    count of negatives is taken in two levels, over equal-width slices of the score range
-    and inside a slice, so no task orders all scores of a group.
+    count of negatives is taken in two levels, over slices cut at approximate quantiles of the
+    distinct scores and inside a slice, so no task orders all scores of a group, however
+    unevenly they lie.
     """
     tallied = df.groupBy(*keys, dbl(score).alias("_s")).agg(
         F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) == 0).cast("long")).alias("_n"))
-    span = df.groupBy(*keys).agg(F.min(dbl(score)).alias("_lo"), F.max(dbl(score)).alias("_hi"))
-    pos = F.try_divide((F.col("_s") - F.col("_lo")) * F.lit(float(slices)), F.col("_hi") - F.col("_lo"))
-    sliced = tallied.join(span, list(keys)).withColumn(
-        "_k", F.least(F.floor(F.coalesce(pos, F.lit(0.0))), F.lit(slices - 1)))
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = tallied.groupBy(*keys).agg(F.percentile_approx("_s", shares, 10 * slices).alias("_cuts"))
+    sliced = tallied.join(cuts, list(keys)).withColumn(
+        "_k", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
     totals = sliced.groupBy(*keys, "_k").agg(F.sum("_n").alias("_kn"))
     up = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     below = totals.select(*keys, "_k", (F.sum("_kn").over(up) - F.col("_kn")).alias("_below"))

@@ -13,7 +13,7 @@ from ..operators.bars import ticks_to_bars
 from ..session import pin_session
 
 BARS = Layout.of("symbol", "date")
-ONE = Layout.of("series_id", "date")
+SERIES = Layout.of("series_id", "date")
 DAILY = Layout.of("series", "date")
 
 
@@ -37,14 +37,14 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf), ["symbol"])
 
 
-def bars_single(spark: SparkSession, sf: str) -> DataFrame:
-    one = ticks(spark, sf).withColumn("series_id", F.lit(0)).drop("symbol")
-    return ticks_to_bars(one, ["series_id"])
+def series_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bars with the key named as the bundles expect it."""
+    return bars(spark, sf).withColumnRenamed("symbol", "series_id")
 
 
 def priced(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly bars under OHLCV names, one series."""
-    return bars_single(spark, sf).select(
+    """Hourly bars under OHLCV names."""
+    return series_bars(spark, sf).select(
         "series_id", "date", F.col("price_first").alias("open"), F.col("price_max").alias("high"),
         F.col("price_min").alias("low"), F.col("price_last").alias("close"),
         F.col("qty_sum").alias("volume_ETH"), F.col("amount_sum").alias("volume_USD"))
@@ -72,7 +72,7 @@ def activity(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").withColumn("usd", F.floor("o_totalprice") / F.lit(1024.0))
     n = lambda cond: (F.sum(F.when(cond, 1).otherwise(0)) + 1).cast("double")
     s = F.col("o_orderstatus")
-    return o.groupBy(F.lit(0).alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("date")).agg(
+    return o.groupBy((F.col("o_custkey") % 4).cast("int").alias("series_id"), F.col("o_orderdate").cast("timestamp").alias("date")).agg(
         F.sum("usd").alias("total_flow_sum"),
         F.count(F.lit(1)).cast("double").alias("address_count_sum"),
         F.countDistinct("o_custkey").cast("double").alias("active_receivers"),
@@ -84,8 +84,8 @@ def activity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drivers(spark: SparkSession, sf: str) -> DataFrame:
-    """Slow driver columns on the single hourly grid."""
-    b = bars_single(spark, sf)
+    """Slow driver columns per series and hour."""
+    b = series_bars(spark, sf)
     h = lambda k: (F.col(k) / F.lit(64.0))
     return b.select(
         "series_id", "date",
@@ -155,8 +155,8 @@ def _bars_sql(name: str, key: str, alias: str) -> str:
 
 
 BARS_SQL = TICKS + "," + _bars_sql("bars", "symbol", "symbol")
-SINGLE_SQL = TICKS + "," + _bars_sql("bars1", "0", "series_id")
-PRICED_SQL = SINGLE_SQL + """,
+SERIES_SQL = TICKS + "," + _bars_sql("bars1", "symbol", "series_id")
+PRICED_SQL = SERIES_SQL + """,
 priced AS (
   SELECT series_id, date, price_first AS open, price_max AS high, price_min AS low, price_last AS close,
          qty_sum AS "volume_ETH", amount_sum AS "volume_USD" FROM bars1)"""
@@ -176,15 +176,15 @@ daily AS (
   GROUP BY ALL)"""
 ACTIVITY_SQL = """
 activity AS (
-  SELECT 0 AS series_id, CAST(o_orderdate AS TIMESTAMP) AS date, sum(usd) AS total_flow_sum,
+  SELECT CAST(o_custkey % 4 AS INT) AS series_id, CAST(o_orderdate AS TIMESTAMP) AS date, sum(usd) AS total_flow_sum,
          CAST(count(*) AS DOUBLE) AS address_count_sum, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS active_receivers,
          CAST(count(*) FILTER (o_orderstatus = 'F') + 1 AS DOUBLE) AS active_senders,
          sum(CASE WHEN o_orderstatus = 'O' THEN usd ELSE 0.0 END) + 1.0 AS dex_volume,
          CAST(count(*) FILTER (o_orderstatus = 'P') + 1 AS DOUBLE) AS contract_calls,
          CAST(count(*) FILTER (o_totalprice > 300000) + 1 AS DOUBLE) AS whale_tx_count
   FROM (SELECT *, floor(o_totalprice) / 1024.0::DOUBLE AS usd FROM orders)
-  GROUP BY o_orderdate)"""
-DRIVERS_SQL = SINGLE_SQL + """,
+  GROUP BY ALL)"""
+DRIVERS_SQL = SERIES_SQL + """,
 drivers AS (
   SELECT series_id, date, price_last AS "VIX_close", qty_sum / 64.0::DOUBLE AS "fundingRate", price_max AS "GLI_norm",
          price_min AS btc_dominance, amount_sum AS stablecoin_volume_usd,

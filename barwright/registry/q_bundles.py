@@ -230,18 +230,18 @@ def book_ctes(src: str, key: str, tag: str = "") -> tuple[str, list[str], list[s
 
 BOOK, BOOK_INTS, BOOK_DOUBLES = book_ctes("bars", "symbol")
 BOOK1, *_ = book_ctes("both_sides", "series_id")
-BOTH_SIDES = I.SINGLE_SQL + ", both_sides AS (SELECT * REPLACE (sell_qty_sum + 1.0 AS sell_qty_sum) FROM bars1)"
+BOTH_SIDES = I.SERIES_SQL + ", both_sides AS (SELECT * REPLACE (sell_qty_sum + 1.0 AS sell_qty_sum) FROM bars1)"
 
 
 def both_sides(spark, sf):
     """Bars whose sell side is never empty, so ratios keep enough digits to compare."""
-    return I.bars_single(spark, sf).withColumn("sell_qty_sum", F.col("sell_qty_sum") + 1.0)
+    return I.series_bars(spark, sf).withColumn("sell_qty_sum", F.col("sell_qty_sum") + 1.0)
 
 
 
 @query("b8_orderbook_features", finish(BOTH_SIDES + BOOK1, "book", ["series_id", "date", *BOOK_INTS], BOOK_DOUBLES))
 def b8(spark, sf):
-    x = orderbook_features(both_sides(spark, sf), I.ONE)
+    x = orderbook_features(both_sides(spark, sf), I.SERIES)
     return rounded(x.select("series_id", "date", *[n.strip('"') for n in (*BOOK_INTS, *BOOK_DOUBLES)]))
 
 
@@ -322,7 +322,7 @@ ACT, ACT_INTS, ACT_DOUBLES = activity_ctes("activity", "series_id", [])
 
 @query("b4_activity_features", finish(I.ACTIVITY_SQL + ACT, "act", ["series_id", "date", *ACT_INTS], ACT_DOUBLES))
 def b4(spark, sf):
-    x = onchain.activity_features(I.activity(spark, sf), I.ONE, drop="rows")
+    x = onchain.activity_features(I.activity(spark, sf), I.SERIES, drop="rows")
     return rounded(x.select("series_id", "date", *[n.strip('"') for n in (*ACT_INTS, *ACT_DOUBLES)]))
 
 
@@ -375,7 +375,7 @@ o3 AS (SELECT series_id, date, {', '.join(f'{_bounded(n, e)} AS {n}' for n, e in
 def b4_optional(spark, sf):
     from ..operators.clean import clip_columns
 
-    x = clip_columns(onchain.optional_activity(optional_source(spark, sf), I.ONE), onchain.ACTIVITY_BOUNDS)
+    x = clip_columns(onchain.optional_activity(optional_source(spark, sf), I.SERIES), onchain.ACTIVITY_BOUNDS)
     return rounded(x.select("series_id", "date", *OPT))
 
 
@@ -423,7 +423,7 @@ SCORES, SCORE_COLS = scores_sql()
 
 @query("b6_fitted_scores", finish(SCORES, "s6", ["series_id", "date"], SCORE_COLS))
 def b6(spark, sf):
-    x, _ = onchain.fitted_scores(I.activity(spark, sf), I.ONE, FIT_COLS)
+    x, _ = onchain.fitted_scores(I.activity(spark, sf), I.SERIES, FIT_COLS)
     return rounded(x.select("series_id", "date", *SCORE_COLS))
 
 
@@ -461,13 +461,13 @@ FLAGS, FLAG_INTS, FLAG_DOUBLES = flags_sql()
 
 @query("b7_fitted_flags", finish(FLAGS, "x", ["series_id", "date", *FLAG_INTS], FLAG_DOUBLES))
 def b7(spark, sf):
-    x, _ = onchain.fitted_flags(I.activity(spark, sf), I.ONE, FIT_COLS, thresholds=True)
+    x, _ = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FIT_COLS, thresholds=True)
     return rounded(x.select("series_id", "date", *FLAG_INTS, *FLAG_DOUBLES))
 
 
 @query("f17_event_state_flags", finish(FLAGS, "x", ["series_id", "date", *FLAG_INTS], []))
 def f17(spark, sf):
-    x, names = onchain.fitted_flags(I.activity(spark, sf), I.ONE, FIT_COLS)
+    x, names = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FIT_COLS)
     return x.select("series_id", "date", *names)
 
 
@@ -509,7 +509,7 @@ def macro_query(name: str, configs: tuple[M.Macro, ...]) -> None:
     @query(name, finish(text, "x", ["series_id", "date", *ints], doubles))
     def run(spark, sf):
         x = I.drivers(spark, sf).select("series_id", "date", *[m.column for m in configs])
-        return rounded(M.macro_features(x, I.ONE, configs).select("series_id", "date", *names))
+        return rounded(M.macro_features(x, I.SERIES, configs).select("series_id", "date", *names))
 
 
 for _name, _configs in {
@@ -526,7 +526,7 @@ RV, RV_I, RV_D = macro_sql(M.REALIZED_VOL)
   {flag(f"realized_vol_24h <= {SA.qwhole('realized_vol_24h', 0.3)}")} AS low_vol_flag FROM x)""", "y",
                                            ["series_id", "date", "high_vol_flag", "low_vol_flag"], RV_D))
 def b18(spark, sf):
-    x = M.realized_vol_features(I.drivers(spark, sf).select("series_id", "date", "realized_vol_24h"), I.ONE)
+    x = M.realized_vol_features(I.drivers(spark, sf).select("series_id", "date", "realized_vol_24h"), I.SERIES)
     return rounded(x.drop("realized_vol_24h"))
 
 
@@ -537,7 +537,7 @@ VD, VD_I, VD_D = macro_sql(M.VOLUME_DOMINANCE)
     "series_id", "date", *VD_I, f"{flag('eth_volume_dominance > 0.5')} AS alt_season_flag",
     f"{flag('eth_volume_dominance < 0.5')} AS btc_season_flag"], VD_D))
 def b19(spark, sf):
-    x = M.volume_dominance_features(I.drivers(spark, sf).select("series_id", "date", "eth_volume_dominance"), I.ONE)
+    x = M.volume_dominance_features(I.drivers(spark, sf).select("series_id", "date", "eth_volume_dominance"), I.SERIES)
     return rounded(x.drop("eth_volume_dominance"))
 
 
@@ -569,7 +569,7 @@ VEL_I = [f"{C}_{x}_flag" for x in ("spike", "crash", "regime_up", "regime_down",
 
 @query("b5_velocity_features", finish(velocity_sql(), "x", ["series_id", "date", *VEL_I], VEL_D))
 def b5(spark, sf):
-    x = M.velocity_features(I.drivers(spark, sf).select("series_id", "date", C), I.ONE)
+    x = M.velocity_features(I.drivers(spark, sf).select("series_id", "date", C), I.SERIES)
     return rounded(x.drop(C))
 
 

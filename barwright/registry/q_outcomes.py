@@ -411,10 +411,13 @@ def s9(spark, sf):
     return rounded(df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])).alias("r")).select("r.*"))
 
 
-@query("s10_latest_run", "SELECT 'run_20240202' AS run")
+@query("s10_latest_run", finish(COMPARE, "cmp", ["'run_20240202' AS run", "fold"], ["lgbm_auc", "tft_auc"]))
 def s10(spark, sf):
+    """The latest run's comparison with the run's name."""
     folder = rsrc.latest_run(spark, stage_run(spark, sf))
-    return I.table(spark, sf, "region").limit(1).select(F.lit(folder.rsplit("/", 1)[1]).alias("run"))
+    path = rsrc.find_artefact(spark, folder, rsrc.ARTEFACTS["compare_csv"])
+    rows = rsrc.read_report_csv(spark, path, [report.FOLD[0], report.TREE_AUC[0], report.DEEP_AUC[0]])
+    return rounded(rows.withColumn("run", F.lit(folder.rsplit("/", 1)[1])))
 
 
 @query("r1_fold_comparison", R1)

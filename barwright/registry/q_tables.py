@@ -284,7 +284,7 @@ sent AS (
   SELECT g.date, last_value(s.fg_index IGNORE NULLS) OVER (ORDER BY g.date) AS fg_index,
          last_value(s.fg_label IGNORE NULLS) OVER (ORDER BY g.date) AS fg_label
   FROM grid g LEFT JOIN sentiment s USING (date))"""
-TYPES = ("click", "error", "view")
+TYPES = ("click", "error", "purchase", "signup", "view")
 PER_TYPE = "".join(f""",
 t_{t} AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS date, count(*) AS n_{t} FROM events WHERE event_type = '{t}' GROUP BY ALL)"""
                    for t in TYPES)
@@ -297,18 +297,20 @@ def per_type(spark, sf, kind):
 
 
 @query("j1_inner_join_on_hour", f"""WITH {I.PRICED_SQL}, {GRID}{PER_TYPE}
-SELECT date, close, n_click, b.qty_sum, fg_index FROM priced JOIN t_click USING (date)
-JOIN (SELECT date, qty_sum FROM bars1) b USING (date) JOIN sent USING (date)""")
+SELECT series_id, date, close, n_click, n_error, n_purchase, n_signup, n_view, b.qty_sum, fg_index FROM priced
+JOIN (SELECT series_id, date, qty_sum FROM bars1) b USING (series_id, date) JOIN t_click USING (date) JOIN t_error USING (date)
+JOIN t_purchase USING (date) JOIN t_signup USING (date) JOIN t_view USING (date) JOIN sent USING (date)""")
 def j1(spark, sf):
     s = sentiment(spark, sf).withColumn("series_id", F.lit(0))
     grid = align.hourly_grid(s, ["series_id"], "date", ["fg_index"]).select("date", "fg_index")
-    return align.join_all([
-        I.priced(spark, sf).select("date", "close"), per_type(spark, sf, "click"),
-        I.bars_single(spark, sf).select("date", "qty_sum"), grid], ["date"])
+    base = align.join_all([I.priced(spark, sf).select("series_id", "date", "close"),
+                           I.series_bars(spark, sf).select("series_id", "date", "qty_sum")], ["series_id", "date"])
+    return align.join_all([base, *(per_type(spark, sf, t) for t in TYPES), grid], ["date"])
 
 
 @query("j2_full_outer_join_on_hour", f"""WITH base AS (SELECT 1){PER_TYPE}
-SELECT date, n_click::DOUBLE AS n_click, n_error::DOUBLE AS n_error, n_view::DOUBLE AS n_view FROM t_click FULL JOIN t_error USING (date) FULL JOIN t_view USING (date)""")
+SELECT date, {", ".join(f"n_{t}::DOUBLE AS n_{t}" for t in TYPES)}
+FROM t_click {" ".join(f"FULL JOIN t_{t} USING (date)" for t in TYPES[1:])}""")
 def j2(spark, sf):
     x = align.join_all([per_type(spark, sf, t) for t in TYPES], ["date"], "full")
     return x.select("date", *[F.col(f"n_{t}").cast("double") for t in TYPES])
@@ -386,11 +388,11 @@ def j8(spark, sf):
 
 
 @query("u1_union_keep_first", f"""WITH base AS (SELECT 1){PER_TYPE},
-u AS (SELECT 0 AS src, date, n_click, NULL AS n_error FROM t_click UNION ALL SELECT 1, date, NULL, n_error FROM t_error)
-SELECT date, n_click::DOUBLE AS n_click, n_error::DOUBLE AS n_error FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY src) k FROM u) WHERE k = 1""")
+u AS ({" UNION ALL ".join(f"SELECT {i} AS src, date, {', '.join(f'n_{t}' if t == x else f'NULL::BIGINT AS n_{t}' for t in TYPES)} FROM t_{x}" for i, x in enumerate(TYPES))})
+SELECT date, {", ".join(f"n_{t}::DOUBLE AS n_{t}" for t in TYPES)} FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY src) k FROM u) WHERE k = 1""")
 def u1(spark, sf):
-    x = align.union_keep_first([per_type(spark, sf, "click"), per_type(spark, sf, "error")], ["date"])
-    return x.select("date", F.col("n_click").cast("double"), F.col("n_error").cast("double"))
+    x = align.union_keep_first([per_type(spark, sf, t) for t in TYPES], ["date"])
+    return x.select("date", *[F.col(f"n_{t}").cast("double") for t in TYPES])
 
 
 @query("e1_row_index", f"""WITH {I.TICKS}
@@ -484,7 +486,7 @@ def a7(spark, sf):
 @query("a8_null_counts", f"""WITH {I.DRIVERS_SQL}, x AS (SELECT *, {S.lag('tx_count', 24)} AS tx_lag FROM drivers)
 SELECT count(*) FILTER (velocity_stablecoin_24h IS NULL) AS velocity_stablecoin_24h, count(*) FILTER (tx_lag IS NULL) AS tx_lag FROM x""")
 def a8(spark, sf):
-    x = I.drivers(spark, sf).select("velocity_stablecoin_24h", I.ONE.lag("tx_count", 24).alias("tx_lag"))
+    x = I.drivers(spark, sf).select("velocity_stablecoin_24h", I.SERIES.lag("tx_count", 24).alias("tx_lag"))
     return clean.null_counts(x)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip as sclip, dbl, flag as sflag, ratio as sratio, sign, zero_to
 from ..operators import cusum, fit
 from ..operators.align import row_index
-from ..operators.blocks import ffill_in_blocks, in_blocks, latch_in_blocks, windows_by_size
+from ..operators.blocks import ffill_in_blocks, in_blocks, latch_in_blocks, windows_in_blocks
 from ..operators.scan import Atr, Ema, Macd, Rsi, RunningQuantile, SeededEma, ema_in_blocks, scan
 from . import inputs as I
 from .core import finish, query, rounded
@@ -187,18 +187,31 @@ def w_blocks(spark, sf):
     def build(df, ly):
         return df.withColumns({"mean_96": ly.mean("close", 96), "std_24": ly.std("close", 24), "lag_12": ly.lag("close", 12)})
 
-    x = in_blocks(indexed(spark, sf), ["symbol"], "row_index", 96, build, 128)
+    x = in_blocks(indexed(spark, sf), ["symbol"], "row_index", build, before=96, block_rows=128)
     return rounded(x.select("symbol", "date", "mean_96", "std_24", "lag_12"))
 
 
-@query("w_blocks_when_long", f"""WITH {I.HOURLY_SQL}, x AS (SELECT symbol, date, {B.max('close', 24, 1)} AS max_24 FROM hourly)
+@query("w_blocks_from_time", f"""WITH {I.HOURLY_SQL}, x AS (SELECT symbol, date, {B.max('close', 24, 1)} AS max_24 FROM hourly)
 SELECT symbol, date, max_24 FROM x""")
-def w_by_size(spark, sf):
+def w_blocks_from_time(spark, sf):
     def build(df, ly):
         return df.withColumn("max_24", ly.max("close", 24, 1))
 
     h = I.hourly(spark, sf).select("symbol", "date", "close")
-    return windows_by_size(h, ["symbol"], "date", 24, build, max_rows=100, block_rows=64).select("symbol", "date", "max_24")
+    return windows_in_blocks(h, ["symbol"], "date", build, before=24, block_rows=64).select("symbol", "date", "max_24")
+
+
+@query("w_blocks_with_both_halos", finish(
+    I.HOURLY_SQL + f", x AS (SELECT symbol, date, {B.lead('close', 4)} AS lead_4, stddev_samp(close) {B.rows(3, 3)} AS std_centred, "
+    f"{B.diff('close', 30)} AS diff_30 FROM hourly)", "x", ["symbol", "date"], ["lead_4", "std_centred", "diff_30"]))
+def w_blocks_both(spark, sf):
+    def build(df, ly):
+        return df.withColumns({"lead_4": ly.lead("close", 4), "std_centred": ly.fold("std", F.stddev_samp, -3, 3, F.col("close")),
+                               "diff_30": ly.diff("close", 30)})
+
+    h = I.hourly(spark, sf).select("symbol", "date", "close")
+    x = windows_in_blocks(h, ["symbol"], "date", build, before=30, after=4, block_rows=32)
+    return rounded(x.select("symbol", "date", "lead_4", "std_centred", "diff_30"))
 
 
 @query("w19_forward_fill_in_blocks", f"WITH {I.HOURLY_SQL}{GAPPY} SELECT symbol, date, {B.ffill('v')} AS filled FROM gappy")

@@ -50,8 +50,9 @@ def read_summary(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 
 def latest_run(spark: SparkSession, folder: str) -> str:
     """The ``run_*`` folder with the greatest name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/run_*")
-    name = files.select(F.regexp_extract("_metadata.file_path", r"/(run_[^/]+)/", 1).alias("run")).agg(F.max("run")).first()[0]
-    if not name:
+    runs = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/run_*")
+    found = runs.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(runs)
+    names = [s.getPath().getName() for s in found or () if s.isDirectory()]
+    if not names:
         raise FileNotFoundError(f"no run_* folder under {folder}")
-    return f"{folder}/{name}"
+    return f"{folder}/{max(names)}"

@@ -203,9 +203,9 @@ def test_blocks_equal_whole_series(spark, block):
     df = frame(spark, data).withColumn("row_index", F.col("t").cast("long"))
     build = lambda d, ly: d.withColumns({"m": ly.mean("x", 12, 3), "l": ly.lag("x", 5), "c": ly.corr("x", "t", 10, 4)})
     a = build(df, LY).orderBy("s", "t").drop("row_index").toPandas()
-    b = blocks.in_blocks(df, ["s"], "row_index", 12, build, block).orderBy("s", "t").drop("row_index").toPandas()
+    b = blocks.in_blocks(df, ["s"], "row_index", build, 12, block_rows=block).orderBy("s", "t").drop("row_index").toPandas()
     pd.testing.assert_frame_equal(a, b[a.columns.tolist()])
-    assert blocks.windows_by_size(df.drop("row_index"), ["s"], "t", 12, build, F.floor(F.col("t") / 10), 20, block).count() == 230
+    assert blocks.windows_in_blocks(df.drop("row_index"), ["s"], "t", build, 12, 0, F.floor(F.col("t") / 10), block).count() == 230
 
 
 def test_features_do_not_look_ahead(spark):
