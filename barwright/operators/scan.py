@@ -45,14 +45,15 @@ def _from_first_value(x: np.ndarray) -> int:
     return int(present[0]) if present.size else len(x)
 
 
-def _recur(x: np.ndarray, start: int, seed: float, keep: float, take: float) -> np.ndarray:
-    """Values from ``start`` on of y = keep*y' + take*x, with y[start] = seed."""
+def _recur(x: np.ndarray, start: int, seed: float, take: float) -> np.ndarray:
+    """Values from ``start`` on of y = (1 - take)*y' + take*x with y[start] = seed: an unadjusted
+    exponential mean of the seed and the later values.  A missing value ends it."""
     out = np.full(len(x), np.nan)
-    y = seed
-    out[start] = y
-    for i in range(start + 1, len(x)):
-        y = keep * y + take * x[i]
-        out[i] = y
+    later = np.concatenate([[seed], x[start + 1:]])
+    gap = np.flatnonzero(np.isnan(later))
+    later = later[:gap[0]] if gap.size else later
+    if later.size:
+        out[start:start + len(later)] = pd.Series(later).ewm(alpha=take, adjust=False).mean().to_numpy()
     return out
 
 
@@ -62,7 +63,7 @@ def seeded_ema(x: np.ndarray, period: int, first: int | None = None) -> np.ndarr
     if at >= len(x):
         return np.full(len(x), np.nan)
     k = 2.0 / (period + 1)
-    return _recur(x, at, float(np.mean(x[at - period + 1 : at + 1])), 1.0 - k, k)
+    return _recur(x, at, float(np.mean(x[at - period + 1 : at + 1])), k)
 
 
 def wilder(x: np.ndarray, period: int, first: int) -> np.ndarray:
@@ -70,7 +71,7 @@ def wilder(x: np.ndarray, period: int, first: int) -> np.ndarray:
     if first >= len(x):
         return np.full(len(x), np.nan)
     seed = float(np.mean(x[first - period + 1 : first + 1]))
-    return _recur(x, first, seed, (period - 1.0) / period, 1.0 / period)
+    return _recur(x, first, seed, 1.0 / period)
 
 
 @dataclass(frozen=True)

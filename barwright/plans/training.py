@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import astuple, dataclass
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.losses import squared_log_error
 from ..operators.fit import class_balance
-from ..operators.labels import walk_forward_folds
 from ..operators.metrics import classification_scores
 
+#: Share of a fold's training rows, the last ones, that decide when boosting stops.
+VALIDATION = 0.2
+
 
 @dataclass(frozen=True)
 class Trial:
@@ -24,17 +26,27 @@ class Trial:
     rounds: int
     step: float
     subsample: float
+    min_rows: int
+    feature_share: float
     threshold: float
     pos_weight: float
 
 
-def draw_trials(n: int, seed: int = 0, max_rounds: int = 20) -> list[Trial]:
-    """Seeded random parameters; learning rate on a log scale."""
+PARAMS = ("depth int, rounds int, step double, subsample double, min_rows int, feature_share double, threshold double, "
+          "pos_weight double")
+
+
+def draw_trials(n: int, seed: int = 0, max_rounds: int = 1000) -> list[Trial]:
+    """Seeded random parameters over the surveyed ranges; the learning rate on a log scale.
+
+    ``max_rounds`` is only an upper end: boosting stops when the validation rows no longer gain.
+    """
     rng = random.Random(seed)
     return [
         Trial(
-            depth=rng.randint(2, 5), rounds=rng.randint(5, max_rounds), step=10 ** rng.uniform(-2, -0.7),
-            subsample=rng.uniform(0.6, 1.0), threshold=rng.uniform(0.1, 0.9), pos_weight=rng.uniform(0.5, 2.0),
+            depth=rng.randint(3, 12), rounds=max_rounds, step=0.001 * 200 ** rng.random(), subsample=rng.uniform(0.6, 1.0),
+            min_rows=rng.randint(1, 50), feature_share=rng.uniform(0.5, 1.0), threshold=rng.uniform(0.1, 0.9),
+            pos_weight=rng.uniform(0.5, 20.0),
         )
         for _ in range(n)
     ]
@@ -45,37 +57,69 @@ def _prepared(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Da
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(filled).select(*keep, "_x")
 
 
-def tune_classifier(
-    df: DataFrame, features: Sequence[str], label: str, row: str, total: str, trials: Sequence[Trial], folds: int = 5,
-) -> DataFrame:
-    """``(trial, params..., mean_f1)`` ordered best first; score = mean F1 over the folds.
+def fold_parts(df: DataFrame, row: str, total: str, folds: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(train, test) of every expanding fold: two range filters on the row index, no copies.
 
-    The loop runs over trials and folds (a handful), never over rows; each fit and each
-    scoring is a distributed job over the prepared table, which is kept in memory or disk.
+    Training rows carry ``_late``, true on the last part of them.
     """
-    spark = df.sparkSession
-    data = _prepared(df, features, [row, total, label]).persist()
-    folded = walk_forward_folds(data, row, total, folds)
+    size = F.floor(F.col(total) / F.lit(folds + 1))
+    for fold in range(folds):
+        begin = F.col(total) - F.lit(folds - fold) * size
+        train = df.filter(F.col(row) < begin).withColumn("_late", F.col(row) >= F.floor(begin * (1.0 - VALIDATION)))
+        yield train, df.filter((F.col(row) >= begin) & (F.col(row) < begin + size))
+
+
+def fold_profile(df: DataFrame, label: str, row: str, total: str, folds: int = 5) -> DataFrame:
+    """Rows and share of positives of both parts of every fold."""
+    lines = [
+        part.select(F.lit(fold).alias("fold"), F.lit(role).alias("role"), F.col(label).cast("double").alias("_y"))
+        for fold, parts in enumerate(fold_parts(df, row, total, folds)) for role, part in zip(("train", "test"), parts)
+    ]
+    rows = lines[0]
+    for x in lines[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("positive_share"))
+
+
+def _common(t: Trial, label: str, weight: str) -> dict:
+    return {"featuresCol": "_x", "labelCol": label, "weightCol": weight, "validationIndicatorCol": "_late", "maxDepth": t.depth,
+            "maxIter": t.rounds, "stepSize": t.step, "subsamplingRate": t.subsample, "minInstancesPerNode": t.min_rows,
+            "featureSubsetStrategy": str(t.feature_share), "seed": 7}
+
+
+def _search(
+    data: DataFrame, trials: Sequence[Trial], row: str, total: str, folds: int,
+    score_fold: Callable[[Trial, DataFrame, DataFrame], DataFrame], mean: Callable[[DataFrame], Column | float],
+) -> list[tuple]:
+    """One line per trial; loops over trials and folds (a handful), never over rows."""
     lines = []
     for i, t in enumerate(trials):
-        weight = F.when(F.col(label) == 1, F.lit(t.pos_weight)).otherwise(F.lit(1.0))
         scored = None
-        for fold in range(folds):
-            part = folded.filter(F.col("fold") == fold).withColumn("_w", weight)
-            model = GBTClassifier(
-                featuresCol="_x", labelCol=label, weightCol="_w", maxDepth=t.depth, maxIter=t.rounds,
-                stepSize=t.step, subsamplingRate=t.subsample, seed=7,
-            ).fit(part.filter("role = 'train'"))
-            out = model.transform(part.filter("role = 'test'")).select(
-                "fold", F.col(label).alias("y"),
-                (vector_to_array("probability")[1] > F.lit(t.threshold)).cast("int").alias("pred"))
+        for fold, (train, test) in enumerate(fold_parts(data, row, total, folds)):
+            out = score_fold(t, train, test).withColumn("fold", F.lit(fold))
             scored = out if scored is None else scored.unionByName(out)
-        mean = classification_scores(scored, ["fold"], "y", "pred").agg(F.avg("f1")).first()[0]
-        lines.append((i, t.depth, t.rounds, t.step, t.subsample, t.threshold, t.pos_weight, float(mean or 0.0)))
+        lines.append((i, *astuple(t), mean(scored)))
+    return lines
+
+
+def tune_classifier(
+    df: DataFrame, features: Sequence[str], label: str, row: str, total: str, trials: Sequence[Trial], folds: int = 5,
+) -> DataFrame:
+    """``(trial, params..., mean_f1)`` ordered best first; score = mean F1 over the folds."""
+    data = _prepared(df, features, [row, total, label]).persist()
+
+    def score_fold(t: Trial, train: DataFrame, test: DataFrame) -> DataFrame:
+        weighted = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(t.pos_weight)).otherwise(F.lit(1.0)))
+        model = GBTClassifier(**_common(t, label, "_w")).fit(weighted)
+        return model.transform(test).select(
+            F.col(label).alias("y"), (vector_to_array("probability")[1] > F.lit(t.threshold)).cast("int").alias("pred"))
+
+    def mean(scored: DataFrame) -> float:
+        return float(classification_scores(scored, ["fold"], "y", "pred").agg(F.avg("f1")).first()[0] or 0.0)
+
+    lines = _search(data, trials, row, total, folds, score_fold, mean)
     data.unpersist()
-    schema = ("trial int, depth int, rounds int, step double, subsample double, threshold double, "
-              "pos_weight double, mean_f1 double")
-    return spark.createDataFrame(lines, schema).orderBy(F.desc("mean_f1"), "trial")
+    return df.sparkSession.createDataFrame(lines, f"trial int, {PARAMS}, mean_f1 double").orderBy(F.desc("mean_f1"), "trial")
 
 
 def tune_regressor(
@@ -83,26 +127,19 @@ def tune_regressor(
     trials: Sequence[Trial], folds: int = 5,
 ) -> DataFrame:
     """``(trial, params..., mean_msle)`` ordered best first; rows weighted while fitting."""
-    spark = df.sparkSession
     data = _prepared(df, features, [row, total, label, weight]).persist()
-    folded = walk_forward_folds(data, row, total, folds)
-    lines = []
-    for i, t in enumerate(trials):
-        scored = None
-        for fold in range(folds):
-            part = folded.filter(F.col("fold") == fold)
-            model = GBTRegressor(
-                featuresCol="_x", labelCol=label, weightCol=weight, maxDepth=t.depth, maxIter=t.rounds,
-                stepSize=t.step, subsamplingRate=t.subsample, seed=7,
-            ).fit(part.filter("role = 'train'"))
-            out = model.transform(part.filter("role = 'test'")).select(
-                "fold", F.col(label).alias("y"), F.greatest(F.col("prediction"), F.lit(0.0)).alias("p"))
-            scored = out if scored is None else scored.unionByName(out)
+
+    def score_fold(t: Trial, train: DataFrame, test: DataFrame) -> DataFrame:
+        model = GBTRegressor(**_common(t, label, weight)).fit(train)
+        return model.transform(test).select(F.col(label).alias("y"), F.greatest(F.col("prediction"), F.lit(0.0)).alias("p"))
+
+    def mean(scored: DataFrame) -> float:
         per_fold = scored.groupBy("fold").agg(F.avg(squared_log_error(F.col("y"), F.col("p"))).alias("msle"))
-        lines.append((i, t.depth, t.rounds, t.step, t.subsample, float(per_fold.agg(F.avg("msle")).first()[0])))
+        return float(per_fold.agg(F.avg("msle")).first()[0])
+
+    lines = _search(data, trials, row, total, folds, score_fold, mean)
     data.unpersist()
-    schema = "trial int, depth int, rounds int, step double, subsample double, mean_msle double"
-    return spark.createDataFrame(lines, schema).orderBy("mean_msle", "trial")
+    return df.sparkSession.createDataFrame(lines, f"trial int, {PARAMS}, mean_msle double").orderBy("mean_msle", "trial")
 
 
 def balance_weight(df: DataFrame, label: str) -> float:

@@ -381,7 +381,8 @@ def b4_optional(spark, sf):
 
 # ---- fitted scores and flags -----------------------------------------------
 
-FIT_COLS = ("total_flow_sum", "active_receivers", "dex_volume")
+FIT_COLS = ("total_flow_sum", "address_count_sum", "active_receivers", "active_senders", "dex_volume", "contract_calls",
+            "whale_tx_count")
 TRAIN = f"({SA.rn()} <= floor(count(*) {SA.whole} * 0.7::DOUBLE))"
 
 

@@ -498,11 +498,24 @@ def matrix(spark, sf):
     return row_index(h.select("all", "symbol", "date", "close", "y", "f1", "f2", "f3", "w"), ["all"], ["date", "symbol"], F.date_trunc("day", "date"), total="n")
 
 
+FEATURES = ["f1", "f2", "f3"]
+
+
 @query("t1_tune_classifier")
 def t1(spark, sf):
-    return training.tune_classifier(matrix(spark, sf), ["f1", "f2", "f3"], "y", "row_index", "n", training.draw_trials(1, 3, 6), folds=3)
+    return training.tune_classifier(matrix(spark, sf), FEATURES, "y", "row_index", "n", training.draw_trials(3, 3, 8))
 
 
 @query("t2_tune_regressor")
 def t2(spark, sf):
-    return training.tune_regressor(matrix(spark, sf), ["f1", "f2", "f3"], "close", "w", "row_index", "n", training.draw_trials(1, 3, 6), folds=3)
+    return training.tune_regressor(matrix(spark, sf), FEATURES, "close", "w", "row_index", "n", training.draw_trials(3, 3, 8))
+
+
+@query("t_fold_profile", finish(I.HOURLY_SQL + UP + """,
+m AS (SELECT y, row_number() OVER (ORDER BY date, symbol) - 1 AS i, count(*) OVER () AS n FROM lab),
+f AS (SELECT unnest(range(5)) AS fold),
+p AS (SELECT CAST(fold AS INT) AS fold, CASE WHEN i < n - (5 - fold) * (n // 6) THEN 'train' ELSE 'test' END AS role, y
+      FROM m, f WHERE i < n - (4 - fold) * (n // 6)),
+x AS (SELECT fold, role, count(*) AS n, avg(y::DOUBLE) AS positive_share FROM p GROUP BY ALL)""", "x", ["fold", "role", "n"], ["positive_share"]))
+def t_fold_profile(spark, sf):
+    return rounded(training.fold_profile(matrix(spark, sf), "y", "row_index", "n"))
