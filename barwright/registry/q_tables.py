@@ -11,7 +11,7 @@ from ..operators.bars import BAR_COLUMNS, ticks_to_bars
 from ..plans.price import date_features
 from ..session import scratch_dir
 from ..sources import tables as src
-from ..streaming.ingest import ingest_new_files, read_ingested
+from ..streaming.ingest import ingest_changed_files, ingest_new_files, read_current, read_ingested
 from . import inputs as I
 from .core import finish, query, rounded
 from .sql import Win, clip, finite, flag, ratio
@@ -90,6 +90,28 @@ def s5(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.max("timestamp").alias("last_ts"))
 
 
+@query("s5_rewritten_file", f"""WITH {I.TICKS}
+SELECT symbol, count(*) AS n, sum(CASE WHEN symbol = 3 THEN qty + 1 ELSE qty END) AS qty FROM ticks GROUP BY symbol""")
+def s5_rewritten(spark, sf):
+    """One file per symbol; after the first run one file is rewritten under its old name."""
+    t = I.ticks(spark, sf)
+    source, target, corrected = (scratch_dir(spark, n) for n in ("landing", "table", "corrected"))
+    fs = spark._jvm.org.apache.hadoop.fs
+    for symbol in range(8):
+        t.filter(F.col("symbol") == symbol).coalesce(1).write.parquet(f"{source}/{symbol}")
+    first = ingest_changed_files(spark, source, target, t.schema)
+    old = spark.read.parquet(f"{source}/3").inputFiles()[0]
+    t.filter("symbol = 3").withColumn("qty", F.col("qty") + 1).coalesce(1).write.parquet(corrected)
+    new = spark.read.parquet(corrected).inputFiles()[0]
+    files = fs.Path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(fs.Path(old), False)
+    files.rename(fs.Path(new), fs.Path(old))
+    second = ingest_changed_files(spark, source, target, t.schema)
+    again = ingest_changed_files(spark, source, target, t.schema)
+    assert (first, second, again) == (8, 1, 0), "each version of a file must be taken once"
+    return read_current(spark, target).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+
+
 LO, HI = "2024-01-05 06:00:00", "2024-01-25 18:00:00"
 
 

@@ -1,10 +1,13 @@
-"""Pick up only the source files that were not ingested before."""
+"""Pick up only the source files that were not ingested before, or changed since."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from ..sources.tables import path_exists
+
 
 def ingest_new_files(
     spark: SparkSession, source: str, target: str, checkpoint: str, schema: T.StructType, fmt: str = "parquet",
@@ -28,3 +31,42 @@ def ingest_new_files(
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target)
+
+
+SOURCE = "_source"
+
+
+def _listing(spark: SparkSession, source: str) -> DataFrame:
+    """Path, modification time and size of every source file; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(
+        "path", "modificationTime", "length", F.sha2("path", 256).alias(SOURCE))
+
+
+def ingest_changed_files(
+    spark: SparkSession, source: str, target: str, schema: T.StructType, fmt: str = "parquet", **options: str,
+) -> int:
+    """Bring new and rewritten files of ``source`` into the table at ``target``; returns their number.
+
+    A file is known by path, modification time and size.  The rows of a source file form one partition of the
+    table, so those of a rewritten file replace the old ones.  The manifest is appended after the rows are in
+    place: a run that dies midway takes the same files again and overwrites its own work.
+    """
+    manifest = f"{target.rstrip('/')}_manifest"
+    found = _listing(spark, source)
+    known = ["path", "modificationTime", "length"]
+    if path_exists(spark, manifest):
+        found = found.join(spark.read.parquet(manifest).select(*known), known, "left_anti")
+    found = cut_lineage(found)
+    paths = [r.path for r in found.select("path").toLocalIterator()]  # the files of this run
+    if not paths:
+        return 0
+    rows = spark.read.format(fmt).schema(schema).options(**options).load(paths)
+    rows = rows.withColumn(SOURCE, F.sha2(F.col("_metadata.file_path"), 256))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE).parquet(target)
+    found.select(*known).write.mode("append").parquet(manifest)
+    return len(paths)
+
+
+def read_current(spark: SparkSession, target: str) -> DataFrame:
+    """The table of ``ingest_changed_files`` without its file key."""
+    return spark.read.parquet(target).drop(SOURCE)
