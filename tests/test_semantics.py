@@ -338,3 +338,36 @@ def test_missing_driver_columns_are_reported(spark):
 
 def test_fractional_weights():
     assert [round(w, 3) for w in frac_weights(0.4, 0.01)[:4]] == [1.0, -0.4, -0.12, -0.064]
+
+
+def test_equal_targets_have_a_divergence(spark):
+    df = spark.createDataFrame([("a", 2.0, 2.0), ("a", 2.0, 3.0), ("b", 1.0, 1.0), ("b", 3.0, 2.0)], "g string, y double, p double")
+    got = {r.g: r.kl for r in metrics.kl_histograms(df, ["g"], "y", "p", 4).collect()}
+    assert got["a"] == 0.0 and got["b"] == float("inf")
+
+
+def test_auc_with_one_far_score(spark):
+    df = spark.range(1000).select(F.lit(0).alias("g"), (F.col("id") % 2).alias("y"),
+                                  F.when(F.col("id") == 999, 1e9).otherwise(F.col("id") / 1000.0).alias("s"))
+    got = metrics.auc(df, ["g"], "y", "s", slices=16).first()["auc"]
+    assert abs(got - (500 * 501 / 2) / (500 * 500)) < 1e-12
+
+
+@pytest.mark.parametrize("block", [16, 33, 500])
+def test_blocks_see_both_sides(spark, block):
+    df = spark.range(200).select(F.lit("s").alias("s"), F.col("id").alias("row"), F.col("id").cast("double").alias("x"))
+
+    def build(d, ly):
+        return d.withColumns({"ahead": ly.lead("x", 4), "mid": ly.fold("avg", F.avg, -3, 3, F.col("x")), "back": ly.lag("x", 9)})
+
+    want = build(df, Layout.of("s", "row")).orderBy("row").toPandas()
+    got = blocks.in_blocks(df, ["s"], "row", build, 9, 4, block).orderBy("row").toPandas()
+    pd.testing.assert_frame_equal(got[want.columns], want)
+
+
+def test_blocks_refuse_frames_beyond_the_halo(spark):
+    df = spark.range(5).select(F.lit("s").alias("s"), F.col("id").alias("row"), F.col("id").cast("double").alias("x"))
+    for bad in (lambda ly: ly.lead("x", 2), lambda ly: ly.lag("x", 4), lambda ly: ly.mean("x", 9), lambda ly: ly.ffill("x"),
+                lambda ly: ly.fold("avg", F.avg, None, None, F.col("x"))):
+        with pytest.raises(ValueError):
+            blocks.in_blocks(df, ["s"], "row", lambda d, ly: d.withColumn("y", bad(ly)), 3, 1)
