@@ -230,12 +230,13 @@ def book_ctes(src: str, key: str, tag: str = "") -> tuple[str, list[str], list[s
 
 BOOK, BOOK_INTS, BOOK_DOUBLES = book_ctes("bars", "symbol")
 BOOK1, *_ = book_ctes("both_sides", "series_id")
-BOTH_SIDES = I.SERIES_SQL + ", both_sides AS (SELECT * REPLACE (sell_qty_sum + 1.0 AS sell_qty_sum) FROM bars1)"
+BOTH_SIDES = I.SERIES_SQL + ", both_sides AS (SELECT * REPLACE (sell_qty_sum + 1.0 AS sell_qty_sum, buy_qty_sum + 1.0 AS buy_qty_sum, sell_trade_sum + 1 AS sell_trade_sum, buy_trade_sum + 1 AS buy_trade_sum) FROM bars1)"
 
 
 def both_sides(spark, sf):
-    """Bars whose sell side is never empty, so ratios keep enough digits to compare."""
-    return I.series_bars(spark, sf).withColumn("sell_qty_sum", F.col("sell_qty_sum") + 1.0)
+    """Bars whose sides are never empty, so ratios keep enough digits to compare."""
+    return I.series_bars(spark, sf).withColumns({
+        **{c: F.col(c) + 1.0 for c in ("sell_qty_sum", "buy_qty_sum")}, **{c: F.col(c) + 1 for c in ("sell_trade_sum", "buy_trade_sum")}})
 
 
 
@@ -383,6 +384,8 @@ def b4_optional(spark, sf):
 
 FIT_COLS = ("total_flow_sum", "address_count_sum", "active_receivers", "active_senders", "dex_volume", "contract_calls",
             "whale_tx_count")
+# Flags compare with quantiles: small counts tie there, and engines round a tie to either side.
+FLAG_COLS = ("total_flow_sum", "active_receivers", "dex_volume")
 TRAIN = f"({SA.rn()} <= floor(count(*) {SA.whole} * 0.7::DOUBLE))"
 
 
@@ -434,7 +437,7 @@ def flags_sql() -> tuple[str, list[str], list[str]]:
     z = lambda x: f"(({x}) - avg({tr(x)}) {w.whole}) / (CASE WHEN stddev_samp({tr(x)}) {w.whole} = 0 THEN 1.0 ELSE stddev_samp({tr(x)}) {w.whole} END)"
     l1, l2, l3, ints, doubles = {"t": TRAIN, "rn": w.rn()}, {}, {}, [], []
     states = []
-    for c in FIT_COLS:
+    for c in FLAG_COLS:
         l1 |= {f"{c}_z_mid": f"({c} - {w.mean(c, 24, 1)}) / nullif({w.std(c, 24, 1)}, 0)",
                f"{c}_z_short": f"({c} - {w.mean(c, 6, 1)}) / nullif({w.std(c, 6, 1)}, 0)",
                f"{c}_ratio_s_over_m": finite(ratio(w.mean(c, 6, 1), f"nullif({w.mean(c, 24, 1)}, 0)")), f"{c}_pctchg_6": w.pct(c, 6)}
@@ -462,13 +465,13 @@ FLAGS, FLAG_INTS, FLAG_DOUBLES = flags_sql()
 
 @query("b7_fitted_flags", finish(FLAGS, "x", ["series_id", "date", *FLAG_INTS], FLAG_DOUBLES))
 def b7(spark, sf):
-    x, _ = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FIT_COLS, thresholds=True)
+    x, _ = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FLAG_COLS, thresholds=True)
     return rounded(x.select("series_id", "date", *FLAG_INTS, *FLAG_DOUBLES))
 
 
 @query("f17_event_state_flags", finish(FLAGS, "x", ["series_id", "date", *FLAG_INTS], []))
 def f17(spark, sf):
-    x, names = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FIT_COLS)
+    x, names = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FLAG_COLS)
     return x.select("series_id", "date", *names)
 
 
