@@ -9,9 +9,10 @@ similarity of the shingles, from whole texts, decides.
 
 Texts with the same words are one node.  Within a band's bucket all nodes are compared with one centre, and
 components of the verified links are formed; where a bucket still holds several components this is repeated with
-another centre, and then every pair of the bucket that lies in different components is compared.  Pairs within a
-component need no comparison, since they could not change it; so no pair of a large group of copies is listed,
-and no link between components is lost.
+another centre, and then every pair of the bucket that lies in different components is compared, after all
+texts are set aside whose shingles outside their own component cannot reach the similarity.  Pairs within a
+component need no comparison, since they could not change it; so the pairs of a large group of copies are not
+listed, and no link between components is lost.
 
 Nulls: a null text is empty, texts without words are alone.  A row with a null doc_id joins the class of equal words,
 but forms no links; its class is null where no row with those words has an id.  Rows that repeat a doc_id are one
@@ -37,7 +38,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 36, 6
 #: Rounds with single centres before the remaining pairs between components are compared.
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 1
+#: They are compared at once where they are at most so many times the nodes of their buckets.
+CROSSING = 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,6 +169,40 @@ def verified(pairs: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def can_link(now: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
+    """Of (key, node, component) the rows whose node can still be similar to one of another component, with the
+    weight of its shingles that occur in other components, of all, and the largest single weight of the bucket.
+
+    Only shingles that occur in another component count.  If their weight is below the threshold's share of the
+    text no similarity can reach it; and where all weights of a bucket are 1, s such shingles of n allow partners of
+    at most s (1 + t) / t - n shingles, which the smallest text of the bucket may exceed.  This holds for every
+    partner, so nothing is lost, and copies too far from all others leave a large group before it is paired.
+    """
+    per_key = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    now = cut_lineage(now.join(per_key.select("key"), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, component, text in zip(*(b.column(c).to_pylist() for c in ("node", "component", "text")), strict=True):
+                element, weight = shingles(words_of(text))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(element), node)), pa.array(np.full(len(element), component)),
+                    pa.array(element.view(np.int64)), pa.array(weight)], names=["node", "component", "shingle", "weight"])
+
+    nodes = now.select("node", "component").distinct()
+    rows = shelf.join(nodes, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, shingle long, weight long")
+    rows = cut_lineage(rows)
+    spread = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
+    common = rows.join(spread, "shingle").groupBy("node").agg(F.sum("weight").alias("shared"))
+    sums = rows.groupBy("node").agg(F.sum("weight").alias("total"), F.max("weight").alias("top")).join(common, "node")
+    sums = cut_lineage(sums.filter(F.col("shared") >= threshold * F.col("total") - 1e-6))
+    left = now.join(sums, "node")
+    least = left.groupBy("key").agg(F.min("total").alias("least"), F.max("top").alias("most"))
+    room = F.col("shared") * ((1 + threshold) / threshold) - F.col("total") + 1e-6
+    return cut_lineage(left.join(least, "key").filter((F.col("most") > 1) | (F.col("least") <= room)).select(
+        "key", "node", "component", "shared", "total", "most"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size and kept."""
     marks = cut_lineage(signed(docs, bands, rows))
@@ -180,25 +217,42 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     shelf = cut_lineage(shelf)
 
     pairs = buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = cut_lineage(verified(pairs, shelf, threshold))
+    links = verified(pairs, shelf, threshold)
+    placed = components(links)
+    buckets = buckets.select("key", "node")
     for turn in range(CENTRE_ROUNDS + 1):
-        placed = components(links)
-        now = buckets.join(placed, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        open_ = cut_lineage(now.join(several, "key"))
-        if open_.isEmpty():
+        now = buckets.join(placed, "node", "left").select(
+            *buckets.columns, F.coalesce("component", "node").alias("component"))
+        if turn == 0:
+            buckets = can_link(now, shelf, threshold)
+            now = buckets
+            buckets = buckets.select("key", "node", "shared", "total", "most")
+        counts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        several = cut_lineage(counts.filter("low < high"))
+        nodes, crossing = several.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not crossing:
             break
-        if turn < CENTRE_ROUNDS:
-            # The next centre stands outside the component of the first; it is another one in every round.
-            centre = open_.filter("component <> low").groupBy("key").agg(
-                F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre"), F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("its"))
+        open_ = now.join(several.select("key", "low"), "key")
+        last = turn == CENTRE_ROUNDS or crossing <= CROSSING * nodes
+        if last:
+            other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("its"), F.col("shared").alias("its_shared"),
+                                 F.col("total").alias("its_total"))
+            room = F.least("shared", "its_shared") * ((1 + threshold) / threshold) + 1e-6
+            pairs = open_.join(other, "key").filter("component < its").filter(
+                (F.col("most") > 1) | (F.col("total") + F.col("its_total") <= room)).select(F.col("node").alias("a"), "b").distinct()
+        else:
+            # First the text that has most in common with others, as an original has with its copies; then any
+            # outside the first component, another one in every round.
+            draw = 1.0 - F.col("shared") / F.col("total") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            centre = open_.filter(F.lit(turn == 0) | (F.col("component") != F.col("low"))).groupBy("key").agg(
+                F.min_by("node", draw).alias("centre"), F.min_by("component", draw).alias("its"))
             pairs = open_.join(centre, "key").filter("component <> its").select(
                 F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        else:
-            other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("its"))
-            pairs = open_.join(other, "key").filter("component < its").select(F.col("node").alias("a"), "b").distinct()
-        links = cut_lineage(links.unionByName(verified(pairs, shelf, threshold)))
-    placed = components(links)
+        more = verified(pairs, shelf, threshold)
+        placed = components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        if last:
+            break
     classed = members.join(placed, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     sizes = classed.groupBy(F.col("class_id").alias("its")).agg(F.count(F.lit(1)).alias("class_size"))
     return classed.join(sizes, F.col("class_id").eqNullSafe(F.col("its"))).select(
