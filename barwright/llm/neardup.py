@@ -8,9 +8,10 @@ similarity; with equal weights that is the plain one.  Bands of registers give c
 similarity of the shingles, from whole texts, decides.
 
 Texts with the same words are one node.  Within a band's bucket all nodes are compared with one centre, and
-components of the verified links are formed; where a bucket still holds several components this is repeated with
-another centre, and then every pair of the bucket that lies in different components is compared, after all
-texts are set aside whose shingles outside their own component cannot reach the similarity.  Pairs within a
+components of the verified links are formed.  Where a bucket still holds several components, texts whose shingles
+outside their own component cannot reach the similarity are set aside, the rest is compared with the bucket's most
+typical text, and then every pair in different components whose overlap, bounded by what both share with that
+text, can still reach it.  Pairs within a
 component need no comparison, since they could not change it; so the pairs of a large group of copies are not
 listed, and no link between components is lost.
 
@@ -37,10 +38,6 @@ from .decontaminate import words_of
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 36, 6
-#: Rounds with single centres before the remaining pairs between components are compared.
-CENTRE_ROUNDS = 1
-#: They are compared at once where they are at most so many times the nodes of their buckets.
-CROSSING = 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,8 +142,8 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFr
     return texts(docs).mapInArrow(run, "doc_id long, same_a long, same_b long, keys array<long>")
 
 
-def verified(pairs: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts are similar enough."""
+def compared(pairs: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
+    """For pairs (a, b): whether the texts are similar enough, and how many distinct shingles they have in common."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, tuple] = OrderedDict()
 
@@ -160,13 +157,31 @@ def verified(pairs: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
 
         for b in batches:
             a_ids, b_ids = b.column("a").to_pylist(), b.column("b").to_pylist()
-            near = [similarity(of(i, x), of(j, y)) >= threshold for i, j, x, y in zip(
+            parts = [(of(i, x), of(j, y)) for i, j, x, y in zip(
                 a_ids, b_ids, b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([
+                b.column("a"), b.column("b"), pa.array([similarity(x, y) >= threshold for x, y in parts], pa.bool_()),
+                pa.array([len(np.intersect1d(x[0], y[0], assume_unique=True)) for x, y in parts], pa.int64()),
+            ], names=["a", "b", "near", "inside"])
 
     left = shelf.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = shelf.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+        run, "a long, b long, near boolean, inside long")
+
+
+def verified(pairs: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose texts are similar enough."""
+    return compared(pairs, shelf, threshold).filter("near").select("a", "b")
+
+
+def centred(open_: DataFrame) -> DataFrame:
+    """Rows of the buckets with the bucket's centre: the text that has most in common with others, as an original has
+    with its copies.  ``slack`` is the number of the centre's shingles that occur in no other component."""
+    draw = F.struct((1.0 - F.col("shared") / F.col("total")).alias("away"), "node")
+    centre = open_.groupBy("key").agg(F.min(draw).alias("c")).select("key", F.col("c.node").alias("centre"))
+    own = open_.select("key", F.col("node").alias("centre"), (F.col("total") - F.col("shared")).alias("slack"))
+    return open_.join(centre.join(own, ["key", "centre"]), "key")
 
 
 def can_link(now: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
@@ -220,39 +235,41 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     links = verified(pairs, shelf, threshold)
     placed = components(links)
     buckets = buckets.select("key", "node")
-    for turn in range(CENTRE_ROUNDS + 1):
+    for turn in (0, 1):
         now = buckets.join(placed, "node", "left").select(
             *buckets.columns, F.coalesce("component", "node").alias("component"))
         if turn == 0:
             buckets = can_link(now, shelf, threshold)
             now = buckets
             buckets = buckets.select("key", "node", "shared", "total", "most")
-        counts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        several = cut_lineage(counts.filter("low < high"))
-        nodes, crossing = several.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not crossing:
+        counts = now.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"))
+        several = cut_lineage(counts.filter("low < high").select("key"))
+        if several.isEmpty():
             break
-        open_ = now.join(several.select("key", "low"), "key")
-        last = turn == CENTRE_ROUNDS or crossing <= CROSSING * nodes
-        if last:
-            other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("its"), F.col("shared").alias("its_shared"),
-                                 F.col("total").alias("its_total"))
-            room = F.least("shared", "its_shared") * ((1 + threshold) / threshold) + 1e-6
-            pairs = open_.join(other, "key").filter("component < its").filter(
-                (F.col("most") > 1) | (F.col("total") + F.col("its_total") <= room)).select(F.col("node").alias("a"), "b").distinct()
+        open_ = now.join(several, "key")
+        if turn == 0:
+            spokes = cut_lineage(centred(open_).select("key", "node", "component", "shared", "total", "most", "centre", "slack"))
+            around = spokes.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+            around = cut_lineage(compared(around, shelf, threshold))
+            more = around.filter("near").select("a", "b")
+            buckets = cut_lineage(spokes.drop("component").join(
+                around.select(F.col("a").alias("node"), F.col("b").alias("centre"), "inside"), ["node", "centre"], "left"
+            ).withColumn("inside", F.coalesce("inside", "total")))
         else:
-            # First the text that has most in common with others, as an original has with its copies; then any
-            # outside the first component, another one in every round.
-            draw = 1.0 - F.col("shared") / F.col("total") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            centre = open_.filter(F.lit(turn == 0) | (F.col("component") != F.col("low"))).groupBy("key").agg(
-                F.min_by("node", draw).alias("centre"), F.min_by("component", draw).alias("its"))
-            pairs = open_.join(centre, "key").filter("component <> its").select(
-                F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        more = verified(pairs, shelf, threshold)
+            # What two texts share lies in what both share with the centre, or among the shingles outside it that
+            # each has in common with other components.
+            extra = F.col("shared") - F.col("inside") + F.col("slack")
+            keys = open_.groupBy("node").agg(F.collect_list("key").alias("keys"))
+            left = open_.join(keys, "node").select(
+                "key", "node", "keys", "component", "shared", "total", "most", "inside", extra.alias("extra"))
+            right = left.select("key", *[F.col(c).alias(f"its_{c}") for c in ("node", "keys", "component", "shared", "total", "inside", "extra")])
+            overlap = F.least(F.least("shared", "its_shared"), F.least("inside", "its_inside") + F.least("extra", "its_extra"))
+            pairs = left.join(right, "key").filter("component < its_component").filter(
+                (F.col("most") > 1) | (F.col("total") + F.col("its_total") <= overlap * ((1 + threshold) / threshold) + 1e-6)
+            ).filter(F.array_min(F.array_intersect("keys", "its_keys")) == F.col("key"))  # in the first bucket they share
+            more = verified(pairs.select(F.col("node").alias("a"), F.col("its_node").alias("b")).distinct(), shelf, threshold)
         placed = components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        if last:
-            break
     classed = members.join(placed, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     sizes = classed.groupBy(F.col("class_id").alias("its")).agg(F.count(F.lit(1)).alias("class_size"))
     return classed.join(sizes, F.col("class_id").eqNullSafe(F.col("its"))).select(
