@@ -20,19 +20,21 @@ other's bytes.  An empty table gives an empty result; extra columns are not read
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import mix64, small_batches
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 2 << 20
 #: A minimizer found in so many blocks is hot.
-HOT_BLOCKS = 64
+HOT_BLOCKS = 1024
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -67,18 +69,18 @@ class Block:
         if gram < 8:
             hashes = mix64(words << np.uint64(64 - 8 * gram))
         low, width, span = hashes, 1, length - gram + 1
+        del hashes
+        del words
         while 2 * width <= span:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         if span > width:
             low = np.minimum(low[:-(span - width)], low[span - width:])
-        starts = np.full(n, False)
-        for a, z in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
-            starts[a:max(a, z - length + 1)] = True
-        at = np.flatnonzero(starts[:len(low)])
-        if not len(at):
+        sizes = np.maximum(0, np.diff(self.bounds) - length + 1)
+        if not sizes.any():
             return none.view(np.uint64), none, none, none
-        owner = np.searchsorted(self.bounds, at, side="right") - 1
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(owner)) + np.repeat(self.bounds[:-1] - (np.cumsum(sizes) - sizes), sizes)
         value = low[at]
         cut = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])
         first = np.flatnonzero(cut)
@@ -90,6 +92,14 @@ def place_of(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), value.astype(np.uint32)
 
 
+def pack(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
+
+
+def unpack(data: bytes, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
 def split_rows(bucket: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
     """Arrays ordered by bucket and cut into one byte string per bucket."""
     order = np.argsort(bucket, kind="stable")
@@ -167,39 +177,35 @@ def send_pieces(length: int, buckets: int):
         at = np.minimum(np.searchsorted(known, code), len(known) - 1)
         there = np.flatnonzero(known[at] == code)
         raw = block.data.tobytes()
-        pieces: dict[tuple[int, bytes], int] = {}
-        lows, where = [], []
-        one_by_one = hot[at[there]].tolist()
-        for j, k in enumerate(there.tolist()):
-            o, a, z = int(owner[k]), int(first[k]), int(last[k])
-            if one_by_one[j]:
-                parts = [(-1, raw[i:i + length], i) for i in range(a, z + 1)]
-            else:
-                parts = [(int(bucket[k]), raw[a:z + length], a)]
-            for b, text, start in parts:
-                if b < 0:
-                    b = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") % buckets
-                p = pieces.setdefault((b, text), len(pieces))
-                if p == len(lows):
-                    lows.append(int(block.ids[o]))
-                else:
-                    lows[p] = min(lows[p], int(block.ids[o]))
-                where.append((p, o, start - int(block.bounds[o])))
-        where_ = np.array(where, np.int64).reshape(-1, 3)
-        keys = list(pieces)
-        of = np.array([b for b, _ in keys], np.int64)
+        alone = hot[at[there]]
+        runs, each = there[~alone], there[alone]
+        count = last[each] - first[each] + 1
+        single = np.repeat(first[each] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        starts = np.concatenate([first[runs], single])
+        owners = np.concatenate([owner[runs], np.repeat(owner[each], count)])
+        texts = [raw[a:z] for a, z in zip(first[runs].tolist(), (last[runs] + length).tolist(), strict=True)]
+        texts += [raw[a:a + length] for a in single.tolist()]
+        own = np.array([zlib.crc32(t) % buckets for t in texts[len(runs):]], np.int64)  # equal strings meet by their own hash
+        number: dict[bytes, int] = {}
+        piece = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+        of = np.zeros(len(number), np.int64)
+        of[piece] = np.concatenate([bucket[runs], own])
+        low = np.full(len(number), NO_ID, np.int64)
+        np.minimum.at(low, piece, block.ids[owners])
+        keys = list(number)
         order = np.argsort(of, kind="stable")
         rank = np.zeros(len(order), np.int64)
         names, begin = np.unique(of[order], return_index=True)
         upto = np.append(begin[1:], len(order))[:len(begin)]
         rank[order] = np.arange(len(order)) - np.repeat(begin, upto - begin)
-        low = np.array(lows, np.int64)
         cut = list(zip(begin.tolist(), upto.tolist(), strict=True))
-        texts = [keys[i][1] for i in order.tolist()]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        places = split_rows(of[where_[:, 0]], rank[where_[:, 0]], block.ids[where_[:, 1]], where_[:, 1], where_[:, 2])[1]
-        return table(PIECES[1], names, [key[0].as_py()] * len(names), [b"".join(texts[a:z]) for a, z in cut],
-                     [sizes[a:z].tobytes() for a, z in cut], [low[order[a:z]].tobytes() for a, z in cut], *places)
+        texts = [keys[i] for i in order.tolist()]
+        sizes = np.array([len(t) for t in texts], np.uint32)
+        places = split_rows(of[piece], rank[piece].astype(np.uint32), block.ids[owners], owners.astype(np.uint32),
+                            (starts - block.bounds[owners]).astype(np.uint32))[1]
+        return table(PIECES[1], names, [key[0].as_py()] * len(names), [pack(b"".join(texts[a:z])) for a, z in cut],
+                     [pack(sizes[a:z].tobytes()) for a, z in cut], [pack(low[order[a:z]].tobytes()) for a, z in cut],
+                     *([pack(x) for x in column] for column in places))
     return run
 
 
@@ -216,8 +222,9 @@ def prefix_words(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarr
     return words
 
 
-def suffix_order(data: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Suffixes of data[:n] in the order of their first ``length`` bytes (``data`` has zeros behind them).
+def suffix_order(data: np.ndarray, n: int, length: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of data[:n] in the order of their first ``length`` bytes (``data`` has zeros behind them).  With
+    ``wanted`` (a mask) only those, and others that they follow from.
 
     A suffix smaller than its successor is sorted by its bytes.  Any other starts with a byte not below the next one,
     and follows from its successor: going through the order by first byte, each suffix puts the one before it, if
@@ -231,10 +238,18 @@ def suffix_order(data: np.ndarray, n: int, length: int) -> np.ndarray:
     rises = np.append(text[begins[1:]] > text[begins[:-1]], False)
     small = np.repeat(rises, np.diff(np.append(begins, n)))  # smaller than the successor
     direct = np.flatnonzero(small)
+    ends_larger = True
+    if wanted is not None:  # the first suffix from each wanted one on that is sorted directly
+        after = np.searchsorted(direct, np.flatnonzero(wanted))
+        ends_larger = bool((after == len(direct)).any())
+        used = np.zeros(len(direct) + 1, bool)
+        used[after] = True
+        direct = direct[used[:-1]]
     direct = direct[np.lexsort(prefix_words(data, direct, length)[::-1])] if len(direct) else direct
     upto = np.searchsorted(text[direct], np.arange(257))  # their first bytes ascend
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[text[n - 1]].append(np.array([n - 1]))  # before the end stands nothing smaller
+    if ends_larger:
+        induced[text[n - 1]].append(np.array([n - 1]))  # before the end stands nothing smaller
     out = []
     for c in range(256):
         larger, todo = [], induced[c]
@@ -255,7 +270,7 @@ def suffix_order(data: np.ndarray, n: int, length: int) -> np.ndarray:
         before, first = before[order], first[order]
         for d, a, z in zip(*(x.tolist() for x in _groups(first)), strict=True):
             induced[d].append(before[a:z])
-    return np.concatenate(out)
+    return np.concatenate(out) if out else direct
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,7 +286,7 @@ def smallest_owner(data: bytes, sizes: np.ndarray, lows: np.ndarray, length: int
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(n) + length <= ends[owner]
-    order = suffix_order(buffer, n, length)
+    order = suffix_order(buffer, n, length, inside)
     order = order[inside[order]]
     low = np.full(n, NO_ID, np.int64)
     if len(order):
@@ -290,26 +305,20 @@ def find_removed(length: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         rows = group.sort_by("block").to_pylist()
         number: dict[bytes, int] = {}
-        lows: list[int] = []
-        mine = []
+        lows, mine = [], []
         for r in rows:
-            at, local = 0, []
-            for size, low in zip(np.frombuffer(r["sizes"], np.int64).tolist(), np.frombuffer(r["lows"], np.int64).tolist(), strict=True):
-                p = number.setdefault(r["data"][at:at + size], len(number))
-                if p == len(lows):
-                    lows.append(low)
-                else:
-                    lows[p] = min(lows[p], low)
-                local.append(p)
-                at += size
-            mine.append(np.array(local, np.int64))
+            data, ends = zstandard.decompress(r["data"]), np.cumsum(unpack(r["sizes"]), dtype=np.int64).tolist()
+            mine.append(np.array([number.setdefault(data[a:z], len(number)) for a, z in zip([0, *ends], ends)], np.int64))  # noqa: B905
+            lows.append(unpack(r["lows"], np.int64))
         sizes = np.array([len(p) for p in number], np.int64)
-        low, bounds = smallest_owner(b"".join(number), sizes, np.array(lows, np.int64), length)
+        first_ids = np.full(len(number), NO_ID, np.int64)
+        np.minimum.at(first_ids, np.concatenate(mine), np.concatenate(lows))
+        low, bounds = smallest_owner(b"".join(number), sizes, first_ids, length)
         least, most = np.minimum.reduceat(low, bounds[:-1]), np.maximum.reduceat(low, bounds[:-1])
         out = ([], [], [], [])
         for r, local in zip(rows, mine, strict=True):
-            piece = local[np.frombuffer(r["piece"], np.int64)]
-            doc, owner, start = (np.frombuffer(r[c], np.int64) for c in ("doc", "owner", "start"))
+            piece, doc = local[unpack(r["piece"])], unpack(r["doc"], np.int64)
+            owner, start = (unpack(r[c]).astype(np.int64) for c in ("owner", "start"))
             all_ = np.flatnonzero(most[piece] < doc)
             part = np.flatnonzero((most[piece] >= doc) & (least[piece] < doc)).tolist()
             owners, first, after = [owner[all_]], [start[all_]], [start[all_] + sizes[piece[all_]]]
@@ -323,7 +332,7 @@ def find_removed(length: int):
                 after.append(start[i] + z + length)
             packed = [np.concatenate(x).astype(np.int64) for x in (owners, first, after)]
             if len(packed[0]):
-                for column, x in zip(out, (r["block"], *(x.tobytes() for x in packed)), strict=True):
+                for column, x in zip(out, (r["block"], *(pack(x.tobytes()) for x in packed)), strict=True):
                     column.append(x)
         return table(GONE[1], *out)
     return run
@@ -336,9 +345,9 @@ def cut_documents(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     n = int(block.bounds[-1])
     depth = np.zeros(n + 1, np.int32)
     for o, a, z in zip(*(right.column(c).to_pylist() for c in ("owner", "first", "after")), strict=True):
-        base = block.bounds[np.frombuffer(o, np.int64)]
-        np.add.at(depth, base + np.frombuffer(a, np.int64), 1)
-        np.add.at(depth, base + np.frombuffer(z, np.int64), -1)
+        base = block.bounds[unpack(o, np.int64)]
+        np.add.at(depth, base + unpack(a, np.int64), 1)
+        np.add.at(depth, base + unpack(z, np.int64), -1)
     gone = np.cumsum(depth)[:n] > 0
     removed, spans, digests = [], [], []
     for a, z in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True):

@@ -44,6 +44,11 @@ def test_order_by_prefix(alphabet):
         assert sorted(order) == list(range(n))
         full = [bytes(data[i:i + length]) for i in order if i + length <= n]
         assert full == sorted(full)
+        wanted = np.array([rng.random() < 0.4 for _ in range(n)])
+        some = suffix.suffix_order(data, n, length, wanted).tolist()
+        assert {i for i in range(n) if wanted[i]} <= set(some) and len(set(some)) == len(some)
+        full = [bytes(data[i:i + length]) for i in some if i + length <= n]
+        assert full == sorted(full)
 
 
 def make(rng, n):
