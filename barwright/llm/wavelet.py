@@ -149,7 +149,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
             row = {"part": part, "shard": shard, "first_token": first, "n_tokens": size, "doc_ids": names, "doc_tokens": lengths}
             return pa.RecordBatch.from_pylist([row | build(np.concatenate(ids))], schema=ARROW_SCHEMA)
 
-        for b in gathered(batches, limit=2 << 20):
+        for b in gathered(batches):
             encoded, bounds = with_end(*encode(b.column("text")), end_id)
             doc_ids, sizes = b.column("doc_id").to_pylist(), np.diff(bounds)
             done = 0
@@ -175,14 +175,17 @@ ARROW_SCHEMA = pa.schema([
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Shards with ``start``, the number of tokens before each in all the shards."""
     small_batches(spark, SHARD_ROWS)
-    shards = spark.read.schema(SCHEMA).parquet(path)
-    # One row per written part; the sums before it are the only global order.
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def placed(rows: DataFrame, shards: DataFrame, column: str) -> DataFrame:
+    """Turns positions within a part into positions over all shards; only narrow rows are joined."""
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    # One row per written part; the sums before it are the only global order.
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    return shards.join(parts, "part").withColumn("start", F.col("part_start") + F.col("first_token")).drop("part_start")
+    return rows.join(parts, "part").withColumn(column, F.col("part_start") + F.col(column)).drop("part", "part_start")
 
 
 def documents(shards: DataFrame) -> DataFrame:
@@ -195,11 +198,12 @@ def documents(shards: DataFrame) -> DataFrame:
                 sizes = np.array(row["doc_tokens"], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + bounds[:-1]), pa.array(sizes),
+                    pa.array(np.full(len(sizes), row["part"], np.int32)), pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(row["first_token"] + bounds[:-1]), pa.array(sizes),
                     pa.array([zlib.crc32(raw[4 * a:4 * z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.int64()),
-                ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed(shards.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long"), shards, "start")
 
 
 def token_places(shards: DataFrame, token: int) -> DataFrame:
@@ -208,7 +212,8 @@ def token_places(shards: DataFrame, token: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 m = matrix(row)
-                places = [row["start"] + m.select(token, k) for k in range(m.count(token))]
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], names=["position"])
+                places = [row["first_token"] + m.select(token, k) for k in range(m.count(token))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), row["part"], np.int32)), pa.array(places, pa.int64())],
+                                                 names=["part", "position"])
 
-    return shards.mapInArrow(run, "position long")
+    return placed(shards.mapInArrow(run, "part int, position long"), shards, "position")
