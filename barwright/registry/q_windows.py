@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip as sclip, dbl, flag as sflag, ratio as sratio, sign, zero_to
@@ -155,10 +157,9 @@ simple("w17_sign_entropy", {"entropy_12": B.entropy("s", 12), "entropy_24": B.en
 
 
 def frac_sql(d: float = 0.4, cutoff: float = 0.01) -> str:
-    weights, k = [1.0], 1
-    while abs(-weights[-1] * (d - k + 1) / k) >= cutoff:
-        weights.append(-weights[-1] * (d - k + 1) / k)
-        k += 1
+    # (-1)^k times d over k, by the gamma function: gamma(k - d) / (gamma(-d) gamma(k + 1)).
+    exact = [math.gamma(k - d) / (math.gamma(-d) * math.gamma(k + 1)) for k in range(100)]
+    weights = exact[:next(k for k, w in enumerate(exact) if abs(w) < cutoff)]
     terms = " + ".join(f"{w!r}::DOUBLE * {B.lag('close', i) if i else 'close'}" for i, w in enumerate(weights))
     return f"(CASE WHEN rn + 1 >= {len(weights)} THEN {terms} ELSE 0.0 END)"
 
