@@ -4,9 +4,10 @@ A logistic model over the words that are present in a text, and over word beginn
 words that share them (inflected insults show by their stem).  A feature enters when its share of toxic training
 texts differs from the overall share by more than chance over all features explains (a Chernoff bound, corrected
 for their number); identity terms always enter.  Besides the log loss the fit minimises the change of score when an
-identity term of a labelled sentence is swapped for another of its kind or left out: for a linear score each swap
-is a difference of two weights, so the sentences are reduced to counts of swaps, and the penalty is exact.  A group
-that is mentioned is then worth as much as any other and as none.
+identity term of a labelled sentence is swapped for another of its kind, left out, or inflected otherwise.  A swap
+replaces all forms of the term in the text, and its change is that of all features, words and beginnings, given the
+text's other words.  For a linear score it is a sum of weights, so the sentences are reduced to counts of swaps, and
+the penalty is exact.  A group that is mentioned is then worth as much as any other and as none.
 
 Labels are learned from a sample of at most ``TRAIN_ROWS`` labelled rows in the order of a hash of doc_id, never from
 held-out rows; repeated texts are learned once.  Word counts are made by Spark over the sample; the driver fits a
@@ -54,6 +55,8 @@ IDENTITY_TERMS = {
                "mexican", "migrant", "refugee", "white", "türkisch", "arabe", "árabe", "africain", "africano"),
     "body": ("blind", "deaf", "disabled", "elderly", "old", "young", "behindert", "aveugle", "ciego"),
 }
+#: Endings of inflected terms; terms of fewer than four letters only take the first two.
+ENDINGS = ("", "s", "es", "e", "en", "em", "er", "n", "in", "innen", "ne", "nes", "a", "o", "as", "os")
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -80,6 +83,27 @@ def identity_words() -> dict[bytes, str]:
     return {t.encode(): kind for kind, terms in IDENTITY_TERMS.items() for t in terms}
 
 
+def inflected(term: str) -> list[bytes]:
+    """The forms of a term, one per ending and in their order."""
+    root = term[:-1] if term.endswith("o") else term
+    return [(term if not e else (root if e[0] in "aeo" else term) + e).encode() for e in (ENDINGS if len(term) > 3 else ENDINGS[:2])]
+
+
+def identity_forms() -> dict[bytes, tuple[str, str, int]]:
+    """Form -> (kind, term, number of the ending); a term itself is never the form of another."""
+    terms = [(kind, t) for kind, ts in IDENTITY_TERMS.items() for t in ts]
+    forms = {f: (kind, t, i) for kind, t in sorted(terms, key=lambda x: (len(x[1]), x[1])) for i, f in enumerate(inflected(t))}
+    return forms | {t.encode(): (kind, t, 0) for kind, t in terms}
+
+
+def related_beginnings(forms: dict[bytes, tuple[str, str, int]]) -> dict[str, set[bytes]]:
+    """Per kind the beginnings that words of a text may share with its terms."""
+    out: dict[str, set[bytes]] = {kind: set() for kind in IDENTITY_TERMS}
+    for form, (kind, _, _) in forms.items():
+        out[kind].add(form[:min(STEM_BYTES)])
+    return out
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
     """text and label of at most ``rows`` labelled documents, repeated texts once, written to the shared folder."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select(
@@ -131,34 +155,66 @@ def chosen_features(sample: DataFrame, share: float, most: int = MAX_FEATURES) -
 
 
 def training_rows(sample: DataFrame, words: list[bytes]) -> DataFrame:
-    """Label and positions of the model's words in each text, and the texts' swaps of identity terms."""
-    index, kinds = {w: i for i, w in enumerate(words)}, identity_words()
+    """Label and positions of the model's words in each text, and a line per mention of an identity term in a sentence:
+    the term, and the words of the text that are forms of its kind or begin like them."""
+    index, forms = {w: i for i, w in enumerate(words)}, identity_forms()
+    begins = related_beginnings(forms)
+
+    def mentions(text: str, there: set[bytes]) -> list[str]:
+        if not there & forms.keys():
+            return []
+        lines, n = [], min(STEM_BYTES)
+        for s in SENTENCE.split(text):
+            for kind, term in sorted({forms[w][:2] for w in set(words_of(s)) & forms.keys()}):
+                near = sorted(w for w in there if w[:n] in begins[kind])
+                lines.append(" ".join([term, *(w.decode() for w in near)]))
+        return lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             has, terms = [], []
             for text in b.column("text").to_pylist():
-                has.append(sorted({index[f] for f in features_of(text) if f in index}))
-                terms.append([index[w] for s in SENTENCE.split(text) for w in sorted(set(words_of(s)) & kinds.keys())] if any(
-                    words[i] in kinds for i in has[-1]) else [])
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(has, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))],
+                there = set(words_of(text))
+                has.append(sorted({index[f] for f in [*there, *stems(there)] if f in index}))
+                terms.append(mentions(text, there))
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(has, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.string()))],
                                              names=["label", "has", "terms"])
 
-    return sample.mapInArrow(run, "label int, has array<int>, terms array<int>")
+    return sample.mapInArrow(run, "label int, has array<int>, terms array<string>")
+
+
+def swapped(term: str, near: set[bytes], forms: dict[bytes, tuple[str, str, int]]) -> list[set[bytes]]:
+    """The words ``near`` a mention after each swap of all forms of the term: for its peers in the same form, for none,
+    and for its own other forms."""
+    mine = {w: forms[w][2] for w in near if w in forms and forms[w][1] == term}
+    rest = near - mine.keys()
+    peers = [inflected(p) for p in IDENTITY_TERMS[forms[term.encode()][0]] if p != term]
+    changed = [rest | {p[i] if i < len(p) else p[0] for i in mine.values()} for p in peers]
+    return [*changed, rest, *(new for f in inflected(term) if (new := rest | {f}) != near)]
 
 
 def swap_penalty(term_counts: Counter, words: list[bytes], strength: float) -> np.ndarray:
-    """Matrix Q of the mean squared score change w'Qw over all swaps of the labelled sentences."""
-    kinds, index = identity_words(), {w: i for i, w in enumerate(words)}
-    q, total = np.zeros((len(words) + 1,) * 2), max(1, sum(term_counts.values()))
-    for i, n in term_counts.items():
-        peers = [index[w] for w, kind in kinds.items() if kind == kinds[words[i]] and index[w] != i]
-        for j in [*peers, None]:  # None: the term left out
-            d = np.zeros(len(words) + 1)
-            d[i] = 1
-            if j is not None:
-                d[j] = -1
-            q += n / total / (len(peers) + 1) * np.outer(d, d)
+    """Matrix Q of the mean squared score change w'Qw over all swaps of the labelled sentences.
+
+    Mentions are lines of ``training_rows``, or the position of a term that stands alone in its text."""
+    index, forms = {w: i for i, w in enumerate(words)}, identity_forms()
+    total = max(1, sum(term_counts.values()))
+
+    def positions(near: set[bytes]) -> set[int]:
+        return {index[f] for f in [*near, *stems(near)] if f in index}
+
+    shares: Counter = Counter()
+    for key, n in sorted(term_counts.items(), key=lambda x: str(x[0])):
+        term, *near = [words[key].decode()] * 2 if isinstance(key, int) else key.split(" ")
+        near = {w.encode() for w in near}
+        before, after = positions(near), swapped(term, near, forms)
+        for new in after:
+            there = positions(new)
+            shares[tuple(sorted(before - there)), tuple(sorted(there - before))] += n / total / len(after)
+    q = np.zeros((len(words) + 1,) * 2)
+    for (lost, won), share in shares.items():
+        at, d = np.array([*lost, *won], int), np.repeat([1.0, -1.0], [len(lost), len(won)])
+        q[np.ix_(at, at)] += share * np.outer(d, d)
     return strength * q
 
 
@@ -208,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, strength: fl
         return {"weights": {}, "bias": float(np.log(share / (1 - share)))}
     words = sorted({*chosen_features(sample, share), *identity_words()})
     data = training_rows(sample, words).toPandas()
-    counts = Counter(int(i) for terms in data["terms"] for i in terms)
+    counts = Counter(str(line) for terms in data["terms"] for line in terms)
     w = fit_weights(data["label"].to_numpy(float), list(data["has"]), len(words), swap_penalty(counts, words, strength), l2)
     return {"weights": dict(zip(words, w[:-1].tolist(), strict=True)), "bias": float(w[-1])}
 

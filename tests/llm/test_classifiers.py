@@ -39,6 +39,38 @@ def test_swaps_take_the_bias_out_of_identity_terms():
     assert fair[at[b"scum"]] > 2
 
 
+def test_swaps_take_the_bias_out_of_stems_and_inflected_forms(spark):
+    rng = np.random.default_rng(1)
+    docs, labels, groups = [], [], ("muslim", "muslims", "transgender", "homosexual", "homosexuals")
+    for i in range(1500):  # groups that are mostly mentioned in toxic texts, as terms and inflected
+        toxic = rng.random() < 0.3
+        words = [f"w{n}" for n in rng.integers(0, 500, 8)]
+        words += [str(rng.choice(groups))] if rng.random() < (0.8 if toxic else 0.1) else []
+        words += ["scum"] if toxic and rng.random() < 0.7 else []
+        docs.append((i, " ".join(map(str, rng.permutation(words))) + ".", "x"))
+        labels.append((i, 0, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    free, fair = (toxicity.fit(docs, labels, strength=s) for s in (0.0, toxicity.COUNTERFACTUAL))
+    assert any(f.startswith(b"musli*") for f in fair["weights"]) and any(f.startswith(b"homos*") for f in fair["weights"])
+    none = toxicity.scorer(fair)("the park")
+    for word in (*groups, "musliminnen", "homosexuelle", "homosexualen"):  # the last ones in no training text
+        assert abs(toxicity.scorer(fair)(f"the {word} park") - none) < 0.05, word
+    assert toxicity.scorer(free)("the muslim park") - toxicity.scorer(free)("the park") > 0.3  # what the swaps take out
+    assert toxicity.scorer(fair)("the scum park") > 0.8
+
+
+def test_swaps_follow_the_other_words_of_the_text():
+    words = sorted({*toxicity.identity_words(), b"musli*1", b"musli*2"})
+    at = {w: i for i, w in enumerate(words)}
+    w = np.zeros(len(words) + 1)
+    w[at[b"musli*1"]] = 1.0
+    change = lambda line: w @ toxicity.swap_penalty(toxicity.Counter([line]), words, 1.0) @ w
+    assert change("muslim muslim") > 0 and change("muslim muslims") > 0  # the beginning goes with the term
+    assert change("muslim muslim muslinware") == 0  # another word of the text keeps it
+    w[at[b"musli*1"]], w[at[b"musli*2"]] = 0.0, 1.0
+    assert change("muslim muslim") == 0 and change("muslim muslim muslinware") > 0
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "x"), (2, "", "x"), (3, "word " * 50_000, "x")], DOCS)
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 1), (None, 1, 1), (2, None, None), (2, 7, 7)], LABELS)
