@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +18,8 @@ from ..operators.metrics import classification_scores
 
 #: Share of a fold's training rows, the last ones, that decide when boosting stops.
 VALIDATION = 0.2
+#: Rounds without a new best validation error that end boosting.
+PATIENCE = 100
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ PARAMS = ("depth int, rounds int, step double, subsample double, min_rows int, f
 def draw_trials(n: int, seed: int = 0, max_rounds: int = 1000) -> list[Trial]:
     """Seeded random parameters over the surveyed ranges; the learning rate on a log scale.
 
-    ``max_rounds`` is only an upper end: boosting stops when the validation rows no longer gain.
+    ``max_rounds`` is only an upper end: boosting stops when the validation rows gain nothing for ``PATIENCE`` rounds.
     """
     rng = random.Random(seed)
     return [
@@ -82,11 +84,43 @@ def fold_profile(df: DataFrame, label: str, row: str, total: str, folds: int = 5
 
 
 def _common(t: Trial, label: str, weight: str) -> dict:
-    return {"featuresCol": "_x", "labelCol": label, "weightCol": weight, "validationIndicatorCol": "_late", "maxDepth": t.depth,
+    return {"featuresCol": "_x", "labelCol": label, "weightCol": weight, "maxDepth": t.depth,
             "maxIter": t.rounds, "stepSize": t.step, "subsamplingRate": t.subsample, "minInstancesPerNode": t.min_rows,
             "featureSubsetStrategy": str(t.feature_share), "seed": 7}
 
 
+def best_round(errors: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Rounds up to the lowest error before ``patience`` rounds without a lower one, and whether so many were seen."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted(make: Callable, t: Trial, label: str, weight: str, train: DataFrame, loss: str, patience: int = PATIENCE):
+    """The model of the best round on the late training rows.
+
+    Spark ML ends boosting at the first round that gains too little.  Here twice as many rounds are fitted each time
+    until the error path has ended; the seeds of rounds do not depend on their number, so paths continue each other.
+    """
+    early, late = train.filter(~F.col("_late")).persist(), train.filter("_late").persist()
+    try:
+        rounds, model = min(t.rounds, 2 * patience), None
+        while True:
+            model = make(**_common(replace(t, rounds=rounds), label, weight)).fit(early)
+            best, ended = best_round(model.evaluateEachIteration(late, *([loss] if loss else [])), patience)
+            if ended or rounds >= t.rounds:
+                break
+            rounds = min(t.rounds, 2 * rounds)
+        return model if best == rounds else make(**_common(replace(t, rounds=best), label, weight)).fit(early)
+    finally:
+        early.unpersist()
+        late.unpersist()
+
+
 def _search(
     data: DataFrame, trials: Sequence[Trial], row: str, total: str, folds: int,
     score_fold: Callable[[Trial, DataFrame, DataFrame], DataFrame], mean: Callable[[DataFrame], Column | float],
@@ -110,7 +144,7 @@ def tune_classifier(
 
     def score_fold(t: Trial, train: DataFrame, test: DataFrame) -> DataFrame:
         weighted = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(t.pos_weight)).otherwise(F.lit(1.0)))
-        model = GBTClassifier(**_common(t, label, "_w")).fit(weighted)
+        model = boosted(GBTClassifier, t, label, "_w", weighted, "")
         return model.transform(test).select(
             F.col(label).alias("y"), (vector_to_array("probability")[1] > F.lit(t.threshold)).cast("int").alias("pred"))
 
@@ -130,7 +164,7 @@ def tune_regressor(
     data = _prepared(df, features, [row, total, label, weight]).persist()
 
     def score_fold(t: Trial, train: DataFrame, test: DataFrame) -> DataFrame:
-        model = GBTRegressor(**_common(t, label, weight)).fit(train)
+        model = boosted(GBTRegressor, t, label, weight, train, "squared")
         return model.transform(test).select(F.col(label).alias("y"), F.greatest(F.col("prediction"), F.lit(0.0)).alias("p"))
 
     def mean(scored: DataFrame) -> float:

@@ -9,8 +9,11 @@ from ..functions.scalar import argmax, sigmoid, softmax
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators.align import row_index
+from ..operators.clean import finite_columns, numeric_columns
 from ..plans import pipeline, report, training
-from ..session import scratch_dir
+from ..plans.orderbook import orderbook_features
+from ..plans.price import price_features
+from ..session import cut_lineage, scratch_dir
 from ..sources import reports as rsrc
 from . import inputs as I
 from .core import finish, query, rounded
@@ -498,17 +501,32 @@ def matrix(spark, sf):
     return row_index(h.select("all", "symbol", "date", "close", "y", "f1", "f2", "f3", "w"), ["all"], ["date", "symbol"], F.date_trunc("day", "date"), total="n")
 
 
-FEATURES = ["f1", "f2", "f3"]
+def full_matrix(spark, sf):
+    """(rows with every price, order-flow and slow feature, the features' names)."""
+    c = F.col
+    x = I.bars(spark, sf).select(
+        "symbol", "date", c("price_max").alias("high"), c("price_min").alias("low"), c("price_last").alias("close"),
+        c("qty_sum").alias("volume_ETH"), c("amount_sum").alias("volume_USD"), "price_first", "price_last", "price_max", "price_min",
+        "price_mean", "qty_sum", "qty_count", "buy_qty_sum", "sell_qty_sum", "buy_trade_sum", "sell_trade_sum")
+    x = orderbook_features(price_features(x, I.BARS, drop="none"), I.BARS)
+    x = pipeline.with_slow_series(x, [(slow_level(spark, sf), "level")], KEY, "date")
+    names = [n for n in numeric_columns(x) if n not in ("symbol", "date")]
+    x = cut_lineage(finite_columns(x, names).withColumns({
+        "y": L.direction_label(I.BARS, "close"), "w": F.lit(1.0) + c("qty_sum") / 97.0, "all": F.lit(0)}))
+    return row_index(x, ["all"], ["date", "symbol"], F.date_trunc("day", "date"), total="n"), names
 
 
 @query("t1_tune_classifier")
 def t1(spark, sf):
-    return training.tune_classifier(matrix(spark, sf), FEATURES, "y", "row_index", "n", training.draw_trials(3, 3, 8))
+    rows, names = full_matrix(spark, sf)
+    return training.tune_classifier(rows, names, "y", "row_index", "n", training.draw_trials(3, 3))
 
 
 @query("t2_tune_regressor")
 def t2(spark, sf):
-    return training.tune_regressor(matrix(spark, sf), FEATURES, "close", "w", "row_index", "n", training.draw_trials(3, 3, 8))
+    rows, names = full_matrix(spark, sf)
+    names = [n for n in names if n not in ("close", "price_last")]  # the target itself
+    return training.tune_regressor(rows, names, "close", "w", "row_index", "n", training.draw_trials(3, 3))
 
 
 @query("t_fold_profile", finish(I.HOURLY_SQL + UP + """,

@@ -12,7 +12,7 @@ from barwright.functions.over import frac_weights
 from barwright.functions.scalar import clip, finite, flag, ratio, safe_div
 from barwright.operators import align, bars, blocks, clean, cusum, fit, labels, metrics, profile
 from barwright.operators.scan import Atr, Ema, Macd, Rsi, RunningQuantile, SeededEma, ema_in_blocks, scan
-from barwright.plans import macro, report
+from barwright.plans import macro, report, training
 from barwright.plans.price import price_features
 
 LY = Layout.of("s", "t")
@@ -371,3 +371,27 @@ def test_blocks_refuse_frames_beyond_the_halo(spark):
                 lambda ly: ly.fold("avg", F.avg, None, None, F.col("x"))):
         with pytest.raises(ValueError):
             blocks.in_blocks(df, ["s"], "row", lambda d, ly: d.withColumn("y", bad(ly)), 3, 1)
+
+
+def test_boosting_waits_for_a_lower_error():
+    assert training.best_round([5, 4, 4.5, 4.4, 3, 3.1], 3) == (5, False)
+    assert training.best_round([5, 4, 4.5, 4.4, 4.2, 3], 3) == (2, True)  # what comes after the wait does not count
+
+
+def test_slow_rates_are_trained(spark):
+    df = spark.createDataFrame([(i, 400, float(i % 20), float((i % 20) ** 2), 1.0) for i in range(400)], "row long, n long, x double, y double, w double")
+    slow = [training.Trial(2, rounds, 0.003, 1.0, 1, 1.0, 0.5, 1.0) for rounds in (1, 120)]  # gains under 1 percent a round
+    got = {r.rounds: r.mean_msle for r in training.tune_regressor(df, ["x"], "y", "w", "row", "n", slow, folds=1).collect()}
+    assert got[120] < 0.9 * got[1]
+
+
+def test_searches_have_the_default_rounds_and_all_features(spark, monkeypatch):
+    from barwright.registry import q_outcomes
+
+    seen = []
+    for name in ("tune_classifier", "tune_regressor"):
+        monkeypatch.setattr(training, name, lambda df, features, *a: seen.append((df.count(), features, a[-1])))
+    q_outcomes.t1(spark, "/root/testdata/sf0.001")
+    q_outcomes.t2(spark, "/root/testdata/sf0.001")
+    for n, features, trials in seen:
+        assert n and len(features) > 100 and {t.rounds for t in trials} == {1000}
