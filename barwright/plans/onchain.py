@@ -214,10 +214,13 @@ def fitted_flags(
     df: DataFrame, ly: Layout, columns: Sequence[str], train: Column | None = None, short: int = 6, mid: int = 24,
     event: tuple[float, float] = (0.85, 0.70), state: tuple[float, float] = (0.60, 0.45),
     event_default: tuple[float, float] = (1.5, 0.5), state_default: tuple[float, float] = (0.5, 0.2),
-    thresholds: bool = False,
+    thresholds: bool = False, digits: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Spike and state flags with enter/exit levels fitted on the training rows.
 
+    ``digits`` rounds scores and levels before they are compared, so that small counts, which often tie with a level,
+    do not fall to a side by the last bits of a sum.
+
     ``thresholds=True`` also returns the levels as ``<flag>_enter`` and ``<flag>_exit``.
     """
     ly = ly.layered()
@@ -247,17 +250,20 @@ def fitted_flags(
         sd = ly.fold("std", F.stddev_samp, None, None, t)
         return ratio(v - ly.fold("avg", F.avg, None, None, t), F.when(sd == 0.0, 1.0).otherwise(sd))
 
+    def tied(v: Column) -> Column:
+        return v if digits is None else F.round(v, digits)
+
     layer = {}
     for c in present:
-        layer[f"_e_{c}"] = F.greatest(centred(f"{c}_z_short"), centred(f"{c}_pctchg_{short}"))
-        layer[f"_s_{c}"] = F.greatest(F.col(f"{c}_z_mid"), F.abs(F.col(f"{c}_ratio_s_over_m") - 1.0))
+        layer[f"_e_{c}"] = tied(F.greatest(centred(f"{c}_z_short"), centred(f"{c}_pctchg_{short}")))
+        layer[f"_s_{c}"] = tied(F.greatest(F.col(f"{c}_z_mid"), F.abs(F.col(f"{c}_ratio_s_over_m") - 1.0)))
     x = ly.add(x, layer)
     plan = [(f"{c}_spike_flag", f"_e_{c}", event, event_default) for c in present]
     plan += [(f"{c}_state_flag", f"_s_{c}", state, state_default) for c in present]
     layer = {}
     for name, source, levels, defaults in plan:
         for side, q, fallback in zip(("enter", "exit"), levels, defaults):
-            layer[f"{name}_{side}"] = F.coalesce(finite(quantile_over(ly, source, mask, q)), F.lit(fallback))
+            layer[f"{name}_{side}"] = F.coalesce(tied(finite(quantile_over(ly, source, mask, q))), F.lit(fallback))
     x = ly.add(x, layer)
     # A reading equal to both levels flips the switch, so ties are counted besides the
     # readings that settle it.

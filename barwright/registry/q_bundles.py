@@ -384,7 +384,7 @@ def b4_optional(spark, sf):
 
 FIT_COLS = ("total_flow_sum", "address_count_sum", "active_receivers", "active_senders", "dex_volume", "contract_calls",
             "whale_tx_count")
-# Flags compare with quantiles: small counts tie there, and engines round a tie to either side.
+# Columns of b7 and f17; their ..._all_columns forms have all seven, whose small counts tie at quantiles.
 FLAG_COLS = ("total_flow_sum", "active_receivers", "dex_volume")
 TRAIN = f"({SA.rn()} <= floor(count(*) {SA.whole} * 0.7::DOUBLE))"
 
@@ -431,20 +431,21 @@ def b6(spark, sf):
     return rounded(x.select("series_id", "date", *SCORE_COLS))
 
 
-def flags_sql() -> tuple[str, list[str], list[str]]:
+def flags_sql(columns: tuple[str, ...] = FLAG_COLS, digits: int | None = None) -> tuple[str, list[str], list[str]]:
     w = SA
     tr = lambda x: f"(CASE WHEN t THEN {x} END)"
     z = lambda x: f"(({x}) - avg({tr(x)}) {w.whole}) / (CASE WHEN stddev_samp({tr(x)}) {w.whole} = 0 THEN 1.0 ELSE stddev_samp({tr(x)}) {w.whole} END)"
+    tie = lambda x: x if digits is None else f"round({x}, {digits})"
     l1, l2, l3, ints, doubles = {"t": TRAIN, "rn": w.rn()}, {}, {}, [], []
     states = []
-    for c in FLAG_COLS:
+    for c in columns:
         l1 |= {f"{c}_z_mid": f"({c} - {w.mean(c, 24, 1)}) / nullif({w.std(c, 24, 1)}, 0)",
                f"{c}_z_short": f"({c} - {w.mean(c, 6, 1)}) / nullif({w.std(c, 6, 1)}, 0)",
                f"{c}_ratio_s_over_m": finite(ratio(w.mean(c, 6, 1), f"nullif({w.mean(c, 24, 1)}, 0)")), f"{c}_pctchg_6": w.pct(c, 6)}
-        l2 |= {f"e_{c}": f"greatest({z(f'{c}_z_short')}, {z(f'{c}_pctchg_6')})",
-               f"s_{c}": f"greatest({c}_z_mid, abs({c}_ratio_s_over_m - 1.0))"}
+        l2 |= {f"e_{c}": tie(f"greatest({z(f'{c}_z_short')}, {z(f'{c}_pctchg_6')})"),
+               f"s_{c}": tie(f"greatest({c}_z_mid, abs({c}_ratio_s_over_m - 1.0))")}
         for name, src, on, off in ((f"{c}_spike_flag", f"e_{c}", 0.85, 0.7), (f"{c}_state_flag", f"s_{c}", 0.6, 0.45)):
-            l3 |= {f"{name}_enter": w.qwhole(tr(src), on), f"{name}_exit": w.qwhole(tr(src), off)}
+            l3 |= {f"{name}_enter": tie(w.qwhole(tr(src), on)), f"{name}_exit": tie(w.qwhole(tr(src), off))}
             states.append((name, src))
             ints.append(name)
             doubles += [f"{name}_enter", f"{name}_exit"]
@@ -475,6 +476,21 @@ def f17(spark, sf):
     return x.select("series_id", "date", *names)
 
 
+ALL_FLAGS, ALL_FLAG_INTS, ALL_FLAG_DOUBLES = flags_sql(FIT_COLS, 9)
+
+
+@query("b7_fitted_flags_all_columns", finish(ALL_FLAGS, "x", ["series_id", "date", *ALL_FLAG_INTS], ALL_FLAG_DOUBLES))
+def b7_all(spark, sf):
+    x, _ = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FIT_COLS, thresholds=True, digits=9)
+    return rounded(x.select("series_id", "date", *ALL_FLAG_INTS, *ALL_FLAG_DOUBLES))
+
+
+@query("f17_event_state_flags_all_columns", finish(ALL_FLAGS, "x", ["series_id", "date", *ALL_FLAG_INTS], []))
+def f17_all(spark, sf):
+    x, names = onchain.fitted_flags(I.activity(spark, sf), I.SERIES, FIT_COLS, digits=9)
+    return x.select("series_id", "date", *names)
+
+
 # ---- drivers ---------------------------------------------------------------
 
 

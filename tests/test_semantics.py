@@ -395,3 +395,12 @@ def test_searches_have_the_default_rounds_and_all_features(spark, monkeypatch):
     q_outcomes.t2(spark, "/root/testdata/sf0.001")
     for n, features, trials in seen:
         assert n and len(features) > 100 and {t.rounds for t in trials} == {1000}
+
+
+def test_flags_of_all_activity_columns_are_compared():
+    from barwright.registry import all_queries, all_sql
+    from barwright.registry.q_bundles import FIT_COLS
+
+    for name in ("b7_fitted_flags_all_columns", "f17_event_state_flags_all_columns"):
+        assert name in all_queries() and len(FIT_COLS) == 7
+        assert all(f"{c}_{kind}_flag" in all_sql()[name] for c in FIT_COLS for kind in ("spike", "state"))
