@@ -627,9 +627,9 @@ daily AS (
          floor(price_max) + 1.0 AS whale_tx_count FROM both_sides)"""
 
 
-def combined(spark, sf):
+def combined(spark, sf, bars=both_sides):
     c = F.col
-    b = both_sides(spark, sf)
+    b = bars(spark, sf)
     return b.select(
         c("series_id").alias("series"), "date", c("price_max").alias("high"), c("price_min").alias("low"), c("price_last").alias("close"),
         c("qty_sum").alias("volume_ETH"), c("amount_sum").alias("volume_USD"), "price_first", "price_last", "price_max", "price_min", "price_mean",
