@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..session import scratch_dir
-from . import chat, decontaminate, fingerprint, neardup, packing, pii, quality, suffix, toxicity, wavelet
+from . import chat, decontaminate, fingerprint, neardup, negatives, packing, pii, quality, recompress, spelling, suffix, toxicity, wavelet
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +73,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor among all vectors."""
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words that repeat an earlier document, over all documents."""
+    return recompress.repeated_words(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_exact_dedup, op4_near_dedup, op5_token_shards, op6_quality, op7_chat_format, op8_packing,
-                                               op9_suffix_dedup, op10_toxicity)}
+                                               op9_suffix_dedup, op10_toxicity, op11_spelling, op12_hard_negatives, op13_recompression)}
 SQL: dict[str, str] = {"op1_decontamination": decontaminate.SQL, "op3_exact_dedup": fingerprint.SQL,
-                       "op7_chat_format": chat.SQL}
+                       "op7_chat_format": chat.SQL, "op11_spelling": spelling.SQL,
+                       "op12_hard_negatives": negatives.SQL, "op13_recompression": recompress.SQL}
