@@ -38,6 +38,8 @@ from .decontaminate import words_of
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 36, 6
+#: Arrivals drawn at once, and bytes of text taken together.
+DRAWS, GATHERED = 1_000_000, 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,12 +129,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (xs[at] / x[both] + ys[at] / y[both])).sum())
 
 
+def portions(costs: list[int], limit: int) -> Iterator[slice]:
+    """Slices whose costs add up to at most ``limit``, one dearer item alone."""
+    begin, total = 0, 0
+    for i, c in enumerate(costs):
+        if i > begin and total + c > limit:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += c
+    if begin < len(costs):
+        yield slice(begin, len(costs))
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, 128-bit hash of the words, band keys (none for a text without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches):
+        k = bands * rows
+        for b in gathered(batches, limit=GATHERED):
             words = [words_of(t) for t in b.column("text").to_pylist()]
-            keys = band_keys(signatures([shingles(w) for w in words], bands * rows), bands, rows)
+            parts = [shingles(w) for w in words]
+            # A text draws about k (ln k + 1) arrivals at once however short it is, and one more per element.
+            cuts = portions([int(k * (np.log(k) + 1)) + len(e) for e, _ in parts], DRAWS)
+            keys = np.concatenate([np.zeros((0, bands), np.int64), *(band_keys(signatures(parts[c], k), bands, rows) for c in cuts)])
             same = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array(same[:, 0]), pa.array(same[:, 1]),
