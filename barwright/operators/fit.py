@@ -9,12 +9,15 @@ left to the optimizer, which broadcasts it only when its measured size allows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.over import Layout
 from ..functions.scalar import clip_to, dbl, flag
+from ..session import cut_lineage
+from .quantiles import beside, exact_quantiles
 
 
 def train_mask(ly: Layout, share: float = 0.7) -> Column:
@@ -67,23 +70,25 @@ def fit_params(
     df: DataFrame, series: Sequence[str], columns: Sequence[str], mask: Column | None = None,
     quantiles: Sequence[float] = (),
 ) -> DataFrame:
-    """Long table ``(series, column, n, mean, std, std_pop, q_<p>...)`` in a single pass."""
+    """Long table ``(series, column, n, mean, std, std_pop, q_<p>...)``: one aggregate, and a second one where
+    quantiles are asked for (see ``operators.quantiles``)."""
     mask = F.lit(True) if mask is None else mask
-    parts = []
-    for c in columns:
-        x = on_train(c, mask)
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(x).alias("n"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.stddev_pop(x).alias("std_pop"),
-                *[F.percentile(x, F.lit(q)).alias(quantile_name(q)) for q in quantiles],
-            ).alias(c)
-        )
-    wide = df.groupBy(*series).agg(*parts)
-    return wide.select(*series, F.inline(F.array(*columns)))
+    more = {"n": F.count("_x"), "mean": F.avg("_x"), "std": F.stddev_samp("_x"), "std_pop": F.stddev_pop("_x")}
+    return exact_quantiles(df, series, {c: on_train(c, mask) for c in columns}, {quantile_name(q): q for q in quantiles}, more)
+
+
+def with_quantiles(
+    df: DataFrame, series: Sequence[str], columns: Mapping[str, Column], shares: Mapping[str, float], prefix: str = "_q_",
+) -> DataFrame:
+    """Rows with the exact quantiles of their series as structs ``<prefix><name>`` (fields named as in ``shares``), without a
+    series in one task.  ``df`` is read three times: cut its lineage first if it is dear."""
+    return beside(df, exact_quantiles(df, series, columns, shares), series, list(columns), list(shares), prefix)
+
+
+def winsorised(df: DataFrame, series: Sequence[str], columns: Sequence[str], mask: Column, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
+    """Columns clipped to quantiles of their training rows."""
+    x = with_quantiles(df, series, {c: on_train(c, mask) for c in columns}, {"lo": lo, "hi": hi})
+    return x.withColumns({c: clip_to(dbl(c), F.col(f"_q_{c}.lo"), F.col(f"_q_{c}.hi")) for c in columns}).drop(*[f"_q_{c}" for c in columns])
 
 
 def quantile_name(q: float) -> str:
@@ -123,19 +128,17 @@ def ternary_quantile_flag(ly: Layout, c, low: float = 0.1, high: float = 0.9, ma
 def category_codes(df: DataFrame, label: str, out: str) -> DataFrame:
     """0-based code of each label in sorted order; NULL is -1.
 
-    The distinct labels are reduced map-side first; the code table is joined without a
-    forced broadcast, since labels may be many.  Codes come from label counts bucketed by
-    leading text, so no task sorts all labels.
+    The distinct labels are reduced map-side first and dealt by ranges, so that neither a common beginning nor
+    their number puts them in one task.  A code is the rank in its range plus the number of labels in the ranges before,
+    one number per partition.  The code table is joined without a forced broadcast, since labels may be many.
     """
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    prefixed = labels.withColumn("_p", F.substring(F.col(label), 1, 2))
-    sizes = prefixed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)  # one row per prefix
-    before = sizes.select("_p", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_p").orderBy(label)
-    codes = prefixed.withColumn("_i", F.row_number().over(inside) - 1).join(before, "_p").select(
-        label, (F.col("_before") + F.col("_i")).cast("int").alias(out)
-    )
+    sorted_ = labels.repartitionByRange(label).sortWithinPartitions(label).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(sorted_.select(label, F.shiftright("_id", 33).cast("int").alias("_p"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_i")))
+    sizes = dict(placed.groupBy("_p").count().collect())
+    offsets = dict(zip(sorted(sizes), accumulate((sizes[p] for p in sorted(sizes)), initial=0)))
+    before = F.create_map(*[F.lit(v) for pair in offsets.items() for v in pair])[F.col("_p")] if offsets else F.lit(0)
+    codes = placed.select(label, (before + F.col("_i")).cast("int").alias(out))
     return df.join(codes, label, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 

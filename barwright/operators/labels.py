@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions.over import Layout
 from ..functions.scalar import dbl
+from ..session import cut_lineage
 from .align import interval_join
+from .draws import sequential_draws
 
 
 def direction_label(ly: Layout, price: str, horizon: int = 4, open_tail: str = "zero") -> Column:
@@ -122,17 +123,48 @@ def interval_sums(
     )
 
 
+def _running(line: DataFrame, series: Sequence[str], ts: str, measures: dict[str, Column]) -> DataFrame:
+    """Running totals along (time, kind), in two levels: inside a day, and over the days of a series."""
+    keyed = line.withColumn("_day", F.date_trunc("day", F.col(ts)))
+    names = [*series, "_day"]
+    sums = keyed.groupBy(*names).agg(*[F.sum(m).alias(f"_d_{c}") for c, m in measures.items()])
+    earlier = Window.partitionBy(*series).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*names, *[F.coalesce(F.sum(f"_d_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in measures])
+    inside = Window.partitionBy(*names).orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = keyed.join(before, names).withColumns({c: F.col(f"_b_{c}") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for c, m in measures.items()})
+    return found.drop("_day", *[f"_b_{c}" for c in measures])
+
+
+def _sums_over_events(
+    bars: DataFrame, events: DataFrame, series: Sequence[str], value: Column, ts: str, start: str, end: str,
+) -> DataFrame:
+    """Every event with the sum of ``value`` / concurrency over the bars it covers (``_sum``) and their number (``_rows``).
+
+    One line holds starts, bars and ends in order; two sweeps along it give the open events of every bar, then the
+    running totals that an event finds at its start and at its end.  Nothing is joined but days and, at last, the events.
+    """
+    closed = cut_lineage(close_open_ends(events, bars, series, end, ts).withColumn("_event", F.monotonically_increasing_id()))
+    edge = lambda column, kind, step: closed.select(*series, F.col(column).alias(ts), F.lit(kind).alias("_kind"), F.lit(step).alias("_step"), "_event", F.lit(None).cast("double").alias("_value"))
+    rows = bars.select(*series, ts, F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.lit(None).cast("long").alias("_event"), value.cast("double").alias("_value"))
+    # At equal times a start comes before the bar and an end after it: both are open on it.
+    line = cut_lineage(rows.unionByName(edge(start, 0, 1)).unionByName(edge(end, 2, -1)))
+    swept = _running(line, series, ts, {"_open": F.col("_step")})
+    bar = F.col("_kind") == 1
+    share = F.when(bar, F.try_divide(F.col("_value"), F.col("_open").cast("double")))
+    totals = _running(swept.select(*series, ts, "_kind", "_event", share.alias("_share"), bar.cast("int").alias("_bar")), series, ts,
+                      {"_total": F.col("_share"), "_count": F.col("_bar")}).filter("_event IS NOT NULL")
+    sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
+    per_event = totals.groupBy("_event").agg(F.sum(sign * F.col("_total")).alias("_sum"), F.sum(sign * F.col("_count")).alias("_rows"))
+    return closed.join(per_event, "_event").drop("_event")
+
+
 def average_uniqueness(
     bars: DataFrame, events: DataFrame, series: Sequence[str], ts: str = "ts",
     start: str = "t_start", end: str = "t_end", out: str = "avg_uniqueness",
 ) -> DataFrame:
     """Per event, the mean of 1/concurrency over the bars it covers."""
-    closed = close_open_ends(events, bars, series, end, ts)
-    shares = _sweep(bars, closed, series, ts, start, end).withColumn(
-        "_share", F.try_divide(F.lit(1.0), F.col("n_open").cast("double"))
-    )
-    summed = interval_sums(shares, closed, series, ["_share"], ts, start, end)
-    return summed.withColumn(out, F.try_divide(F.col("_share"), F.col("_rows"))).drop("_share", "_rows")
+    summed = _sums_over_events(bars, events, series, F.lit(1.0), ts, start, end)
+    return summed.withColumn(out, F.try_divide(F.col("_sum"), F.col("_rows"))).drop("_sum", "_rows")
 
 
 def sample_weights(
@@ -142,20 +174,13 @@ def sample_weights(
     """Return-attribution weight with exponential age decay, scaled to sum to the number of
     events of the series."""
     ly = Layout.of(tuple(series), ts)
-    closed = close_open_ends(events, bars, series, end, ts)
-    returns = bars.select(*series, ts, ly.log_return(F.col(price)).alias("_ret"))
-    attributed = returns.join(_sweep(bars, closed, series, ts, start, end), [*series, ts]).withColumn(
-        "_part", F.try_divide(F.col("_ret"), F.col("n_open").cast("double"))
-    )
-    summed = interval_sums(attributed, closed, series, ["_part"], ts, start, end)
-    whole = Window.partitionBy(*series)
-    age = F.floor((F.unix_seconds(F.max(start).over(whole)) - F.unix_seconds(F.col(start))) / F.lit(86_400))
-    raw = summed.withColumn("_w", F.abs(F.col("_part") * F.exp(F.lit(-decay) * age)))
-    # The scale is one row per series; aggregating it apart keeps many events off one task.
+    summed = cut_lineage(_sums_over_events(bars, events, series, ly.log_return(F.col(price)), ts, start, end))
+    # The latest start and the scale are one row per series; aggregating them apart keeps many events off one task.
+    latest = summed.groupBy(*series).agg(F.max(start).alias("_latest"))
+    age = F.floor((F.unix_seconds("_latest") - F.unix_seconds(F.col(start))) / F.lit(86_400))
+    raw = summed.join(latest, list(series)).withColumn("_w", F.abs(F.col("_sum") * F.exp(F.lit(-decay) * age)))
     scale = raw.groupBy(*series).agg(F.try_divide(F.count(F.lit(1)).cast("double"), F.sum("_w")).alias("_scale"))
-    return raw.join(scale, list(series)).withColumn(out, F.col("_w") * F.col("_scale")).drop(
-        "_part", "_rows", "_w", "_scale"
-    )
+    return raw.join(scale, list(series)).withColumn(out, F.col("_w") * F.col("_scale")).drop("_sum", "_rows", "_latest", "_w", "_scale")
 
 
 def sequential_bootstrap(
@@ -166,7 +191,9 @@ def sequential_bootstrap(
     given the draws before it.  One chain is sequential; chains run in parallel.
 
     ``(series, replica, draw, event)``.  A chain works on bar positions of its series' events
-    (at most one event per bar), not on an event-by-bar matrix.
+    (at most one event per bar), not on an event-by-bar matrix, and a draw changes only the weights of events that
+    overlap the drawn one.  Its random numbers are hashes of seed, series, replica and draw.  Events that cover no bar
+    are never drawn.
     """
     closed = close_open_ends(events, bars, series, end, ts)
     placed = running_totals_at(bars.select(*series, ts), closed, series, [], ts, start, end)
@@ -180,18 +207,9 @@ def sequential_bootstrap(
     names = [*series, "replica"]
 
     def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(event, ignore_index=True)
-        lo, hi = rows["_lo"].to_numpy(), rows["_hi"].to_numpy()
-        salt = zlib.crc32(repr(key[:-1]).encode())
-        rng = np.random.default_rng([seed, int(key[-1]), salt])
-        taken = np.zeros(int(hi.max()) + 1)
-        picks = []
-        for _ in range(len(rows) if draws is None else draws):
-            total = np.concatenate([[0.0], np.cumsum(1.0 / (taken + 1.0))])
-            unique = (total[hi] - total[lo]) / np.maximum(hi - lo, 1)
-            choice = int(rng.choice(len(rows), p=unique / unique.sum()))
-            picks.append(choice)
-            taken[lo[choice] : hi[choice]] += 1.0
+        rows = rows.sort_values([event, "_lo", "_hi"], ignore_index=True)
+        low, high = rows["_lo"].to_numpy(np.int64), rows["_hi"].to_numpy(np.int64)
+        picks = sequential_draws(low, high, len(rows) if draws is None else draws, seed, *key)
         out = pd.DataFrame({n: [v] * len(picks) for n, v in zip(names, key)})
         out["draw"] = np.arange(len(picks), dtype="int32")
         out[event] = rows[event].to_numpy()[picks]

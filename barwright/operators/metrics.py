@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import dbl
 
+#: Width of a slice of scores: its exponentials stay finite.
+SLICE = 64.0
+
 
 def _tally(y: Column, pred: Column) -> dict[str, Column]:
     count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("double")
@@ -68,16 +71,21 @@ def listnet_loss(df: DataFrame, keys: Sequence[str], y: str, score: str, out: st
     """Cross entropy between the softmax of the targets and of the scores over each group.
 
     log-softmax is linear in the score, so the loss is log-sum-exp(score) minus the
-    target-weighted mean score: sums per group, with the maxima taken out first.
+    target-weighted mean score: sums per group.  To stay finite they are added per slice of scores
+    and of targets, ``SLICE`` wide and relative to the slice's edge; the few slices of a group are rescaled to its top one.
     """
     x, t = dbl(score), dbl(y)
-    top = df.groupBy(*keys).agg(F.max(x).alias("_mx"), F.max(t).alias("_mt"))
-    joined = df.select(*keys, x.alias("_x"), t.alias("_t")).join(top, list(keys))
-    ey = F.exp(F.col("_t") - F.col("_mt"))
-    ex = F.exp(F.col("_x") - F.col("_mx"))
-    return joined.groupBy(*keys).agg(
-        (F.ln(F.sum(ex)) + F.first("_mx") - F.sum(ey * F.col("_x")) / F.sum(ey)).alias(out)
-    )
+    sliced = df.select(*keys, x.alias("_x"), t.alias("_t"), F.floor(x / SLICE).alias("_i"), F.floor(t / SLICE).alias("_j"))
+    sliced = sliced.filter(F.col("_x").isNotNull() & F.col("_t").isNotNull())
+    ex, ey = F.exp(F.col("_x") - F.col("_i") * SLICE), F.exp(F.col("_t") - F.col("_j") * SLICE)
+    parts = sliced.groupBy(*keys, "_i", "_j").agg(F.sum(ex).alias("_ex"), F.sum(ey).alias("_ey"), F.sum(ey * F.col("_x")).alias("_exy"))
+    lists = parts.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_j", "_ex", "_ey", "_exy")).alias("_s"), F.max("_i").alias("_top"), F.max("_j").alias("_high"))
+
+    def total(value: str, edge: str, top: str) -> Column:
+        return F.aggregate("_s", F.lit(0.0), lambda s, e: s + e[value] * F.exp((e[edge] - F.col(top)) * SLICE))
+
+    loss = F.ln(total("_ex", "_i", "_top")) + F.col("_top") * SLICE - total("_exy", "_j", "_high") / total("_ey", "_j", "_high")
+    return lists.select(*keys, loss.alias(out))
 
 
 def kl_histograms(

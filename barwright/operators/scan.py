@@ -3,8 +3,7 @@ running order statistics.
 
 Each recurrence is a small spec.  ``scan`` evaluates any number of them in one grouped pass
 over narrow rows, one series per group.  Groups are bars, at most one row per bar of the
-calendar.  ``ema_in_blocks`` is the route for longer series: y = b*y' + a*x composes, so the
-blocks of a series are scanned independently and only one pair per block is carried over.
+calendar.  Longer series go through ``operators.linear``, where the same means are a prefix scan over blocks.
 """
 
 from __future__ import annotations
@@ -14,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions.over import Layout
+from .linear import ema_in_blocks
+
+__all__ = ["Atr", "Ema", "Macd", "Rsi", "RunningQuantile", "SeededEma", "ema_in_blocks", "scan", "seeded_ema", "wilder"]
 
 
 @dataclass(frozen=True)
@@ -191,99 +193,3 @@ def scan(df: DataFrame, ly: Layout, specs: Sequence) -> DataFrame:
         return out
 
     return df.groupBy(*ly.keys).applyInPandas(run, schema)
-
-
-def ema_in_blocks(
-    df: DataFrame, series: Sequence[str], column: str, out: str, span: float,
-    row: str = "row_index", block_rows: int = 4096,
-) -> DataFrame:
-    """Exponential mean (``adjust=False``) of a series of any length.
-
-    ``row`` is the dense row index of the series.  Each block reports what it does to an
-    incoming mean (a decay and an offset); folding those pairs, one per block, gives the mean
-    entering every block; the blocks then run on their own.  No task sees more than one block
-    of rows or one series' list of blocks.
-    """
-    alpha = 2.0 / (span + 1.0)
-    keyed = df.withColumn("_block", F.floor(F.col(row) / F.lit(block_rows)).cast("long"))
-    names = [*series, "_block"]
-
-    def fold(x: np.ndarray, at: np.ndarray, mean: float, seen: int | None, linear: bool):
-        """Sequential mean over one block; ``linear`` tracks the decay of the incoming mean."""
-        decay, values = 1.0, np.full(len(x), np.nan)
-        for i in range(len(x)):
-            if np.isnan(x[i]):
-                values[i] = mean
-                continue
-            if seen is None and not linear:
-                mean = x[i]
-            else:
-                gap = 1 if seen is None else int(at[i] - seen)
-                old = (1.0 - alpha) ** gap
-                keep = old / (old + alpha)
-                decay *= keep
-                mean = keep * mean + (1.0 - keep) * x[i] if mean != x[i] else mean
-            seen = int(at[i])
-            values[i] = mean
-        return values, decay, mean, seen
-
-    # What a block does, apart from the gap in front of its first value.
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(row, ignore_index=True)
-        x, at = rows[column].to_numpy(float), rows[row].to_numpy()
-        present = np.flatnonzero(~np.isnan(x))
-        head = rows.iloc[:1][names]
-        if not present.size:
-            return head.assign(first_at=-1, first_x=0.0, last_at=-1, decay=1.0, offset=0.0)
-        f = present[0]
-        _, decay, offset, seen = fold(x[f + 1 :], at[f + 1 :], 0.0, int(at[f]), True)
-        return head.assign(first_at=int(at[f]), first_x=x[f], last_at=seen, decay=decay, offset=offset)
-
-    key_fields = [keyed.schema[n] for n in names]
-    summary_schema = T.StructType(key_fields + [
-        T.StructField("first_at", T.LongType()), T.StructField("first_x", T.DoubleType()),
-        T.StructField("last_at", T.LongType()), T.StructField("decay", T.DoubleType()),
-        T.StructField("offset", T.DoubleType()),
-    ])
-    summary = keyed.select(*names, row, column).groupBy(*names).applyInPandas(summarise, summary_schema)
-
-    def chain(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("_block", ignore_index=True)
-        mean, seen, carried, carried_at = np.nan, -1, [], []
-        for b in blocks.itertuples():
-            carried.append(mean)
-            carried_at.append(seen)
-            if b.first_at < 0:
-                continue
-            if seen < 0:
-                mean = b.first_x
-            else:
-                old = (1.0 - alpha) ** (b.first_at - seen)
-                keep = old / (old + alpha)
-                mean = keep * mean + (1.0 - keep) * b.first_x
-            mean = b.decay * mean + b.offset
-            seen = b.last_at
-        return blocks[names].assign(_mean=carried, _seen=carried_at)
-
-    carry_schema = T.StructType(key_fields + [
-        T.StructField("_mean", T.DoubleType()), T.StructField("_seen", T.LongType()),
-    ])
-    carry = summary.groupBy(*series).applyInPandas(chain, carry_schema)
-    joined = keyed.join(carry, names)
-    out_schema = T.StructType(
-        [f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())]
-    )
-    kept = [f.name for f in out_schema.fields if f.name != out]
-
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(row, ignore_index=True)
-        seen = int(rows["_seen"].iloc[0])
-        values, *_ = fold(
-            rows[column].to_numpy(float), rows[row].to_numpy(),
-            float(rows["_mean"].iloc[0]), None if seen < 0 else seen, False,
-        )
-        result = rows[kept].copy()
-        result[out] = pd.Series(values).astype("Float64")
-        return result
-
-    return joined.groupBy(*names).applyInPandas(finish, out_schema)

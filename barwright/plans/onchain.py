@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.over import Layout, log_clipped
-from ..functions.scalar import clip, dbl, finite, flag, ratio, zero_to
+from ..functions.scalar import clip, clip_to, dbl, finite, flag, ratio, zero_to
 from ..operators.clean import clip_columns
-from ..operators.fit import (
-    on_train, quantile_flag, quantile_over, standard_over, ternary_quantile_flag, train_mask, winsor_over,
-)
+from ..operators.fit import on_train, quantile_flag, quantile_over, ternary_quantile_flag, train_mask, unit_if_flat
+from ..operators.quantiles import beside, exact_quantiles
 from ..operators.scan import Ema, scan
+from ..session import cut_lineage
 from .price import settle
 
 EPS = 1e-8
@@ -156,7 +156,8 @@ def fitted_scores(
     a train-fitted standard version (``_zn``) of fourteen of them.
 
     Returns the table and the ``_zn`` names; ``fit.fit_params`` gives the parameters as a
-    table.  Fits are whole-partition windows, so they add no exchange.
+    table.  The windows are computed once and checkpointed; fits are aggregates of it, with one small row per
+    series put beside its rows, so that no series is held for a quantile.
     """
     ly = ly.layered()
     present = [c for c in columns if c in df.columns]
@@ -188,24 +189,46 @@ def fitted_scores(
         }
         for name, n in ((f"{c}_pct1", 1), (f"{c}_pct{short}", short), (f"{c}_pct{mid}", mid)):
             layer[name] = ly.pct_change(f"_pad_{c}", n)
-    x = ly.add(x, layer)
-    mask = F.col("_train")
-    x = ly.add(x, {f"_w_{c}": winsor_over(ly, finite(f"{c}_pct{short}"), mask, *winsor) for c in present})
-    layer = {}
+    x = cut_lineage(ly.add(x, layer))
+    mask, names = F.col("_train"), x.columns
+    # What scores are made of, as it is and clipped to its training quantiles.
+    raw = [f"{c}_{tail}" for c in present for tail in (
+        "z_short", "z_mid", f"pct{short}", f"pct{mid}", "ema_cross", f"slope_s{short}", "ratio_s_m", "ratio_s_l", "dev_s_m",
+        "log1p", f"ma_s{short}", f"ma_m{mid}", f"ma_l{long}")]
+    x, clipped = _clipped(x, ly, {n: finite(n) for n in raw}, mask, winsor)
+    as_is = {n: finite(n) for c in present for n in (f"{c}_z_short", f"{c}_z_mid", f"{c}_dev_s_m")}
+    x, standard = _standard(x, ly, {**{f"_w_{n}": v for n, v in clipped.items()}, **as_is}, mask)
+    scores = {}
     for c in present:
-        fitted = lambda name: standard_over(ly, finite(name), mask)
-        layer[f"{c}_event_score"] = F.greatest(fitted(f"{c}_z_short"), fitted(f"_w_{c}"))
-        layer[f"{c}_regime_score"] = F.greatest(fitted(f"{c}_z_mid"), fitted(f"{c}_dev_s_m"))
-    x = ly.add(x, layer)
+        scores[f"{c}_event_score"] = F.greatest(standard[f"{c}_z_short"], standard[f"_w_{c}_pct{short}"])
+        scores[f"{c}_regime_score"] = F.greatest(standard[f"{c}_z_mid"], standard[f"{c}_dev_s_m"])
+    x = x.withColumns(scores)
+    x, clipped_scores = _clipped(x, ly, {n: finite(n) for n in scores}, mask, winsor)
+    x, standard_scores = _standard(x, ly, {f"_w_{n}": v for n, v in clipped_scores.items()}, mask)
     scaled = [
         f"{c}_{tail}" for c in present for tail in (
             "z_short", "z_mid", f"pct{short}", f"pct{mid}", "ema_cross", f"slope_s{short}", "ratio_s_m", "ratio_s_l",
             "event_score", "regime_score", "log1p", f"ma_s{short}", f"ma_m{mid}", f"ma_l{long}")
     ]
-    x = ly.add(x, {f"_w_{n}": winsor_over(ly, finite(n), mask, *winsor) for n in scaled})
-    x = ly.add(x, {f"{n}_zn": standard_over(ly, f"_w_{n}", mask) for n in scaled})
-    keep = [c for c in x.columns if not c.startswith(("_w_", "_pad_")) and c != "_train"]
-    return x.select(*keep), [f"{n}_zn" for n in scaled]
+    fitted = {**standard, **standard_scores}
+    keep = [c for c in (*names, *scores) if not c.startswith("_pad_") and c != "_train"]
+    return x.select(*keep, *[fitted[f"_w_{n}"].alias(f"{n}_zn") for n in scaled]), [f"{n}_zn" for n in scaled]
+
+
+def _clipped(x: DataFrame, ly: Layout, values: dict[str, Column], mask: Column, shares: tuple[float, float]) -> tuple[DataFrame, dict[str, Column]]:
+    """Values within their training quantiles; the quantiles are one small table, kept."""
+    table = cut_lineage(exact_quantiles(x, ly.keys, {n: on_train(v, mask) for n, v in values.items()}, dict(zip(("lo", "hi"), shares))))
+    x = beside(x, table, ly.keys, list(values), ["lo", "hi"], "_q_")
+    return x, {n: clip_to(dbl(v), F.col(f"_q_{n}.lo"), F.col(f"_q_{n}.hi")) for n, v in values.items()}
+
+
+def _standard(x: DataFrame, ly: Layout, values: dict[str, Column], mask: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Values less their training mean, by their training deviation; without training values as they are."""
+    more = {"mean": F.avg("_x"), "std": F.stddev_samp("_x")}
+    table = cut_lineage(exact_quantiles(x, ly.keys, {n: on_train(v, mask) for n, v in values.items()}, {}, more))
+    x = beside(x, table, ly.keys, list(values), ["mean", "std"], "_m_")
+    mean, spread = (lambda n: F.col(f"_m_{n}.mean")), (lambda n: unit_if_flat(F.col(f"_m_{n}.std")))
+    return x, {n: F.when(mean(n).isNull(), dbl(v)).otherwise((dbl(v) - mean(n)) / spread(n)) for n, v in values.items()}
 
 
 # ---- two-threshold flags ---------------------------------------------------

@@ -42,6 +42,7 @@ def ablation_ranking(df: DataFrame, top: int | None = None) -> DataFrame:
 def win_fold_contribution(df: DataFrame) -> DataFrame:
     """Mean difference of winning and other folds; empty unless both kinds occur."""
     d = _named(df, a=TREE_AUC, b=DEEP_AUC).na.drop("any").select((F.col("b") - F.col("a")).alias("delta"))
-    both = d.groupBy((F.col("delta") > 0).alias("win")).agg(F.avg("delta").alias("mean_delta"), F.count("delta").alias("n"))
-    kinds = both.agg(F.count(F.lit(1)).alias("_k"))
-    return both.join(F.broadcast(kinds), F.col("_k") == 2).drop("_k")  # at most two rows
+    kinds = {True: F.col("delta") > 0, False: ~(F.col("delta") > 0)}
+    one = d.agg(*[F.struct(F.lit(win).alias("win"), F.avg(F.when(kind, F.col("delta"))).alias("mean_delta"),
+                           F.count(F.when(kind, F.col("delta"))).alias("n")).alias(f"_{win}") for win, kind in kinds.items()])
+    return one.filter((F.col("_True.n") > 0) & (F.col("_False.n") > 0)).select(F.inline(F.array("_True", "_False")))

@@ -507,7 +507,7 @@ def macro_sql(configs: tuple[M.Macro, ...]) -> tuple[str, list[str], list[str]]:
             text += f", f{i} AS MATERIALIZED (SELECT series_id, {w.rn()} AS rn, v FROM (SELECT series_id, date, {w.ffill(c)} AS v FROM v0) WHERE v IS NOT NULL),"
             text += scan_ema(f"e{i}", f"f{i}", "series_id", {f"es{i}": ("v", 2 / (m.spans[0] + 1)), f"el{i}": ("v", 2 / (m.spans[1] + 1))})
             joins += f" LEFT JOIN e{i} ON e{i}.series_id = v1.series_id AND e{i}.rn = v1.rn - lead_in{i}"
-            l1[f"lead_in{i}"] = f"count(*) FILTER ({c} IS NULL AND rn < (SELECT min(rn) FROM v0 WHERE {c} IS NOT NULL)) {w.whole}"
+            l1[f"lead_in{i}"] = f"coalesce(min(rn) FILTER ({c} IS NOT NULL) {w.whole} - 1, 0)"
             l2[f'"{m.prefix}_regime_up_flag"'] = flag(f"es{i} > el{i}")
             l2[f'"{m.prefix}_regime_down_flag"'] = flag(f"es{i} < el{i}")
         if m.sigma is not None:

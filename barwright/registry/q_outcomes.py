@@ -62,7 +62,25 @@ def l4(spark, sf):
     return rounded(x.select("symbol", "event_id", "avg_uniqueness"))
 
 
-@query("l5_sequential_bootstrap")
+#: One step draws by the running totals of all uniqueness means, taken from the counts that the chain carries along.
+DRAWS = CLOSED + """,
+ev AS (SELECT tc.symbol, event_id, count(*) FILTER (h.date < t_start) AS lo, count(*) FILTER (h.date <= t_end) AS hi
+       FROM tc JOIN hourly h ON h.symbol = tc.symbol GROUP BY ALL),
+packed AS MATERIALIZED (SELECT symbol, list(event_id ORDER BY event_id) AS ids, list(lo ORDER BY event_id) AS los, list(hi ORDER BY event_id) AS his, max(hi) AS bars
+                        FROM ev GROUP BY symbol),
+chain AS (
+  SELECT symbol, r.range AS replica, -1::BIGINT AS draw, NULL::INT AS event_id, list_transform(range(bars), lambda b: 0) AS taken FROM packed, range(4) r
+  UNION ALL
+  SELECT symbol, replica, draw, ids[k], list_transform(taken, lambda t, b: t + CASE WHEN b > los[k] AND b <= his[k] THEN 1 ELSE 0 END)
+  FROM (SELECT *, 1 + len(list_filter(totals, lambda x: x <= u * totals[-1])) AS k
+        FROM (SELECT *, list_transform(range(1, len(ids) + 1), lambda j: list_sum(shares[1:j])) AS totals
+              FROM (SELECT c.symbol, replica, draw + 1 AS draw, taken, ids, los, his,
+                      ('0x' || substr(md5('11:' || c.symbol || ':' || replica || ':' || (draw + 1)), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u,
+                      list_transform(range(1, len(ids) + 1), lambda j: list_sum(list_transform(taken[los[j] + 1:his[j]], lambda t: 1::DOUBLE / (1 + t))) / (his[j] - los[j])) AS shares
+                    FROM chain c JOIN packed p ON c.symbol = p.symbol WHERE draw + 1 < len(ids)))))"""
+
+
+@query("l5_sequential_bootstrap", f"WITH RECURSIVE {DRAWS} SELECT symbol, replica::INT AS replica, draw::INT AS draw, event_id FROM chain WHERE draw >= 0")
 def l5(spark, sf):
     return L.sequential_bootstrap(I.hourly(spark, sf), I.events_t1(spark, sf), KEY, replicas=4, seed=11, ts="date")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import ratio as sratio
+from ..functions.scalar import flag as sflag, ratio as sratio
 from ..operators import align, clean, fit, profile
 from ..operators.bars import BAR_COLUMNS, ticks_to_bars
 from ..plans.price import date_features
@@ -269,7 +269,7 @@ def masked(spark, sf):
 @query("p13_winsorise_on_train", finish(
     MASKED + f", x AS (SELECT symbol, date, {WINSOR} AS close FROM m)", "x", ["symbol", "date"], ["close"]))
 def p13(spark, sf):
-    return rounded(masked(spark, sf).select("symbol", "date", fit.winsor_over(I.BARS, "close", F.col("t")).alias("close")))
+    return rounded(fit.winsorised(masked(spark, sf), ["symbol"], ["close"], F.col("t")).select("symbol", "date", "close"))
 
 
 @query("p14_standardise_on_train", finish(
@@ -525,10 +525,11 @@ SELECT symbol, date, {flag(f"close > {B.qwhole('close', 0.75)}")} AS over_q75, {
        CASE WHEN close > {B.qwhole('close', 0.9)} THEN 1 WHEN close < {B.qwhole('close', 0.1)} THEN -1 ELSE 0 END AS tail
 FROM hourly""")
 def a10(spark, sf):
-    q = lambda level, op: fit.quantile_flag(I.BARS, "close", level, op)
-    return I.hourly(spark, sf).select(
-        "symbol", "date", q(0.75, ">").alias("over_q75"), q(0.7, ">=").alias("ge_q70"), q(0.3, "<=").alias("le_q30"),
-        fit.ternary_quantile_flag(I.BARS, "close").alias("tail"))
+    h, c = I.hourly(spark, sf), F.col("close")
+    x = fit.with_quantiles(h, ["symbol"], {"close": c}, {f"p{q}": q / 100 for q in (10, 30, 70, 75, 90)})
+    at = lambda q: F.col(f"_q_close.p{q}")
+    return x.select("symbol", "date", sflag(c > at(75)).alias("over_q75"), sflag(c >= at(70)).alias("ge_q70"), sflag(c <= at(30)).alias("le_q30"),
+                    F.when(c > at(90), 1).when(c < at(10), -1).otherwise(0).alias("tail"))
 
 
 @query("a11_category_codes", """

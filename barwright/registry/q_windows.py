@@ -10,7 +10,8 @@ from ..functions.scalar import clip as sclip, dbl, flag as sflag, ratio as srati
 from ..operators import cusum, fit
 from ..operators.align import row_index
 from ..operators.blocks import ffill_in_blocks, in_blocks, latch_in_blocks, windows_in_blocks
-from ..operators.scan import Atr, Ema, Macd, Rsi, RunningQuantile, SeededEma, ema_in_blocks, scan
+from ..operators.linear import atr_in_blocks, ema_in_blocks, macd_in_blocks, rsi_in_blocks, seeded_ema_in_blocks
+from ..operators.scan import Atr, Ema, Macd, Rsi, RunningQuantile, SeededEma, scan
 from . import inputs as I
 from .core import finish, query, rounded
 from .sql import Win, clip, flag, ratio, scan_ema
@@ -137,6 +138,12 @@ def w15(spark, sf):
     return rounded(scan(x, LY, [Ema("v", "ema_24", span=24, adjust=True)]).drop("v"))
 
 
+@query("w15_ema_adjusted_in_blocks", finish(I.HOURLY_SQL + GAPPY + "," + gap_ema(2 / 25), "g", ["symbol", "date"], ["ema_24"]))
+def w15_blocks(spark, sf):
+    x = gappy(indexed(spark, sf)).select("symbol", "date", "row_index", "v")
+    return rounded(ema_in_blocks(x, ["symbol"], "v", "ema_24", 24, block_rows=64, adjust=True).select("symbol", "date", "ema_24"))
+
+
 # ---- persistence, entropy, memory ------------------------------------------
 
 RISES = f", c AS (SELECT symbol, date, close, volume, {B.diff('close')} AS d FROM hourly)"
@@ -244,6 +251,15 @@ def ti1(spark, sf):
     return rounded(scan(narrow(spark, sf), LY, [Rsi("close")]).select("symbol", "date", "RSI"))
 
 
+def narrow_rows(spark, sf):
+    return row_index(narrow(spark, sf), ["symbol"], ["date"], F.date_trunc("day", "date"))
+
+
+@query("ti1_rsi_wilder_in_blocks", finish(RSI_SQL, "x", ["symbol", "date"], ['"RSI"']))
+def ti1_blocks(spark, sf):
+    return rounded(rsi_in_blocks(narrow_rows(spark, sf), ["symbol"], "close", block_rows=64).select("symbol", "date", "RSI"))
+
+
 SOFT = (f"greatest(chg, 0.0)", f"greatest(-chg, 0.0)")
 RSI_SIMPLE = HEAD + f""",
 x AS (SELECT symbol, date, rn, 100.0 - 100.0 / (1.0 + {B.mean(f"CASE WHEN chg IS NOT NULL THEN {SOFT[0]} END", 14, 1)} /
@@ -285,6 +301,12 @@ def ti2(spark, sf):
     return rounded(scan(narrow(spark, sf), LY, [Macd("close")]).drop("close", "high", "low"))
 
 
+@query("ti2_macd_in_blocks", finish(MACD_SQL, "x", ["symbol", "date"], ['"MACD"', '"MACD_signal"', '"MACD_hist"']))
+def ti2_blocks(spark, sf):
+    x = macd_in_blocks(narrow_rows(spark, sf), ["symbol"], "close", block_rows=64)
+    return rounded(x.select("symbol", "date", "MACD", "MACD_signal", "MACD_hist"))
+
+
 simple("ti3_bollinger_bands",
        {"upper": f"{B.mean('close', 20)} + 2.0 * {B.std_pop('close', 20)}", "middle": B.mean("close", 20),
         "lower": f"{B.mean('close', 20)} - 2.0 * {B.std_pop('close', 20)}", "width": f"4.0 * {B.std_pop('close', 20)}"},
@@ -303,6 +325,13 @@ def ti4(spark, sf):
     return rounded(x.drop("close", "high", "low"))
 
 
+@query("ti4_seeded_ema_in_blocks", finish(EMA_RATIO_SQL, "x", ["symbol", "date"], ['"EMA_12"', '"EMA_26"', '"EMA_ratio"']))
+def ti4_blocks(spark, sf):
+    x = seeded_ema_in_blocks(narrow_rows(spark, sf), ["symbol"], "close", {"EMA_12": 12, "EMA_26": 26}, block_rows=64)
+    x = x.withColumn("EMA_ratio", sratio(F.col("EMA_12"), F.col("EMA_26") + F.lit(1e-9)))
+    return rounded(x.select("symbol", "date", "EMA_12", "EMA_26", "EMA_ratio"))
+
+
 K = f"(CASE WHEN {B.max('high', 14)} = {B.min('low', 14)} THEN 0.0 ELSE 100.0 * (close - {B.min('low', 14)}) / ({B.max('high', 14)} - {B.min('low', 14)}) END)"
 STOCH_SQL = HEAD + f""",
 k0 AS (SELECT symbol, date, {K} AS k FROM base), k1 AS (SELECT symbol, date, {B.mean('k', 3)} AS sk FROM k0),
@@ -337,6 +366,12 @@ def ti6(spark, sf):
     return rounded(scan(narrow(spark, sf), LY, [Atr("high", "low", "close", "ATR24", 24)]).select("symbol", "date", "ATR24"))
 
 
+@query("ti6_atr_in_blocks", finish(ATR_SQL, "x", ["symbol", "date"], ['"ATR24"']))
+def ti6_blocks(spark, sf):
+    x = atr_in_blocks(narrow_rows(spark, sf), ["symbol"], "high", "low", "close", "ATR24", 24, block_rows=64)
+    return rounded(x.select("symbol", "date", "ATR24"))
+
+
 BW = ratio(f"2.0 * {B.std('close', 20, 1)}", f"abs({B.mean('close', 20, 1)}) + 1e-8")
 simple("ti7_band_width",
        {"bb_width_20": "w", "bb_width_change_6": B.pct("w", 6),

@@ -21,7 +21,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_only_seeded_and_training_queries_have_no_sql():
-    assert set(QUERIES) - set(SQL) == {"l5_sequential_bootstrap", "t1_tune_classifier", "t2_tune_regressor"}
+    assert set(QUERIES) - set(SQL) == {"t1_tune_classifier", "t2_tune_regressor"}
 
 
 def test_entry_has_rows(spark):
