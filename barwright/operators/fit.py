@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.over import Layout
 from ..functions.scalar import clip_to, dbl, flag
 from ..session import cut_lineage
-from .quantiles import beside, exact_quantiles
+from .quantiles import beside, exact_quantiles, fitted
 
 
 def train_mask(ly: Layout, share: float = 0.7) -> Column:
@@ -49,7 +49,8 @@ def unit_if_flat(sd: Column) -> Column:
 
 
 def winsor_over(ly: Layout, c, mask: Column, lo: float = 0.005, hi: float = 0.995) -> Column:
-    return clip_to(dbl(c), quantile_over(ly, c, mask, lo), quantile_over(ly, c, mask, hi))
+    both = ly.fold(f"quantiles{lo},{hi}", lambda v: F.percentile(v, F.array(F.lit(lo), F.lit(hi))), None, None, on_train(c, mask))
+    return clip_to(dbl(c), both[0], both[1])
 
 
 def standard_over(ly: Layout, c, mask: Column) -> Column:
@@ -82,7 +83,8 @@ def with_quantiles(
 ) -> DataFrame:
     """Rows with the exact quantiles of their series as structs ``<prefix><name>`` (fields named as in ``shares``), without a
     series in one task.  ``df`` is read three times: cut its lineage first if it is dear."""
-    return beside(df, exact_quantiles(df, series, columns, shares), series, list(columns), list(shares), prefix)
+    x = beside(df, fitted(df, series, columns, shares), series, "_fits")
+    return x.withColumns({f"{prefix}{c}": F.get("_fits", F.lit(i)) for i, c in enumerate(columns)}).drop("_fits")
 
 
 def winsorised(df: DataFrame, series: Sequence[str], columns: Sequence[str], mask: Column, lo: float = 0.005, hi: float = 0.995) -> DataFrame:

@@ -35,23 +35,20 @@ def _order_statistic(k: Column, s: str) -> Column:
     )
 
 
-def exact_quantiles(
+def fitted(
     df: DataFrame, series: Sequence[str], columns: Mapping[str, Column], shares: Mapping[str, float],
     more: Mapping[str, Column] | None = None, accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """``(series, column, <share names>...)``: linearly interpolated quantiles of the non-missing values.
-
-    ``more`` are further aggregates of the value ``_x``, taken along in the first pass.
-    """
-    names, more = list(columns), dict(more or {})
+    """``(series, _at, <share names>..., <more>...)``, ``_at`` being the column's number: linearly interpolated quantiles of
+    the non-missing values and further aggregates of the value ``_x``, taken along in the first pass."""
+    more = dict(more or {})
     rows = stacked(df, series, columns)
     by = [*series, "_at"]
     sides = [min(1.0, max(0.0, q + d * 2.0 / accuracy)) for q in shares.values() for d in (-1, 1)]
     sketch = [F.percentile_approx("_x", sides, accuracy).alias("_sides")] if shares else []
     first = rows.groupBy(*by).agg(F.count("_x").alias("_n"), *sketch, *[c.alias(n) for n, c in more.items()])
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_at") + 1).alias("column")
     if not shares:
-        return first.select(*series, named, *more)
+        return first.select(*by, *more)
     ends = first.select(*by, *[F.get("_sides", F.lit(2 * i + j)).alias(f"_{side}{i}") for i in range(len(shares)) for j, side in enumerate(("low", "high"))])
     x, parts = F.col("_x"), []
     for i in range(len(shares)):
@@ -69,11 +66,21 @@ def exact_quantiles(
         k = F.floor(place)
         a, b = _order_statistic(k, str(i)), _order_statistic(F.least(k + 1, F.col("_n") - 1), str(i))
         out.append(F.when(F.col("_n") > 0, F.when(place == k, a).otherwise(a * (k + 1 - place) + b * (place - k))).alias(name))
-    return found.select(*series, named, *more, *out)
+    return found.select(*by, *more, *out)
+
+
+def exact_quantiles(
+    df: DataFrame, series: Sequence[str], columns: Mapping[str, Column], shares: Mapping[str, float],
+    more: Mapping[str, Column] | None = None, accuracy: int = ACCURACY,
+) -> DataFrame:
+    """``(series, column, <more>..., <share names>...)`` of every column."""
+    named = F.element_at(F.array(*[F.lit(n) for n in columns]), F.col("_at") + 1).alias("column")
+    return fitted(df, series, columns, shares, more, accuracy).select(*series, named, *(more or {}), *shares)
 
 
-def beside(df: DataFrame, table: DataFrame, series: Sequence[str], columns: Sequence[str], fields: Sequence[str], prefix: str = "_p_") -> DataFrame:
-    """Rows with the parameters of their series, as structs ``<prefix><column>``; the join's strategy is left to the optimizer."""
-    wide = table.groupBy(*series).agg(*[
-        F.max(F.when(F.col("column") == c, F.struct(*fields))).alias(f"{prefix}{c}") for c in columns])
-    return df.join(wide, list(series), "left")
+def beside(df: DataFrame, table: DataFrame, series: Sequence[str], out: str) -> DataFrame:
+    """Rows with the fits of their series as one array ``out`` of structs in the columns' order; the join's strategy is left
+    to the optimizer."""
+    fields = [c for c in table.columns if c not in series]
+    lists = table.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("_at", *[c for c in fields if c != "_at"]))).alias(out))
+    return df.join(lists, list(series), "left")
