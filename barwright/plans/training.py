@@ -1,25 +1,29 @@
-"""Walk-forward search of boosted trees over Spark ML."""
+"""Walk-forward search of boosted trees.
+
+All folds of all trials grow together (``operators.boost``).  Trials are halved: after the first rounds the better half
+goes on for twice as many, until one is left, which may use all its rounds; nothing is fitted again on the way.
+"""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import astuple, dataclass, replace
+from dataclasses import astuple, dataclass
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.losses import squared_log_error
+from ..operators.boost import Boosting, Objective, Spec, best_round
 from ..operators.fit import class_balance
-from ..operators.metrics import classification_scores
+
+__all__ = ["PATIENCE", "Trial", "balance_weight", "best_round", "draw_trials", "fold_parts", "fold_profile", "tune_classifier", "tune_regressor"]
 
 #: Share of a fold's training rows, the last ones, that decide when boosting stops.
 VALIDATION = 0.2
 #: Rounds without a new best validation error that end boosting.
 PATIENCE = 100
+#: Rounds of all trials before the first halving.
+FIRST_ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -32,10 +36,13 @@ class Trial:
     feature_share: float
     threshold: float
     pos_weight: float
+    leaves: int = 31
+    l1: float = 0.0
+    l2: float = 0.0
 
 
 PARAMS = ("depth int, rounds int, step double, subsample double, min_rows int, feature_share double, threshold double, "
-          "pos_weight double")
+          "pos_weight double, leaves int, l1 double, l2 double")
 
 
 def draw_trials(n: int, seed: int = 0, max_rounds: int = 1000) -> list[Trial]:
@@ -48,17 +55,12 @@ def draw_trials(n: int, seed: int = 0, max_rounds: int = 1000) -> list[Trial]:
         Trial(
             depth=rng.randint(3, 12), rounds=max_rounds, step=0.001 * 200 ** rng.random(), subsample=rng.uniform(0.6, 1.0),
             min_rows=rng.randint(1, 50), feature_share=rng.uniform(0.5, 1.0), threshold=rng.uniform(0.1, 0.9),
-            pos_weight=rng.uniform(0.5, 20.0),
+            pos_weight=rng.uniform(0.5, 20.0), leaves=rng.randint(16, 128), l1=1e-8 * 1e9 ** rng.random(), l2=1e-8 * 1e9 ** rng.random(),
         )
         for _ in range(n)
     ]
 
 
-def _prepared(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    filled = df.na.fill(0.0, subset=list(features))
-    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(filled).select(*keep, "_x")
-
-
 def fold_parts(df: DataFrame, row: str, total: str, folds: int) -> Iterator[tuple[DataFrame, DataFrame]]:
     """(train, test) of every expanding fold: two range filters on the row index, no copies.
 
@@ -83,97 +85,82 @@ def fold_profile(df: DataFrame, label: str, row: str, total: str, folds: int = 5
     return rows.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("positive_share"))
 
 
-def _common(t: Trial, label: str, weight: str) -> dict:
-    return {"featuresCol": "_x", "labelCol": label, "weightCol": weight, "maxDepth": t.depth,
-            "maxIter": t.rounds, "stepSize": t.step, "subsamplingRate": t.subsample, "minInstancesPerNode": t.min_rows,
-            "featureSubsetStrategy": str(t.feature_share), "seed": 7}
+def fold_specs(t: Trial, objective: Objective, rows: int, folds: int) -> list[Spec]:
+    """One model per fold, over the row ranges of ``fold_parts``."""
+    size = rows // (folds + 1)
+    begins = [rows - (folds - fold) * size for fold in range(folds)]
+    return [Spec(objective, int(begin * (1.0 - VALIDATION)), begin, begin + size, t.depth, t.leaves, t.step, t.subsample, t.min_rows,
+                 t.feature_share, t.l1, t.l2, seed=7) for begin in begins]
 
 
-def best_round(errors: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
-    """Rounds up to the lowest error before ``patience`` rounds without a lower one, and whether so many were seen."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        if i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def boosted(make: Callable, t: Trial, label: str, weight: str, train: DataFrame, loss: str, patience: int = PATIENCE):
-    """The model of the best round on the late training rows.
+def _search(
+    df: DataFrame, features: Sequence[str], label: str, weight: str | None, row: str, total: str, trials: Sequence[Trial], folds: int,
+    patience: int, budget: int | None, objective: Callable[[Trial], Objective], measure: Callable[[Trial], Callable], score: Callable[[np.ndarray], float],
+    better: Callable[[float], float],
+) -> list[tuple]:
+    """(trial, parameters, rounds, scored rows, score) of every trial, scored where it stopped; loops over rounds and trials, never over rows.
 
-    Spark ML ends boosting at the first round that gains too little.  Here twice as many rounds are fitted each time
-    until the error path has ended; the seeds of rounds do not depend on their number, so paths continue each other.
+    ``budget`` is the number of rounds of the last trial, all its rounds by default.
     """
-    early, late = train.filter(~F.col("_late")).persist(), train.filter("_late").persist()
+    rows = int((df.agg(F.max(total)).first()[0]) or 0)
+    specs = [s for t in trials for s in fold_specs(t, objective(t), rows, folds)]
+    grown = Boosting(df, features, label, weight, row, specs)
+    of = {k: range(k * folds, (k + 1) * folds) for k in range(len(trials))}
+    sums_of = {i: measure(trials[k]) for k in of for i in of[k]}
     try:
-        rounds, model = min(t.rounds, 2 * patience), None
-        while True:
-            model = make(**_common(replace(t, rounds=rounds), label, weight)).fit(early)
-            best, ended = best_round(model.evaluateEachIteration(late, *([loss] if loss else [])), patience)
-            if ended or rounds >= t.rounds:
+        alive, limit, found = list(of), FIRST_ROUNDS, {}
+        while alive:
+            last = len(alive) == 1
+            for k in alive:
+                limit = (budget or trials[k].rounds) if last else limit
+            grown.fit_to({i: min(limit, trials[k].rounds) for k in alive for i in of[k]}, patience)
+            upto = {i: grown.best(i, patience) for k in alive for i in of[k]}
+            sums = {i: np.zeros(4) for i in upto} | grown.scored(upto, lambda i, m, y, w: sums_of[i](m, y))
+            for k in alive:
+                found[k] = (max(len(grown.trees[i]) for i in of[k]), int(sum(sums[i][-1] for i in of[k])), float(np.mean([score(sums[i]) for i in of[k]])))
+            if last:
                 break
-            rounds = min(t.rounds, 2 * rounds)
-        return model if best == rounds else make(**_common(replace(t, rounds=best), label, weight)).fit(early)
+            alive = sorted(sorted(alive, key=lambda k: (better(found[k][-1]), k))[:-(-len(alive) // 2)])
+            limit *= 2
+        return [(k, *astuple(trials[k]), *found[k]) for k in of]
     finally:
-        early.unpersist()
-        late.unpersist()
-
-
-def _search(
-    data: DataFrame, trials: Sequence[Trial], row: str, total: str, folds: int,
-    score_fold: Callable[[Trial, DataFrame, DataFrame], DataFrame], mean: Callable[[DataFrame], Column | float],
-) -> list[tuple]:
-    """One line per trial; loops over trials and folds (a handful), never over rows."""
-    lines = []
-    for i, t in enumerate(trials):
-        scored = None
-        for fold, (train, test) in enumerate(fold_parts(data, row, total, folds)):
-            out = score_fold(t, train, test).withColumn("fold", F.lit(fold))
-            scored = out if scored is None else scored.unionByName(out)
-        lines.append((i, *astuple(t), mean(scored)))
-    return lines
+        grown.close()
 
 
 def tune_classifier(
-    df: DataFrame, features: Sequence[str], label: str, row: str, total: str, trials: Sequence[Trial], folds: int = 5,
+    df: DataFrame, features: Sequence[str], label: str, row: str, total: str, trials: Sequence[Trial], folds: int = 5, patience: int = PATIENCE,
+    budget: int | None = None,
 ) -> DataFrame:
-    """``(trial, params..., mean_f1)`` ordered best first; score = mean F1 over the folds."""
-    data = _prepared(df, features, [row, total, label]).persist()
+    """``(trial, params..., trained, test_rows, mean_f1)`` ordered best first; focal loss, score = mean F1 over the folds' test rows."""
+    def counts(t: Trial) -> Callable:
+        def run(m: np.ndarray, y: np.ndarray) -> np.ndarray:
+            said, true = 1.0 / (1.0 + np.exp(-m)) > t.threshold, y > 0.5
+            return np.array([(said & true).sum(), (said & ~true).sum(), (~said & true).sum(), len(y)], float)
+        return run
 
-    def score_fold(t: Trial, train: DataFrame, test: DataFrame) -> DataFrame:
-        weighted = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(t.pos_weight)).otherwise(F.lit(1.0)))
-        model = boosted(GBTClassifier, t, label, "_w", weighted, "")
-        return model.transform(test).select(
-            F.col(label).alias("y"), (vector_to_array("probability")[1] > F.lit(t.threshold)).cast("int").alias("pred"))
+    def f1(sums: np.ndarray) -> float:
+        return float(2 * sums[0] / (2 * sums[0] + sums[1] + sums[2])) if sums[0] else 0.0
 
-    def mean(scored: DataFrame) -> float:
-        return float(classification_scores(scored, ["fold"], "y", "pred").agg(F.avg("f1")).first()[0] or 0.0)
-
-    lines = _search(data, trials, row, total, folds, score_fold, mean)
-    data.unpersist()
-    return df.sparkSession.createDataFrame(lines, f"trial int, {PARAMS}, mean_f1 double").orderBy(F.desc("mean_f1"), "trial")
+    lines = _search(df, features, label, None, row, total, trials, folds, patience, budget,
+                    lambda t: Objective("focal", pos_weight=t.pos_weight), counts, f1, lambda s: -s)
+    return df.sparkSession.createDataFrame(lines, f"trial int, {PARAMS}, trained int, test_rows int, mean_f1 double").orderBy(F.desc("mean_f1"), "trial")
 
 
 def tune_regressor(
     df: DataFrame, features: Sequence[str], label: str, weight: str, row: str, total: str,
-    trials: Sequence[Trial], folds: int = 5,
+    trials: Sequence[Trial], folds: int = 5, patience: int = PATIENCE, budget: int | None = None,
 ) -> DataFrame:
-    """``(trial, params..., mean_msle)`` ordered best first; rows weighted while fitting."""
-    data = _prepared(df, features, [row, total, label, weight]).persist()
-
-    def score_fold(t: Trial, train: DataFrame, test: DataFrame) -> DataFrame:
-        model = boosted(GBTRegressor, t, label, weight, train, "squared")
-        return model.transform(test).select(F.col(label).alias("y"), F.greatest(F.col("prediction"), F.lit(0.0)).alias("p"))
-
-    def mean(scored: DataFrame) -> float:
-        per_fold = scored.groupBy("fold").agg(F.avg(squared_log_error(F.col("y"), F.col("p"))).alias("msle"))
-        return float(per_fold.agg(F.avg("msle")).first()[0])
-
-    lines = _search(data, trials, row, total, folds, score_fold, mean)
-    data.unpersist()
-    return df.sparkSession.createDataFrame(lines, f"trial int, {PARAMS}, mean_msle double").orderBy("mean_msle", "trial")
+    """``(trial, params..., trained, test_rows, mean_msle)`` ordered best first; rows weighted while fitting."""
+    def errors(t: Trial) -> Callable:
+        def run(m: np.ndarray, y: np.ndarray) -> np.ndarray:
+            known = ~np.isnan(y)
+            off = np.log1p(np.maximum(m[known], 0.0)) - np.log1p(y[known])
+            return np.array([(off ** 2).sum(), known.sum()])
+        return run
+
+    lines = _search(df, features, label, weight, row, total, trials, folds, patience, budget,
+                    lambda t: Objective("squared"), errors, lambda sums: float(sums[0] / sums[1]) if sums[1] else 0.0, lambda s: s)
+    return df.sparkSession.createDataFrame(lines, f"trial int, {PARAMS}, trained int, test_rows int, mean_msle double").orderBy("mean_msle", "trial")
 
 
 def balance_weight(df: DataFrame, label: str) -> float:

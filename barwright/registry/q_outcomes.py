@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import losses
 from ..functions.scalar import argmax, sigmoid, softmax
@@ -534,17 +534,46 @@ def full_matrix(spark, sf):
     return row_index(x, ["all"], ["date", "symbol"], F.date_trunc("day", "date"), total="n"), names
 
 
-@query("t1_tune_classifier")
+TRIALS = training.draw_trials(3, 3)
+#: Rounds of the trial that is left after the halvings; the whole search would use all of its rounds.
+BUDGET = 48
+TRIAL_INTS, TRIAL_DOUBLES = ["depth", "rounds", "min_rows", "leaves"], ["step", "subsample", "feature_share", "threshold", "pos_weight", "l1", "l2"]
+
+
+def trials_sql() -> str:
+    """The drawn trials, the rows that five folds test, and what must hold of any search."""
+    names = ["trial", *TRIAL_INTS, *TRIAL_DOUBLES]
+    lines = ", ".join("(" + ", ".join([str(i), *(str(getattr(t, n)) for n in TRIAL_INTS), *(f"{getattr(t, n)!r}::DOUBLE" for n in TRIAL_DOUBLES)]) + ")"
+                      for i, t in enumerate(TRIALS))
+    return I.BARS_SQL + f""",
+trials({', '.join(names)}) AS (VALUES {lines}),
+x AS (SELECT trials.*, CAST(5 * (n // 6) AS INT) AS test_rows, TRUE AS in_order, TRUE AS in_range, TRUE AS in_budget FROM trials, (SELECT count(*) AS n FROM bars))"""
+
+
+def searched(found, score: str, least: float, most: float, falling: bool):
+    """The trials of a search, with checks of their order, scores and rounds instead of the scores."""
+    w = Window.orderBy("_place")  # one row per trial
+    s, before = F.col(score), F.lag(score).over(w)
+    x = found.withColumn("_place", F.monotonically_increasing_id())
+    fits = (before >= s) if falling else (before <= s)
+    return rounded(x.select("trial", *TRIAL_INTS, *TRIAL_DOUBLES, "test_rows", F.coalesce(fits, F.lit(True)).alias("in_order"),
+                            s.between(least, most).alias("in_range"), F.col("trained").between(1, BUDGET).alias("in_budget")))
+
+
+TRIALS_SQL = finish(trials_sql(), "x", ["trial", *TRIAL_INTS, "test_rows", "in_order", "in_range", "in_budget"], TRIAL_DOUBLES)
+
+
+@query("t1_tune_classifier", TRIALS_SQL)
 def t1(spark, sf):
     rows, names = full_matrix(spark, sf)
-    return training.tune_classifier(rows, names, "y", "row_index", "n", training.draw_trials(3, 3))
+    return searched(training.tune_classifier(rows, names, "y", "row_index", "n", TRIALS, budget=BUDGET), "mean_f1", 0.0, 1.0, True)
 
 
-@query("t2_tune_regressor")
+@query("t2_tune_regressor", TRIALS_SQL)
 def t2(spark, sf):
     rows, names = full_matrix(spark, sf)
     names = [n for n in names if n not in ("close", "price_last")]  # the target itself
-    return training.tune_regressor(rows, names, "close", "w", "row_index", "n", training.draw_trials(3, 3))
+    return searched(training.tune_regressor(rows, names, "close", "w", "row_index", "n", TRIALS, budget=BUDGET), "mean_msle", 0.0, 10.0, False)
 
 
 @query("t_fold_profile", finish(I.HOURLY_SQL + UP + """,

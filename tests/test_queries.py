@@ -20,8 +20,8 @@ def test_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()) == ""
 
 
-def test_only_seeded_and_training_queries_have_no_sql():
-    assert set(QUERIES) - set(SQL) == {"t1_tune_classifier", "t2_tune_regressor"}
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_has_rows(spark):
