@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -29,6 +30,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def released(spark: SparkSession) -> None:
+    """Have the files of shuffles that no live table needs removed now.
+
+    Spark removes them when the driver's JVM collects what refers to them, which with a roomy heap may be long after the
+    step; jobs of many steps would keep all their shuffles on disk till then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column | None = None) -> Column:
     """The fold that no model learns from: crc32 of the id as text, modulo 5, is 0."""
     doc_id = F.col("doc_id") if doc_id is None else doc_id

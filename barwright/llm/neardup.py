@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import gathered, mix64, texts
+from .common import gathered, mix64, released, texts
 from .components import components
 from .decontaminate import words_of
 
@@ -238,6 +238,8 @@ def can_link(now: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size and kept."""
+    spark = docs.sparkSession
+    released(spark)
     marks = cut_lineage(signed(docs, bands, rows))
     heads = marks.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("node"))
     members = cut_lineage(marks.join(heads, ["same_a", "same_b"]).withColumn(
@@ -253,11 +255,14 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     links = verified(pairs, shelf, threshold)
     placed = components(links)
     buckets = buckets.select("key", "node")
+    del pairs, links
     for turn in (0, 1):
+        released(spark)
         now = buckets.join(placed, "node", "left").select(
             *buckets.columns, F.coalesce("component", "node").alias("component"))
         if turn == 0:
             buckets = can_link(now, shelf, threshold)
+            released(spark)
             now = buckets
             buckets = buckets.select("key", "node", "shared", "total", "most")
         counts = now.groupBy("key").agg(
@@ -288,6 +293,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
             ).filter(F.array_min(F.array_intersect("keys", "its_keys")) == F.col("key"))  # in the first bucket they share
             more = verified(pairs.select(F.col("node").alias("a"), F.col("its_node").alias("b")).distinct(), shelf, threshold)
         placed = components(placed.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        del more
+    released(spark)
     classed = members.join(placed, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     sizes = classed.groupBy(F.col("class_id").alias("its")).agg(F.count(F.lit(1)).alias("class_size"))
     return classed.join(sizes, F.col("class_id").eqNullSafe(F.col("its"))).select(
