@@ -1,10 +1,10 @@
 """Cumulative-sum change detection and other ordered replays.
 
 The samplers reset themselves, so each row depends on the whole past.  Rows are exchanged by
-series, sorted, and streamed through a small kernel that keeps only the running sums: memory
-does not grow with the series.  For a series too long for one task, ``cusum_in_blocks`` splits
-it: because an incoming sum is either clamped, fired or merely shifted, a block's effect on it
-is a short piecewise table, and only those tables are chained.
+series, sorted, and streamed through a small kernel that keeps only the running sums and jumps from
+fire to fire (``operators.jumps``): memory does not grow with the series.  For a series too long for one task,
+``cusum_in_blocks`` splits it: an incoming sum is either cleared, fired or merely shifted, so a block's effect on it
+is a short table, and only those tables are chained.
 """
 
 from __future__ import annotations
@@ -18,15 +18,19 @@ from pyspark.sql import types as T
 
 from ..functions.over import Layout
 from ..functions.scalar import dbl, flag
+from ..session import cut_lineage
+from .blocks import in_blocks
+from .fit import with_quantiles
+from .jumps import after_block, block_effect, either, upward
 
 
 def replay(
     df: DataFrame, ly: Layout, inputs: Sequence[str], outputs: Sequence[str],
-    start: Callable[[], list], step: Callable[..., Sequence[int]],
+    start: Callable[[], list], kernel: Callable[..., np.ndarray],
 ) -> DataFrame:
-    """Stream each series in order through ``step(state, *inputs) -> flags``.
+    """Stream each series in order through ``kernel(state, *inputs) -> flags``, a stretch of rows at a time.
 
-    ``step`` mutates ``state`` (a short list of numbers).
+    ``kernel`` gets arrays, mutates ``state`` (a short list of numbers) and returns a column per output.
     """
     fields = [f for f in df.schema.fields if f.name not in outputs]
     schema = T.StructType(fields + [T.StructField(o, T.IntegerType()) for o in outputs])
@@ -38,12 +42,14 @@ def replay(
             if rows.empty:
                 continue
             out = np.zeros((len(rows), len(outputs)), dtype="int32")
-            ids = list(rows[keys].itertuples(index=False, name=None))
             values = rows[list(inputs)].to_numpy(float)
-            for i in range(len(rows)):
-                if ids[i] != current:
-                    current, state = ids[i], start()
-                out[i] = step(state, *values[i])
+            ids = rows[keys]
+            begins = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy() | (np.arange(len(rows)) == 0))
+            for a, z in zip(begins, [*begins[1:], len(rows)]):
+                key = tuple(ids.iloc[a])
+                if key != current:
+                    current, state = key, start()
+                out[a:z] = kernel(state, *values[a:z].T).reshape(z - a, len(outputs))
             result = rows[names].copy()
             for j, name in enumerate(outputs):
                 result[name] = out[:, j]
@@ -52,25 +58,21 @@ def replay(
     return df.repartition(*keys).sortWithinPartitions(*keys, *ly.order).mapInPandas(run, schema)
 
 
+def both_sides(state: list, steps: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Fires of the sum upwards and of the one downwards; for a limit that is not negative the two never fire together."""
+    up, state[0] = upward(steps, limit, state[0])
+    down, state[1] = upward(-steps, limit, state[1])
+    return np.stack([up, down], axis=1)
+
+
 def cusum_flags_resetting(df: DataFrame, ly: Layout, column: str, threshold: float) -> DataFrame:
     """Up/down flags of the sums of (x - series mean); only the side that fired resets."""
+    if threshold < 0:
+        raise ValueError("threshold must not be negative")
     centred = df.withColumn("_dev", dbl(column) - F.avg(dbl(column)).over(ly.whole()))
     outputs = [f"{column}_cusum_up_flag", f"{column}_cusum_down_flag"]
-    limit = float(threshold)
-
-    def step(state, dev):
-        # A missing reading keeps the sum it would have been compared with: max(0, nan) is 0.
-        state[0] = max(0.0, state[0] + dev) if dev == dev else 0.0
-        state[1] = min(0.0, state[1] + dev) if dev == dev else 0.0
-        if state[0] > limit:
-            state[0] = 0.0
-            return 1, 0
-        if state[1] < -limit:
-            state[1] = 0.0
-            return 0, 1
-        return 0, 0
-
-    return replay(centred, ly, ["_dev"], outputs, lambda: [0.0, 0.0], step).drop("_dev")
+    kernel = lambda state, dev: both_sides(state, dev, np.full(len(dev), float(threshold)))
+    return replay(centred, ly, ["_dev"], outputs, lambda: [0.0, 0.0], kernel).drop("_dev")
 
 
 def add_cusum_flags(df: DataFrame, ly: Layout, thresholds: Mapping[str, float]) -> DataFrame:
@@ -85,21 +87,8 @@ def cusum_events(df: DataFrame, ly: Layout, column: str, quantile: float) -> Dat
     moved = df.withColumn("_d", ly.diff(dbl(column)))
     moved = moved.withColumn("_limit", F.percentile(F.abs("_d"), F.lit(quantile)).over(ly.whole()))
 
-    def step(state, d, limit):
-        if not state[2]:  # the first row only sets the origin
-            state[2] = 1
-            return (0,)
-        state[0] = max(0.0, state[0] + d) if d == d else 0.0
-        state[1] = min(0.0, state[1] + d) if d == d else 0.0
-        if state[0] > limit:
-            state[0] = 0.0
-            return (1,)
-        if state[1] < -limit:
-            state[1] = 0.0
-            return (1,)
-        return (0,)
-
-    found = replay(moved, ly, ["_d", "_limit"], ["_event"], lambda: [0.0, 0.0, 0], step)
+    kernel = lambda state, d, limit: both_sides(state, d, limit).any(axis=1)  # the first row has no difference
+    found = replay(moved, ly, ["_d", "_limit"], ["_event"], lambda: [0.0, 0.0], kernel)
     return found.filter("_event = 1").drop("_d", "_limit", "_event")
 
 
@@ -113,18 +102,13 @@ def cusum_events_adaptive(
         "threshold", F.lit(base) + F.lit(factor) * F.coalesce(ly.std("_r", window), F.lit(0.0))
     )
 
-    def step(state, d, limit):
-        if not state[2]:
-            state[2] = 1
-            return (1,)
-        state[0] = max(0.0, state[0] + d) if d == d else 0.0
-        state[1] = min(0.0, state[1] + d) if d == d else 0.0
-        if state[0] > limit or state[1] < -limit:
-            state[0] = state[1] = 0.0
-            return (1,)
-        return (0,)
-
-    kept = replay(limited, ly, ["_d", "threshold"], ["_event"], lambda: [0.0, 0.0, 0], step)
+    def kernel(state: list, d: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        first = int(not state[2])  # kept without a look at the sums
+        fires, state[0], state[1] = either(d[first:], limit[first:], state[0], state[1])
+        state[2] = 1
+        return np.concatenate([np.ones(first, bool), fires])
+
+    kept = replay(limited, ly, ["_d", "threshold"], ["_event"], lambda: [0.0, 0.0, 0], kernel)
     return kept.filter("_event = 1").drop("_p", "_r", "_d", "_event")
 
 
@@ -137,15 +121,21 @@ def latch(
         return df.withColumn(out, ly.latch(dbl(column), enter, leave, mode))
     sign = 1.0 if mode == "high" else -1.0
 
-    def step(state, v):
-        if v == v:
-            if not state[0] and sign * v >= sign * enter:
-                state[0] = 1
-            elif state[0] and sign * v <= sign * leave:
-                state[0] = 0
-        return (state[0],)
+    def kernel(state: list, v: np.ndarray) -> np.ndarray:
+        """Beyond both levels a reading decides, between crossed ones it flips the switch."""
+        on, off = sign * v >= sign * enter, sign * v <= sign * leave
+        decides = np.flatnonzero(on != off)
+        flips = np.concatenate([[0], np.cumsum(on & off)])
+        last = np.searchsorted(decides, np.arange(len(v)), side="right") - 1  # the latest decision up to a row
+        known = last >= 0
+        base, since = np.full(len(v), int(state[0])), flips[1:].copy()
+        base[known] = on[decides[last[known]]]
+        since[known] -= flips[decides[last[known]] + 1]
+        now = (base + since) % 2
+        state[0] = int(now[-1])
+        return now
 
-    return replay(df, ly, [column], [out], lambda: [0], step)
+    return replay(df, ly, [column], [out], lambda: [0], kernel)
 
 
 def drift_flags(ly: Layout, x, mean, limit) -> tuple[Column, Column]:
@@ -161,88 +151,45 @@ def drift_flags(ly: Layout, x, mean, limit) -> tuple[Column, Column]:
 # ---- one long series -------------------------------------------------------
 
 def cusum_in_blocks(
-    df: DataFrame, series: Sequence[str], deviation: str, threshold: float,
+    df: DataFrame, series: Sequence[str], deviation: str, threshold: float | str,
     up: str, down: str, row: str = "row_index", block_rows: int = 4096,
 ) -> DataFrame:
     """Resetting sums of ``deviation`` (no missing values) for a series of any length.
 
     The two sides never interact for a non-negative threshold.  For one side a block maps an
-    incoming sum s to: the block's own outcome from 0 when s was clamped or fired on the way,
-    or s plus a shift.  The values that still matter form breakpoints kept in a short table.
+    incoming sum s to: the block's own outcome from 0 when s was cleared or fired on the way,
+    or s plus a shift.  Where that happens depends on the new lows and highs of the block's running total.
+
+    ``threshold`` may name a column that is constant in a series; where it is NULL nothing fires.
     """
-    if threshold < 0:
+    if not isinstance(threshold, str) and threshold < 0:
         raise ValueError("threshold must not be negative")
-    limit = float(threshold)
-    keyed = df.withColumn("_block", F.floor(F.col(row) / F.lit(block_rows)).cast("long"))
+    bar = F.coalesce(F.col(threshold), F.lit(float("inf"))) if isinstance(threshold, str) else F.lit(float(threshold))
+    keyed = df.withColumns({"_block": F.floor(F.col(row) / F.lit(block_rows)).cast("long"), "_bar": bar.cast("double")})
     names = [*series, "_block"]
-
-    def transfer(steps: np.ndarray) -> tuple[list[float], list[float], float, float, float]:
-        """Effect on an incoming sum in [0, limit]: pieces that ended as constants, and the
-        open interval (lo, hi] still shifted by ``shift``."""
-        lo, hi, shift = 0.0, limit, 0.0  # incoming sums in [lo, hi] are still only shifted
-        live = True
-        edges: list[tuple[float, float, int]] = []  # (from, to, class)
-        values: list[float] = []  # current value of each class
-        for d in steps:
-            fresh: list[tuple[float, float]] = []
-            values = [v + d for v in values]
-            dead = [i for i, v in enumerate(values) if v <= 0.0 or v > limit]
-            if live:
-                shift += d
-                if hi + shift <= 0.0 or lo + shift > limit:
-                    fresh.append((lo, hi))
-                    live = False
-                else:
-                    if lo + shift <= 0.0:
-                        fresh.append((lo, -shift))
-                        lo = np.nextafter(-shift, np.inf)
-                    if hi + shift > limit:
-                        cut = limit - shift
-                        fresh.append((np.nextafter(cut, np.inf), hi))
-                        hi = cut
-            if fresh or dead:
-                target = dead[0] if dead else len(values)
-                if not dead:
-                    values.append(0.0)
-                for i in dead:
-                    values[i] = 0.0
-                edges = [(a, b, target if k in dead else k) for a, b, k in edges]
-                edges += [(a, b, target) for a, b in fresh]
-        table = sorted((a, b, values[k]) for a, b, k in edges)
-        return [t[1] for t in table], [t[2] for t in table], lo if live else 1.0, hi if live else 0.0, shift
-
-    def apply(table, s: float) -> float:
-        tops, outs, lo, hi, shift = table
-        if lo <= s <= hi:
-            return s + shift
-        return outs[min(int(np.searchsorted(tops, s, side="left")), len(outs) - 1)]
-
     sides = {"u": 1.0, "d": -1.0}
+    parts = ("low", "low_at", "low_end", "high", "high_at", "high_end", "total")
     fields = [keyed.schema[n] for n in names]
-    doubles = T.ArrayType(T.DoubleType())
-    summary_schema = T.StructType(fields + [
-        T.StructField(f"{s}_{part}", doubles) for s in sides for part in ("tops", "outs", "live")
-    ])
+    summary_schema = T.StructType(fields + [keyed.schema["_bar"]] + [T.StructField(f"{s}_{p}", T.ArrayType(T.DoubleType())) for s in sides for p in parts])
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        steps = rows.sort_values(row)[deviation].to_numpy(float)
-        record = {n: rows[n].iloc[0] for n in names}
+        steps, limit = rows.sort_values(row)[deviation].to_numpy(float), float(rows["_bar"].iloc[0])
+        record = {n: rows[n].iloc[0] for n in (*names, "_bar")}
         for s, sign in sides.items():
-            tops, outs, lo, hi, shift = transfer(sign * steps)
-            record |= {f"{s}_tops": tops, f"{s}_outs": outs, f"{s}_live": [lo, hi, shift]}
+            record |= {f"{s}_{p}": v for p, v in block_effect(sign * steps, limit).items()}
         return pd.DataFrame([record])
 
-    summary = keyed.select(*names, row, deviation).groupBy(*names).applyInPandas(summarise, summary_schema)
+    summary = keyed.select(*names, row, deviation, "_bar").groupBy(*names).applyInPandas(summarise, summary_schema)
     carry_schema = T.StructType(fields + [T.StructField(f"_{s}", T.DoubleType()) for s in sides])
 
     def chain(blocks: pd.DataFrame) -> pd.DataFrame:
         blocks = blocks.sort_values("_block", ignore_index=True)
-        result = blocks[names].copy()
+        result, limit = blocks[names].copy(), float(blocks["_bar"].iloc[0])
         for s in sides:
-            state, carried = 0.0, []
-            for tops, outs, live in zip(blocks[f"{s}_tops"], blocks[f"{s}_outs"], blocks[f"{s}_live"]):
-                carried.append(state)
-                state = apply((tops, outs, *live), state)
+            entering, carried = 0.0, []
+            for effect in blocks[[f"{s}_{p}" for p in parts]].itertuples(index=False):
+                carried.append(entering)
+                entering = after_block(dict(zip(parts, effect)), entering, limit)
             result[f"_{s}"] = carried
         return result
 
@@ -252,14 +199,21 @@ def cusum_in_blocks(
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(row, ignore_index=True)
-        result = rows[[f.name for f in kept]].copy()
+        result, steps, limit = rows[[f.name for f in kept]].copy(), rows[deviation].to_numpy(float), float(rows["_bar"].iloc[0])
         for (s, sign), name in zip(sides.items(), (up, down)):
-            total, flags = float(rows[f"_{s}"].iloc[0]), np.zeros(len(rows), dtype="int32")
-            for i, d in enumerate(sign * rows[deviation].to_numpy(float)):
-                total = max(0.0, total + d)
-                if total > limit:
-                    flags[i], total = 1, 0.0
-            result[name] = flags
+            result[name] = upward(sign * steps, np.full(len(steps), limit), float(rows[f"_{s}"].iloc[0]))[0].astype("int32")
         return result
 
     return keyed.join(carry, names).groupBy(*names).applyInPandas(finish, out_schema)
+
+
+def cusum_events_in_blocks(
+    df: DataFrame, series: Sequence[str], column: str, quantile: float, row: str = "row_index", block_rows: int = 4096,
+) -> DataFrame:
+    """``cusum_events`` for series of any length (no missing values); the limit of a series comes from an exact quantile
+    without a series in one task."""
+    moved = cut_lineage(in_blocks(df, series, row, lambda d, ly: d.withColumn("_d", ly.diff(dbl(column))), 1, 0, block_rows))
+    x = with_quantiles(moved, series, {"move": F.abs(F.col("_d"))}, {"limit": quantile})
+    x = x.withColumns({"_limit": F.col("_q_move.limit"), "_step": F.coalesce("_d", F.lit(0.0))}).drop("_q_move", "_d")
+    found = cusum_in_blocks(x, series, "_step", "_limit", "_up", "_down", row, block_rows)
+    return found.filter("_up = 1 OR _down = 1").drop("_step", "_limit", "_up", "_down")

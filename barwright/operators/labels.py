@@ -251,15 +251,23 @@ def sequences(
 
 def sequence_table(
     samples: DataFrame, series: Sequence[str], features: Sequence[str], strategies: DataFrame | None = None,
-    cluster: str = "cluster_id",
+    cluster: str = "cluster_id", start: str = "start_ts",
 ) -> DataFrame:
-    """Long table: one row per (sample, step) with an hour-based time index, the sample's
-    target, cluster and strategy; noise (-1) and missing (-2) clusters are left out."""
-    w = Window.partitionBy(*series).orderBy("start_ts")
-    hours = (F.unix_seconds(F.col("start_ts")) - F.unix_seconds(F.min("start_ts").over(Window.partitionBy(*series))))
+    """Long table: one row per (sample, step) with a time index, the sample's target, cluster
+    and strategy; noise (-1) and missing (-2) clusters are left out.
+
+    The index of a step counts from its sample's ``start``: hours since the first start of the series where that is
+    a timestamp, the number itself (without its fraction) where it is one.
+    """
+    w = Window.partitionBy(*series).orderBy(start)
+    if isinstance(samples.schema[start].dataType, (T.TimestampType, T.TimestampNTZType)):
+        at = lambda c: F.unix_seconds(c.cast("timestamp"))
+        base = F.floor((at(F.col(start)) - at(F.min(start).over(Window.partitionBy(*series)))) / F.lit(3600)).cast("long")
+    else:
+        base = F.col(start).cast("long")
     tagged = samples.withColumns({
         "group_id": (F.row_number().over(w) - 1).cast("string"),
-        "_base": F.floor(hours / F.lit(3600)).cast("long"),
+        "_base": base,
         "original_cluster_id": F.coalesce(F.col(cluster), F.lit(-2)) if cluster in samples.columns else F.lit(-2),
     })
     tagged = tagged.filter(~F.col("original_cluster_id").isin(-1, -2))

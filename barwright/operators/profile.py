@@ -4,44 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 VALUE_AREA_SHARE = 0.7
 
 
-def volume_bins(
-    df: DataFrame, series: Sequence[str], low: str = "low", high: str = "high", volume: str = "volume_USD",
-    num_bins: int = 20,
+def _span_and_vwap(df: DataFrame, series: Sequence[str], low: str, high: str, price: str | None, volume: str) -> DataFrame:
+    """First read of the bars: price range, and the volume-weighted mean price where a price is given."""
+    v = F.col(volume).cast("double")
+    weighted = [] if price is None else [F.try_divide(F.sum(F.col(price).cast("double") * v), F.sum(v)).alias("vwap"), F.sum(v).alias("_weight")]
+    return df.groupBy(*series).agg(
+        F.min(F.col(low)).cast("double").alias("_lo"), F.max(F.col(high)).cast("double").alias("_hi"), *weighted)
+
+
+def _filled_bins(
+    df: DataFrame, span: DataFrame, series: Sequence[str], low: str, high: str, price: str | None, volume: str, num_bins: int,
 ) -> DataFrame:
-    """``(series, bin, lower, upper, volume)`` for equal bins over the price range.
+    """Second read: every bin with its volume, and the bin's part of the weighted squares around ``vwap`` (``_square``).
 
-    A row counts with its full volume in every bin its range overlaps (open comparisons).
-    The bins a row can touch follow from arithmetic on its range, so rows expand by at most
-    ``num_bins`` and are summed map-side before the exchange; empty bins are kept.
+    A row adds its volume at the first bin that its range overlaps (open comparisons) and takes it off behind the last;
+    running sums over the bins give the volumes.  A row makes two entries however many bins it covers, and they are
+    summed map-side before the exchange.
     """
     n = F.lit(num_bins)
-    span = df.groupBy(*series).agg(
-        F.min(F.col(low)).cast("double").alias("_lo"), F.max(F.col(high)).cast("double").alias("_hi")
-    )
     step = (F.col("_hi") - F.col("_lo")) / n
     edge = lambda i: F.when(i >= n, F.col("_hi")).otherwise(F.col("_lo") + i * step)
-    rows = df.select(*series, F.col(low).cast("double").alias("_l"), F.col(high).cast("double").alias("_h"),
-                     F.col(volume).cast("double").alias("_v")).join(span, list(series))
-    guess = lambda c: F.floor(F.try_divide(F.col(c) - F.col("_lo"), step)).cast("int")
-    first = F.greatest(F.coalesce(guess("_l"), F.lit(0)) - 1, F.lit(0))
-    last = F.least(F.coalesce(guess("_h"), n) + 1, n - 1)
-    hit = rows.withColumn("bin", F.explode(F.sequence(F.least(first, last), last))).filter(
-        (F.col("_l") < edge(F.col("bin") + 1)) & (F.col("_h") > edge(F.col("bin")))
-    )
-    sums = hit.groupBy(*series, "bin").agg(F.sum("_v").alias("_sum"))
+    guess = lambda c: F.coalesce(F.floor(F.try_divide(F.col(c) - F.col("_lo"), step)).cast("int"), F.lit(0))
+    square = F.lit(0.0) if price is None else F.pow(F.col(price).cast("double") - F.col("vwap"), F.lit(2.0)) * F.col(volume).cast("double")
+    rows = df.join(span, list(series)).select(
+        *series, "_lo", "_hi", F.col(low).cast("double").alias("_l"), F.col(high).cast("double").alias("_h"),
+        F.col(volume).cast("double").alias("_v"), square.alias("_square"))
+    rows = rows.withColumns({"_f": guess("_l"), "_t": guess("_h")})  # right but for rounding at an edge
+    f, t = F.col("_f"), F.col("_t")
+    first = F.greatest(F.when(edge(f) > F.col("_l"), f - 1).when(edge(f + 1) > F.col("_l"), f).otherwise(f + 1), F.lit(0))
+    last = F.least(F.when(edge(t) >= F.col("_h"), t - 1).when(edge(t + 1) < F.col("_h"), t + 1).otherwise(t), n - 1)
+    rows = rows.withColumns({"_first": first, "_last": last})
+    hit = F.col("_l").isNotNull() & F.col("_h").isNotNull() & (F.col("_first") <= F.col("_last"))
+    entry = lambda at, value, square: F.struct(at.alias("bin"), value.alias("_add"), square.alias("_square"))
+    entries = F.when(hit, F.array(entry(F.col("_first"), F.col("_v"), F.col("_square")), entry(F.col("_last") + 1, -F.col("_v"), F.lit(0.0)))).otherwise(
+        F.array(entry(F.lit(0), F.lit(0.0), F.col("_square"))))
+    sums = rows.select(*series, F.explode(entries).alias("_e")).groupBy(*series, F.col("_e.bin").alias("bin")).agg(
+        F.sum("_e._add").alias("_add"), F.sum("_e._square").alias("_square"))
     all_bins = span.withColumn("bin", F.explode(F.sequence(F.lit(0), n - 1)))
+    upto = Window.partitionBy(*series).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per bin
+    bin_ = F.col("bin")
     return all_bins.join(sums, [*series, "bin"], "left").select(
-        *series, "bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"),
-        F.coalesce(F.col("_sum"), F.lit(0.0)).alias("volume"),
-    )
+        *series, "bin", edge(bin_).alias("lower"), edge(bin_ + 1).alias("upper"),
+        F.coalesce(F.sum("_add").over(upto), F.lit(0.0)).alias("volume"), "_square",
+        *([] if price is None else ["vwap", "_weight"]))
 
 
-def bin_statistics(bins: DataFrame, series: Sequence[str]) -> DataFrame:
+def volume_bins(
+    df: DataFrame, series: Sequence[str], low: str = "low", high: str = "high", volume: str = "volume_USD",
+    num_bins: int = 20,
+) -> DataFrame:
+    """``(series, bin, lower, upper, volume)`` for equal bins over the price range.
+
+    A row counts with its full volume in every bin its range overlaps (open comparisons); empty bins are kept.
+    """
+    span = _span_and_vwap(df, series, low, high, None, volume)
+    return _filled_bins(df, span, series, low, high, None, volume, num_bins).drop("_square")
+
+
+def bin_statistics(bins: DataFrame, series: Sequence[str], *more: Column) -> DataFrame:
     """Mean/max/deviation over bins, point of control, value area bounds.
 
     Ties go to the lower bin for the point of control and to the higher bin in the value
@@ -62,6 +87,7 @@ def bin_statistics(bins: DataFrame, series: Sequence[str]) -> DataFrame:
         F.min_by("_mid", F.struct(-F.col("volume"), F.col("bin"))).alias("poc_price"),
         F.max(inside).alias("vah_price"),
         F.min(inside).alias("val_price"),
+        *more,
     )
 
 
@@ -80,8 +106,11 @@ def vwap(
     return spread
 
 
-def volume_profile(df: DataFrame, series: Sequence[str], num_bins: int = 20, **columns: str) -> DataFrame:
-    """One row per series with the bin statistics and VWAP."""
-    bins = volume_bins(df, series, num_bins=num_bins, **{k: v for k, v in columns.items() if k != "close"})
-    prices = vwap(df, series, columns.get("close", "close"), columns.get("volume", "volume_USD"))
-    return bin_statistics(bins, series).join(prices, list(series))
+def volume_profile(
+    df: DataFrame, series: Sequence[str], num_bins: int = 20, low: str = "low", high: str = "high", volume: str = "volume_USD", close: str = "close",
+) -> DataFrame:
+    """One row per series with the bin statistics and VWAP, from two reads of the bars."""
+    span = _span_and_vwap(df, series, low, high, close, volume)
+    bins = _filled_bins(df, span, series, low, high, close, volume, num_bins)
+    spread = F.sqrt(F.try_divide(F.sum("_square"), F.first("_weight")))
+    return bin_statistics(bins, series, F.first("vwap").alias("vwap"), spread.alias("vwap_std"))

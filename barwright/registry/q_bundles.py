@@ -327,6 +327,15 @@ def b4(spark, sf):
     return rounded(x.select("series_id", "date", *[n.strip('"') for n in (*ACT_INTS, *ACT_DOUBLES)]))
 
 
+@query("b4_activity_features_default", finish(I.ACTIVITY_SQL + ACT, "act", ["series_id", "date", *ACT_INTS], ACT_DOUBLES))
+def b4_default(spark, sf):
+    """As a caller has it who leaves the defaults: a column that is mostly missing goes first, so that its rows stay."""
+    given = I.activity(spark, sf).withColumn("seldom", F.when(F.dayofmonth("date") % 4 == 0, F.col("total_flow_sum")))
+    x = onchain.activity_features(given, I.SERIES)
+    assert "seldom" not in x.columns
+    return rounded(x.select("series_id", "date", *[n.strip('"') for n in (*ACT_INTS, *ACT_DOUBLES)]))
+
+
 SA = Win("series_id")
 OPT_SRC = I.ACTIVITY_SQL + """,
 opt AS MATERIALIZED (

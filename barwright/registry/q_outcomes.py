@@ -180,23 +180,38 @@ def l9_times(spark, sf):
     return rounded(L.window_statistics(stat_source(spark, sf), I.BARS, [], 20, times=["date"]), 3)
 
 
-@query("l10_sequence_table", f"""WITH {SEQ},
-s0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_ts) - 1 AS g,
-         CAST((epoch(start_ts) - epoch(min(start_ts) OVER (PARTITION BY symbol))) // 3600 AS BIGINT) AS base FROM sq WHERE k = 20),
-s1 AS (SELECT *, CASE WHEN g % 5 = 4 THEN NULL ELSE CAST(g % 5 - 1 AS INT) END AS c FROM s0)
+def sequence_sql(base: str) -> str:
+    return f"""WITH {SEQ},
+s0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_ts) - 1 AS g, epoch(start_ts) - epoch(min(start_ts) OVER (PARTITION BY symbol)) AS passed
+       FROM sq WHERE k = 20),
+s1 AS (SELECT *, CASE WHEN g % 5 = 4 THEN NULL ELSE CAST(g % 5 - 1 AS INT) END AS c, CAST({base} AS BIGINT) AS base FROM s0)
 SELECT symbol, CAST(g AS VARCHAR) AS group_id, base + t AS time_idx, CAST(y AS DOUBLE) AS target, cl[t + 1] AS close, vl[t + 1] AS volume,
        c AS original_cluster_id, coalesce(r_name, 'unknown') AS strategy_name
 FROM s1 CROSS JOIN generate_series(0, 19) q(t) LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 2) ON r_regionkey = c
-WHERE coalesce(c, -2) NOT IN (-1, -2)""")
-def l10(spark, sf):
-    from pyspark.sql import Window
+WHERE coalesce(c, -2) NOT IN (-1, -2)"""
+
 
+def clustered(spark, sf):
+    """Samples with their number, every fifth without a cluster, and the names of two clusters."""
     g = F.row_number().over(Window.partitionBy("symbol").orderBy("start_ts")) - 1
     samples = seq(spark, sf).withColumn("_g", g).withColumn(
-        "cluster_id", F.when(F.col("_g") % 5 == 4, None).otherwise((F.col("_g") % 5 - 1).cast("int"))).drop("_g")
+        "cluster_id", F.when(F.col("_g") % 5 == 4, None).otherwise((F.col("_g") % 5 - 1).cast("int")))
     names = I.table(spark, sf, "region").filter("r_regionkey < 2").select(
         F.col("r_regionkey").cast("int").alias("cluster_id"), F.col("r_name").alias("strategy_name"))
-    return L.sequence_table(samples, KEY, ["close", "volume"], names)
+    return samples, names
+
+
+@query("l10_sequence_table", sequence_sql("passed // 3600"))
+def l10(spark, sf):
+    samples, names = clustered(spark, sf)
+    return L.sequence_table(samples.drop("_g"), KEY, ["close", "volume"], names)
+
+
+@query("l10_sequence_table_by_number", sequence_sql("floor(g * 2.5::DOUBLE)"))
+def l10_by_number(spark, sf):
+    samples, names = clustered(spark, sf)
+    numbered = samples.withColumn("start_row", F.col("_g") * F.lit(2.5)).drop("_g", "start_ts")
+    return L.sequence_table(numbered, KEY, ["close", "volume"], names, start="start_row")
 
 
 @query("l11_walk_forward_folds", f"""WITH {I.HOURLY_SQL},
@@ -512,6 +527,27 @@ def e2(spark, sf):
     return rounded(train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))))
 
 
+CHANGED_SQL = CHAIN_SQL + f""",
+h0 AS (SELECT symbol, date, CASE WHEN date < DATE '2024-01-20' THEN 'train' ELSE 'test' END AS part, close FROM c1),
+h1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, part ORDER BY date) AS rn, close - avg(close) OVER (PARTITION BY symbol, part) AS v FROM h0),
+r(symbol, part, rn, pos, neg, up, down) AS (
+  SELECT symbol, part, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0, 0 FROM h1 GROUP BY symbol, part
+  UNION ALL
+  SELECT symbol, part, rn, CASE WHEN p > 2 THEN 0.0 ELSE p END, CASE WHEN p <= 2 AND n < -2 THEN 0.0 ELSE n END, CAST(p > 2 AS INT), CAST(p <= 2 AND n < -2 AS INT)
+  FROM (SELECT h1.symbol, h1.part, h1.rn, greatest(0.0, r.pos + v) AS p, least(0.0, r.neg + v) AS n
+        FROM r JOIN h1 ON h1.symbol = r.symbol AND h1.part = r.part AND h1.rn = r.rn + 1)),
+x AS (SELECT part, symbol, date, up AS close_cusum_up_flag, down AS close_cusum_down_flag FROM r JOIN h1 USING (symbol, part, rn))"""
+
+
+@query("e2_change_flags_after_split", finish(CHANGED_SQL, "x", ["part", "symbol", "date", "close_cusum_up_flag", "close_cusum_down_flag"], []))
+def e2_change_flags(spark, sf):
+    base = I.hourly(spark, sf).select("symbol", "date", "close", "volume")
+    x = pipeline.with_labels(pipeline.with_slow_series(base, [(slow_level(spark, sf), "level")], KEY, "date"), I.BARS)
+    halves = pipeline.split_and_scale(x, I.BARS, "2024-01-20", ["labels_1h", "labels_3h", "labels_6h"], change_columns=["close"])
+    train, test = (h.withColumn("part", F.lit(n)) for n, h in zip(("train", "test"), halves))
+    return train.unionByName(test).select("part", "symbol", "date", "close_cusum_up_flag", "close_cusum_down_flag")
+
+
 def matrix(spark, sf):
     h = I.hourly(spark, sf).withColumns({
         "y": L.direction_label(I.BARS, "close"), "f1": I.BARS.diff("close"), "f2": I.BARS.mean("close", 6, 1), "f3": F.col("volume"),

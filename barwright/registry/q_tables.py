@@ -11,6 +11,7 @@ from ..operators.bars import BAR_COLUMNS, ticks_to_bars
 from ..plans.price import date_features
 from ..session import scratch_dir
 from ..sources import tables as src
+from ..sources.bar_store import read_store, refresh_bars
 from ..streaming.ingest import ingest_changed_files, ingest_new_files, read_current, read_ingested
 from . import inputs as I
 from .core import finish, query, rounded
@@ -59,6 +60,38 @@ def s3(spark, sf):
     return rounded(src.cached_bars(spark, folder, rebuilt, ["symbol"]))
 
 
+def replace_file(spark, old: str, rows) -> None:
+    """Put rows in the place of one file, under its old name."""
+    corrected = scratch_dir(spark, "corrected")
+    rows.coalesce(1).write.parquet(corrected)
+    new = spark.read.parquet(corrected).inputFiles()[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path(old), False)
+    files.rename(path(new), path(old))
+
+
+@query("s3_bar_store", BARS_OUT)
+def s3_store(spark, sf):
+    """Bars by day from daily files: first without the last days and with a wrong file, then with a late and a mended one."""
+    t = I.ticks(spark, sf).withColumn("part", F.date_format("timestamp", "yyyy-MM-dd"))
+    source, folder = scratch_dir(spark, "trades"), scratch_dir(spark, "bar-store")
+    schema = t.drop("part").schema
+    read = lambda paths: spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths)
+    days = sorted(r[0] for r in t.select("part").distinct().collect())
+    late, wrong = days[len(days) // 3], days[len(days) // 2]
+    on = lambda day: F.col("part") == day
+    early = t.filter(~on(late)).withColumn("qty", F.when(on(wrong), F.col("qty") + 1).otherwise(F.col("qty")))
+    early.repartition("part").write.partitionBy("part").parquet(source)
+    assert refresh_bars(spark, source, folder, read, ["symbol"]) == [d for d in days if d != late]
+    t.filter(on(late)).coalesce(1).write.mode("append").partitionBy("part").parquet(source)
+    listed = spark.read.parquet(f"{source}/part={wrong}").inputFiles()[0]
+    replace_file(spark, listed, t.filter(on(wrong)).drop("part"))
+    assert refresh_bars(spark, source, folder, read, ["symbol"]) == sorted([late, wrong]), "other days must stay as they are"
+    assert refresh_bars(spark, source, folder, read, ["symbol"]) == []
+    return rounded(read_store(spark, folder).select("symbol", "date", *BAR_COLUMNS))
+
+
 @query("s4_read_activity_csv", """
 SELECT CAST(o_orderdate AS TIMESTAMP) AS date, o_orderpriority AS cex_name, round(o_totalprice, 2) AS total_flow,
        CAST(1 AS INT) AS address_count FROM orders""")
@@ -95,17 +128,11 @@ SELECT symbol, count(*) AS n, sum(CASE WHEN symbol = 3 THEN qty + 1 ELSE qty END
 def s5_rewritten(spark, sf):
     """One file per symbol; after the first run one file is rewritten under its old name."""
     t = I.ticks(spark, sf)
-    source, target, corrected = (scratch_dir(spark, n) for n in ("landing", "table", "corrected"))
-    fs = spark._jvm.org.apache.hadoop.fs
-    for symbol in range(8):
-        t.filter(F.col("symbol") == symbol).coalesce(1).write.parquet(f"{source}/{symbol}")
+    source, target = scratch_dir(spark, "landing"), scratch_dir(spark, "table")
+    t.withColumn("part", F.col("symbol")).repartition("part").write.partitionBy("part").parquet(source)
     first = ingest_changed_files(spark, source, target, t.schema)
-    old = spark.read.parquet(f"{source}/3").inputFiles()[0]
-    t.filter("symbol = 3").withColumn("qty", F.col("qty") + 1).coalesce(1).write.parquet(corrected)
-    new = spark.read.parquet(corrected).inputFiles()[0]
-    files = fs.Path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(fs.Path(old), False)
-    files.rename(fs.Path(new), fs.Path(old))
+    old = spark.read.parquet(f"{source}/part=3").inputFiles()[0]
+    replace_file(spark, old, t.filter("symbol = 3").withColumn("qty", F.col("qty") + 1))
     second = ingest_changed_files(spark, source, target, t.schema)
     again = ingest_changed_files(spark, source, target, t.schema)
     assert (first, second, again) == (8, 1, 0), "each version of a file must be taken once"

@@ -10,6 +10,7 @@ from ..functions.scalar import clip as sclip, dbl, flag as sflag, ratio as srati
 from ..operators import cusum, fit
 from ..operators.align import row_index
 from ..operators.blocks import ffill_in_blocks, in_blocks, latch_in_blocks, windows_in_blocks
+from ..operators.expanding import expanding_quantile_in_blocks
 from ..operators.linear import atr_in_blocks, ema_in_blocks, macd_in_blocks, rsi_in_blocks, seeded_ema_in_blocks
 from ..operators.scan import Atr, Ema, Macd, Rsi, RunningQuantile, SeededEma, scan
 from . import inputs as I
@@ -77,6 +78,16 @@ simple("w11_expanding_quantile", {"median": B.expanding("v", 0.5, 24), "q20": B.
        lambda h: scan(gappy(h).select("symbol", "date", "v"), LY,
                       [RunningQuantile("v", "median", 0.5, 24), RunningQuantile("v", "q20", 0.2, 100)]),
        prior=GAPPY, source="gappy")
+
+
+@query("w11_expanding_quantile_in_blocks", finish(I.HOURLY_SQL + GAPPY + f", x AS (SELECT symbol, date, {B.expanding('v', 0.5, 24)} AS median FROM gappy)", "x",
+                                                  ["symbol", "date"], ["median"]))
+def w11_blocks(spark, sf):
+    h = row_index(I.hourly(spark, sf).select("symbol", "date", "close", "volume"), ["symbol"], ["date"], F.date_trunc("day", "date"))
+    x = expanding_quantile_in_blocks(gappy(h).select("symbol", "date", "row_index", "v"), ["symbol"], "v", "median", 0.5, 24, block_rows=64)
+    return rounded(x.select("symbol", "date", "median"))
+
+
 MEANS = f", m AS (SELECT symbol, date, volume, {B.mean('close', 6, 3)} AS r FROM hourly)"
 FR = B.last(6)
 VARIES = (f"max(CASE WHEN r IS NOT NULL THEN volume END) {FR} > min(CASE WHEN r IS NOT NULL THEN volume END) {FR} "
@@ -498,6 +509,12 @@ def f7(spark, sf):
     return cusum.cusum_events(I.hourly(spark, sf).select("symbol", "date", "close"), LY, "close", 0.9)
 
 
+@query("f7_cusum_event_sampler_in_blocks", "WITH RECURSIVE " + EVENT_SQL)
+def f7_blocks(spark, sf):
+    x = cusum.cusum_events_in_blocks(indexed(spark, sf).drop("volume"), ["symbol"], "close", 0.9, block_rows=64)
+    return x.select("symbol", "date", "close")
+
+
 ADAPT_SQL = HEAD + f""",
 c AS (SELECT symbol, rn, date, close, chg, {B.pct('close')} AS pc FROM base),
 d AS MATERIALIZED (SELECT *, 0.01 + 0.5 * coalesce({B.std('pc', 50)}, 0.0) AS th FROM c),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +37,37 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
-SOURCE = "_source"
+SOURCE, RUN = "_source", "_run"
+KNOWN = ["path", "modificationTime", "length"]
+#: Source files that one write takes; their paths are all that the driver holds.
+FILES_PER_WRITE = 10_000
 
 
-def _listing(spark: SparkSession, source: str) -> DataFrame:
+def listing(spark: SparkSession, source: str) -> DataFrame:
     """Path, modification time and size of every source file; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(
-        "path", "modificationTime", "length", F.sha2("path", 256).alias(SOURCE))
+        *KNOWN, F.sha2("path", 256).alias(SOURCE))
+
+
+def changed_files(spark: SparkSession, source: str, log: str) -> DataFrame:
+    """The listed files whose latest entry in the log, if any, has another time or size."""
+    found = listing(spark, source)
+    if path_exists(spark, log):
+        latest = spark.read.parquet(log).groupBy("path").agg(F.max(F.struct("turn", *KNOWN[1:])).alias("_l"))
+        found = found.join(latest.select("path", *[F.col(f"_l.{c}").alias(c) for c in KNOWN[1:]]), KNOWN, "left_anti")
+    return cut_lineage(found)
+
+
+def next_turn(spark: SparkSession, log: str) -> int:
+    return spark.read.parquet(log).agg(F.max("turn")).first()[0] + 1 if path_exists(spark, log) else 0
+
+
+def read_files(spark: SparkSession, files: DataFrame, schema: T.StructType, fmt: str, options: dict) -> Iterator[DataFrame]:
+    """Rows of the listed files with their source key, some files at a time."""
+    paths = (r.path for r in files.select("path").toLocalIterator())
+    while some := list(islice(paths, FILES_PER_WRITE)):
+        rows = spark.read.format(fmt).schema(schema).options(recursiveFileLookup=True, **options).load(some)
+        yield rows.withColumn(SOURCE, F.sha2(F.col("_metadata.file_path"), 256))
 
 
 def ingest_changed_files(
@@ -47,26 +75,24 @@ def ingest_changed_files(
 ) -> int:
     """Bring new and rewritten files of ``source`` into the table at ``target``; returns their number.
 
-    A file is known by path, modification time and size.  The rows of a source file form one partition of the
-    table, so those of a rewritten file replace the old ones.  The manifest is appended after the rows are in
-    place: a run that dies midway takes the same files again and overwrites its own work.
+    A file is known by path, modification time and size.  Rows are appended in a few files per run, with the key of
+    their source file and of the run; the log names the runs that hold the live rows of every source file and is
+    appended after them.  What a run that died left behind is in no log and never read; the next one takes the same
+    files again.
     """
-    manifest = f"{target.rstrip('/')}_manifest"
-    found = _listing(spark, source)
-    known = ["path", "modificationTime", "length"]
-    if path_exists(spark, manifest):
-        found = found.join(spark.read.parquet(manifest).select(*known), known, "left_anti")
-    found = cut_lineage(found)
-    paths = [r.path for r in found.select("path").toLocalIterator()]  # the files of this run
-    if not paths:
+    log = f"{target.rstrip('/')}_log"
+    found = changed_files(spark, source, log)
+    count = found.count()
+    if not count:
         return 0
-    rows = spark.read.format(fmt).schema(schema).options(**options).load(paths)
-    rows = rows.withColumn(SOURCE, F.sha2(F.col("_metadata.file_path"), 256))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE).parquet(target)
-    found.select(*known).write.mode("append").parquet(manifest)
-    return len(paths)
+    run = uuid.uuid4().hex
+    for rows in read_files(spark, found, schema, fmt, options):
+        rows.withColumn(RUN, F.lit(run)).write.mode("append").parquet(target)
+    found.withColumns({RUN: F.lit(run), "turn": F.lit(next_turn(spark, log)).cast("long")}).write.mode("append").parquet(log)
+    return count
 
 
 def read_current(spark: SparkSession, target: str) -> DataFrame:
-    """The table of ``ingest_changed_files`` without its file key."""
-    return spark.read.parquet(target).drop(SOURCE)
+    """The table of ``ingest_changed_files``: of every source file the rows of its latest logged run, without the keys."""
+    live = spark.read.parquet(f"{target.rstrip('/')}_log").groupBy(SOURCE).agg(F.max_by(RUN, "turn").alias(RUN))
+    return spark.read.parquet(target).join(live, [SOURCE, RUN], "left_semi").drop(SOURCE, RUN)
