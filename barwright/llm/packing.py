@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import gathered, texts
-from .tokens import encoder
+from .tokens import encoded, encoder
 
 CAPACITY = 1024
 MAX_SEGMENTS = 256
@@ -109,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ma
         encode = encoder(tokenizer).encode
         sequences = TaskContext.get().partitionId() << 40
         for b in gathered(batches, limit=BLOCK_BYTES):
-            ids, bounds = with_end(*encode(b.column("text")), end_id)
+            ids, bounds = with_end(*encoded(encode, b.column("text")), end_id)
             lengths = np.diff(bounds)
             prompts = b.column("prompt").to_numpy(zero_copy_only=False) if prompt_tokens else np.zeros(len(lengths), np.int64)
             example, start, length, sequence, offset = pack(lengths, prompts, capacity, max_segments, max_loss).T
@@ -121,6 +121,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ma
                 pa.array(lengths[example]), pa.array(sequence + sequences), pa.array(offset),
             ], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             sequences += int(sequence.max()) + 1
+            del ids, raw
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

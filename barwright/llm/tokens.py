@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 from .common import utf8_views, worker_state
 
+#: Bytes of text encoded at once.
+PORTION_BYTES = 4 << 20
 #: Pieces remembered per worker; beyond it the memory starts anew, which changes no result.
 MEMORY_PIECES = 1_000_000
 #: Starts a piece that continues the one before it without a space.
@@ -135,6 +137,15 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
+def encoded(encode, column: pa.Array, limit: int = PORTION_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of a column that is encoded some texts at a time, which bounds what the encoder holds."""
+    upto = np.cumsum(np.asarray(pc.binary_length(column)).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(upto // limit, append=-1)) + 1 if len(upto) else np.zeros(0, np.int64)
+    parts = [encode(column.slice(a, z - a)) for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)] if len(cuts) else [encode(column)]
+    sizes = np.concatenate([np.diff(b) for _, b in parts])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     return worker_state(f"encoder:{path}", lambda: Encoder(path))
