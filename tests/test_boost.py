@@ -1,8 +1,11 @@
 """Boosting that continues from stored margins, against one that stores nothing and against a plain fit."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from barwright.functions.losses import focal_gradient, focal_hessian, focal_loss
@@ -106,3 +109,25 @@ def test_few_rows(spark, rows):
     one = rows.limit(1).withColumns({"row": F.lit(0).cast("long"), "n": F.lit(1).cast("long")})
     for df in (one, rows.filter("false")):
         assert len(training.tune_classifier(df, FEATURES, "y", "row", "n", training.draw_trials(2, 1, 3), folds=2).collect()) == 2
+
+
+def sent_in_a_round(monkeypatch, rows, label, spec, block_rows):
+    """Bytes that come to the driver while a tree grows."""
+    monkeypatch.setattr(boost, "BLOCK_ROWS", block_rows)
+    grown, sent, collect = Boosting(rows, FEATURES, label, "w", "row", [spec]), [], RDD.collect
+
+    def heard(self):
+        found = collect(self)
+        sent.append(len(pickle.dumps(found)))
+        return found
+
+    with monkeypatch.context() as m:
+        m.setattr(RDD, "collect", heard)
+        grown.round([0])
+    assert len(grown.trees[0][0].feature) > 5
+    return sum(sent), len(grown.trees[0][0].feature)
+
+
+def test_regressor_sends_only_best_cuts_to_the_driver(rows, monkeypatch):
+    one, many = (sent_in_a_round(monkeypatch, rows, "z", SPECS[1], n) for n in (900, 100))
+    assert many[0] <= one[0] * 1.05 and many[0] < 1000 * many[1]
