@@ -37,3 +37,32 @@ def test_memory_starts_anew(monkeypatch):
     for text in ("a b c d", "e f g h i j k l", "a b", "x a y"):
         ids, _ = mine.encode(pa.array([text]))
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_new_pieces_go_to_the_library_together(name):
+    path = public_tokenizers.path(name)
+    mine, library, asked = Encoder(path), Tokenizer.from_file(path), []
+    plain = mine.plain
+    mine.plain = lambda texts: (asked.extend(texts), plain(texts))[1]
+    rng = random.Random(5)
+    signs = "abcdefgXYZ019'-<é日Σß"
+    words = sorted({"".join(rng.choice(signs) for _ in range(rng.randint(1, 7))) for _ in range(2000)})
+    text = " ".join(words)
+    ids, _ = mine.encode(pa.array([text]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= len(words) // 64 + 2
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_whose_bytes_change_are_encoded_alone(name):
+    """The lower case of İ has another number of bytes, and so has a letter with its accent composed."""
+    path = public_tokenizers.path(name)
+    mine, library = Encoder(path), Tokenizer.from_file(path)
+    words = [f"a{i}" for i in range(200)]
+    words[70], words[140], words[199] = "xİy", "béc", "İİ"
+    for text in (" ".join(words), "start " + " ".join(words[::-1]) + " </w> x</w>y end", "q " + "Ωm Åk " * 80 + "z"):
+        ids, _ = mine.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        ids, _ = mine.encode(pa.array([text]))  # now from the memory
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids

@@ -128,6 +128,11 @@ def sent_in_a_round(monkeypatch, rows, label, spec, block_rows):
     return sum(sent), len(grown.trees[0][0].feature)
 
 
+def test_classifier_sends_only_best_cuts_to_the_driver(rows, monkeypatch):
+    one, many = (sent_in_a_round(monkeypatch, rows, "y", SPECS[0], n) for n in (900, 100))
+    assert many[0] <= one[0] * 1.05 and many[0] < 1000 * many[1]
+
+
 def test_regressor_sends_only_best_cuts_to_the_driver(rows, monkeypatch):
     one, many = (sent_in_a_round(monkeypatch, rows, "z", SPECS[1], n) for n in (900, 100))
     assert many[0] <= one[0] * 1.05 and many[0] < 1000 * many[1]
