@@ -6,12 +6,16 @@ between two visible characters, before a full stop or comma that follows a Latin
 line feed between two visible characters.  Texts are cut there, each distinct piece is encoded by the library
 once per worker, and a text's ids are gathered from its pieces.  A text with any other kind of space between
 pieces (doubled, at an end, next to an invisible character) is encoded whole.
+
+New pieces that start and end with a visible character go to the library many at a time, joined by the spaces they start
+with.  Where a piece's ids end is told by the bytes that the ids stand for, which are those of the normalized text; where
+bytes are missing or ids do not end with the pieces, these pieces are encoded one by one.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from .common import utf8_views, worker_state
 PORTION_BYTES = 4 << 20
 #: Pieces remembered per worker; beyond it the memory starts anew, which changes no result.
 MEMORY_PIECES = 1_000_000
+#: Pieces that the library encodes as one text.
+JOINED_PIECES = 64
 #: Starts a piece that continues the one before it without a space.
 JOINT = "\x01"
 #: Starts the memory's key of a piece at the start of a text.
@@ -34,8 +40,13 @@ def visible(c: str) -> bool:
     return c.isalnum() or "!" <= c <= "~"
 
 
-def edges(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each word starts and ends with a visible character (or at a joint)."""
+def spelled(words: pa.Array) -> list[str]:
+    """Words without a space as Python strings; a join and a split make them faster than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ")
+
+
+def edges(words: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word (``names`` are the same as Python strings) starts and ends with a visible character (or at a joint)."""
     offsets, data = utf8_views(words)
     first = np.zeros(len(words), np.uint8)
     last = np.zeros(len(words), np.uint8)
@@ -43,10 +54,12 @@ def edges(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[full], last[full] = data[offsets[:-1][full]], data[offsets[1:][full] - 1]
     start = (first > 32) & (first < 127) | (first == 1)
     end = (last > 32) & (last < 127)
-    for i in np.flatnonzero((first > 127) | (last > 127) | (last == 10)).tolist():
-        w = words[i].as_py()
-        start[i] |= visible(w[0])
-        end[i] = visible(w[-1]) or w == JOINT + "\n"
+    for i in np.flatnonzero(first > 127).tolist():
+        start[i] = visible(names[i][0])
+    for i in np.flatnonzero(last > 127).tolist():
+        end[i] = visible(names[i][-1])
+    for i in np.flatnonzero(last == 10).tolist():
+        end[i] = names[i] == JOINT + "\n"
     return start, end
 
 
@@ -58,6 +71,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes that an id stands for
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token.removesuffix(suffix))
+        said = self.widths[self.plain([" a b"])[0]].sum()
+        self.normalizer = self.tokenizer.normalizer
+        self.space = {4: 1, 2: 0}.get(int(said))  # whether the space before a piece is among its ids' bytes, if that can be told
         self.forget()
 
     def forget(self) -> None:
@@ -69,23 +90,78 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, lengths, known) of pieces that start with a space and are visible at both ends.  Where ``known`` is
+        false, the number of ids could not be told and there are none."""
+        n = len(words)
+        texts = [" " + " ".join(words[i:i + JOINED_PIECES]) for i in range(0, n, JOINED_PIECES)]
+        found = self.plain(texts)
+        sizes = np.array([len(x) for x in found], np.int64)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        text = np.arange(n) // JOINED_PIECES
+        counts = np.bincount(text)
+        lost = np.zeros(len(texts), bool)
+        said_words = words
+        if self.normalizer is not None:  # ids stand for the bytes of the normalized text
+            split = [self.normalizer.normalize_str(t).split(" ")[1:] for t in texts]
+            lost = np.array([len(x) for x in split]) != counts
+            said_words = list(chain.from_iterable(x if ok else words[i * JOINED_PIECES:(i + 1) * JOINED_PIECES] for i, (x, ok) in enumerate(zip(split, ~lost, strict=True))))
+        wide = np.asarray(pc.binary_length(pa.array(said_words, pa.string()))).astype(np.int64) + self.space
+        far = 1 + max(int(wide.sum()), int(self.widths[ids].sum()))  # apart the texts, so that no place in one is one in another
+        starts = np.arange(n) % JOINED_PIECES == 0
+        upto, said = np.cumsum(wide), np.cumsum(self.widths[ids])
+        of_id = np.repeat(np.arange(len(texts)), sizes)
+        first = np.cumsum(sizes) - sizes
+        ends = upto - (upto - wide)[starts][text] + text * far
+        places = said - np.concatenate([[0], said])[first][of_id] + of_id * far
+        last = np.searchsorted(places, ends)
+        right = (last < len(places)) & (places[np.minimum(last, len(places) - 1)] == ends) if len(places) else np.zeros(n, bool)
+        lost |= np.bincount(text[~right], minlength=len(texts)) > 0
+        lost |= np.bincount(of_id[self.widths[ids] == 0], minlength=len(texts)) > 0
+        lost |= last[np.cumsum(counts) - 1] + 1 != first + sizes  # ids never stand for more bytes than there are: if all are there, none is amiss
+        known = ~lost[text]
+        lengths = np.where(known, last + 1 - np.where(starts, first[text], np.concatenate([[0], last[:-1] + 1])), 0)
+        return ids[~lost[of_id]], lengths, known
+
+    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths): the ids of piece i are ids[starts[i]:starts[i] + lengths[i]]."""
+        n = len(words)
+        lengths, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        column = pa.array(words, pa.string())
+        at, data = utf8_views(column)
+        start, end = edges(column, words)
+        together = start & end & (data[at[:-1]] > 2) if self.space is not None else np.zeros(n, bool)
+        parts, size = [], 0
+        some = np.flatnonzero(together)
+        if len(some):
+            ids, count, known = self.joined([words[i] for i in some.tolist()])
+            lengths[some], starts[some] = count, np.cumsum(count) - count
+            together[some] = known
+            parts, size = [ids], len(ids)
+        rest = np.flatnonzero(~together)
+        encoded = self.plain([w[1:] if w[0] in (JOINT, HEAD) else " " + w for w in (words[i] for i in rest.tolist())])
+        count = np.array([len(e) for e in encoded], np.int64)
+        lengths[rest], starts[rest] = count, size + np.cumsum(count) - count
+        parts.append(np.fromiter(chain.from_iterable(encoded), np.uint32, int(count.sum())))
+        return np.concatenate(parts), starts, lengths
+
     def places(self, words: list[str]) -> np.ndarray:
         """Index in the memory of each word; a word stands for the piece that starts with a space, at a joint or,
         marked as a head, at the start of a text."""
-        find = self.known.get
-        at = np.array([find(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if (at < 0).any():
-            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0).tolist()))
+            unknown = np.flatnonzero(at < 0).tolist()
+            new = list(dict.fromkeys([words[i] for i in unknown]))
             if len(self.known) + len(new) > MEMORY_PIECES and self.known:
                 self.forget()
                 return self.places(words)
-            encoded = self.plain([w[1:] if w[0] in (JOINT, HEAD) else " " + w for w in new])
-            lengths = np.array([len(e) for e in encoded], np.int64)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            ids, starts, lengths = self.pieces(new)
+            base = len(self.known)
+            self.starts = np.concatenate([self.starts, len(self.ids) + starts])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            at[at < 0] = [self.known[words[i]] for i in np.flatnonzero(at < 0).tolist()]
+            self.ids = np.concatenate([self.ids, ids])
+            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+            at[unknown] = base + np.arange(len(new)) if len(new) == len(unknown) else [self.known[words[i]] for i in unknown]
         return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +169,22 @@ class Encoder:
         n = len(column)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        own_marks = pc.match_substring_regex(column, f"[{JOINT}{HEAD}]").to_numpy(zero_copy_only=False)
+        at, data = utf8_views(column)
+        data = data[at[0]:at[-1]]
+        if (data <= 2).any():
+            own_marks = pc.match_substring_regex(column, f"[{JOINT}{HEAD}]").to_numpy(zero_copy_only=False)
+        else:
+            own_marks = np.zeros(n, bool)
         marked = pc.replace_substring_regex(column, f"([{LATIN}])([.,])", rf"\1 {JOINT}\2")
-        marked = pc.replace_substring_regex(marked, f"([!-~{LATIN}])\n([!-~{LATIN}])", f"\\1 {JOINT}\n {JOINT}\\2")
+        if (data == 10).any():
+            marked = pc.replace_substring_regex(marked, f"([!-~{LATIN}])\n([!-~{LATIN}])", f"\\1 {JOINT}\n {JOINT}\\2")
         words = pc.split_pattern(marked, " ")
         offsets = words.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        good_start, good_end = edges(coded.dictionary)
+        distinct = spelled(coded.dictionary)
+        good_start, good_end = edges(coded.dictionary, distinct)
         bad = np.zeros(len(codes), bool)
         bad[1:] = ~(good_end[codes[:-1]] & good_start[codes[1:]])
         bad[offsets[:-1]] = False
@@ -109,7 +192,6 @@ class Encoder:
         used = np.ones(len(codes), bool)
         if whole.any():
             used = ~np.repeat(whole, np.diff(offsets))
-        distinct = coded.dictionary.to_pylist()
         inner = used.copy()
         inner[offsets[:-1]] = False
         wanted = np.zeros(len(distinct), bool)
