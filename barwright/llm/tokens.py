@@ -9,13 +9,15 @@ pieces (doubled, at an end, next to an invisible character) is encoded whole.
 
 New pieces that start and end with a visible character go to the library many at a time, joined by the spaces they start
 with.  Where a piece's ids end is told by the bytes that the ids stand for, which are those of the normalized text; where
-bytes are missing or ids do not end with the pieces, these pieces are encoded one by one.
+bytes are missing or ids do not end with the pieces, these pieces are encoded one by one.  Such texts are normalized once,
+here, and go to a copy of the tokenizer that does not normalize; those with an added token are left to the whole one.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from .common import utf8_views, worker_state
 
 #: Bytes of text encoded at once.
 PORTION_BYTES = 4 << 20
-#: Pieces remembered per worker; beyond it the memory starts anew, which changes no result.
+#: Pieces remembered per worker; beyond it those that were not asked for again are forgotten, which changes no result.
 MEMORY_PIECES = 1_000_000
 #: Pieces that the library encodes as one text.
 JOINED_PIECES = 64
@@ -40,6 +42,15 @@ def visible(c: str) -> bool:
     return c.isalnum() or "!" <= c <= "~"
 
 
+def keeps_ascii(rule: dict) -> bool:
+    """Whether a normalizer (as its file describes it) leaves every visible character and space of ASCII one byte."""
+    kind = rule.get("type")
+    if kind == "Sequence":
+        return all(map(keeps_ascii, rule["normalizers"]))
+    return kind in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (
+        kind == "Replace" and rule["pattern"] == {"Regex": "\\s+"} and rule["content"] == " ")
+
+
 def spelled(words: pa.Array) -> list[str]:
     """Words without a space as Python strings; a join and a split make them faster than one by one."""
     return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ")
@@ -63,6 +74,12 @@ def edges(words: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + lengths[i] - 1, for all i in turn."""
+    upto = np.cumsum(lengths)
+    return np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1])
+
+
 class Encoder:
     """ids of whole texts as one flat array with bounds."""
 
@@ -78,6 +95,13 @@ class Encoder:
             self.widths[i] = len(token.removesuffix(suffix))
         said = self.widths[self.plain([" a b"])[0]].sum()
         self.normalizer = self.tokenizer.normalizer
+        if self.normalizer is not None:
+            rule = json.loads(self.normalizer.__getstate__())
+            self.keeps_ascii, self.lowers = keeps_ascii(rule), '"Lowercase"' in json.dumps(rule)
+            self.bare = Tokenizer.from_file(path)  # for normalized texts
+            self.bare.normalizer = None
+            self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+            self.added += [self.normalizer.normalize_str(a) for a in self.added]
         self.space = {4: 1, 2: 0}.get(int(said))  # whether the space before a piece is among its ids' bytes, if that can be told
         self.forget()
 
@@ -86,26 +110,47 @@ class Encoder:
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # which pieces were asked for again
+
+    def tidy(self) -> None:
+        """Forgets the pieces that were not asked for again, or all where that would free less than half."""
+        keep = np.flatnonzero(self.again)
+        if not len(keep) or len(keep) > MEMORY_PIECES // 2 or len(keep) == len(self.known):
+            return self.forget()
+        self.known = dict(zip(compress(self.known, self.again.tolist()), range(len(keep)), strict=True))
+        self.ids = self.ids[spread(self.starts[keep], self.lengths[keep])]
+        self.lengths = self.lengths[keep]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.again = np.zeros(len(keep), bool)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def normalized(self, text: str) -> str:
+        if self.keeps_ascii and text.isascii() and text.isprintable():
+            return text.lower() if self.lowers else text
+        return self.normalizer.normalize_str(text)
+
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, lengths, known) of pieces that start with a space and are visible at both ends.  Where ``known`` is
         false, the number of ids could not be told and there are none."""
         n = len(words)
         texts = [" " + " ".join(words[i:i + JOINED_PIECES]) for i in range(0, n, JOINED_PIECES)]
-        found = self.plain(texts)
-        sizes = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         text = np.arange(n) // JOINED_PIECES
         counts = np.bincount(text)
         lost = np.zeros(len(texts), bool)
         said_words = words
         if self.normalizer is not None:  # ids stand for the bytes of the normalized text
-            split = [self.normalizer.normalize_str(t).split(" ")[1:] for t in texts]
+            raw, texts = texts, [self.normalized(t) for t in texts]
+            split = [t.split(" ")[1:] for t in texts]
             lost = np.array([len(x) for x in split]) != counts
+            lost |= [any(a in r or a in t for a in self.added) for r, t in zip(raw, texts, strict=True)]  # added tokens are told before normalizing
             said_words = list(chain.from_iterable(x if ok else words[i * JOINED_PIECES:(i + 1) * JOINED_PIECES] for i, (x, ok) in enumerate(zip(split, ~lost, strict=True))))
+            found = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            found = self.plain(texts)
+        sizes = np.array([len(x) for x in found], np.int64)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         wide = np.asarray(pc.binary_length(pa.array(said_words, pa.string()))).astype(np.int64) + self.space
         far = 1 + max(int(wide.sum()), int(self.widths[ids].sum()))  # apart the texts, so that no place in one is one in another
         starts = np.arange(n) % JOINED_PIECES == 0
@@ -133,6 +178,10 @@ class Encoder:
         together = start & end & (data[at[:-1]] > 2) if self.space is not None else np.zeros(n, bool)
         parts, size = [], 0
         some = np.flatnonzero(together)
+        if len(some) and self.normalizer is not None and self.keeps_ascii:  # pieces of visible ASCII share texts, since these need no normalizing
+            used = data[:at[-1]]
+            other = np.logical_or.reduceat((used < 33) | (used > 126), at[:-1])[some]
+            some = np.concatenate([some[~other], some[other]])
         if len(some):
             ids, count, known = self.joined([words[i] for i in some.tolist()])
             lengths[some], starts[some] = count, np.cumsum(count) - count
@@ -146,22 +195,24 @@ class Encoder:
         return np.concatenate(parts), starts, lengths
 
     def places(self, words: list[str]) -> np.ndarray:
-        """Index in the memory of each word; a word stands for the piece that starts with a space, at a joint or,
-        marked as a head, at the start of a text."""
+        """Index in the memory of each word, none of which is there twice; a word stands for the piece that starts with a
+        space, at a joint or, marked as a head, at the start of a text."""
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if (at < 0).any():
-            unknown = np.flatnonzero(at < 0).tolist()
-            new = list(dict.fromkeys([words[i] for i in unknown]))
+        missing = at < 0
+        self.again[at[~missing]] = True
+        if missing.any():
+            new = list(compress(words, missing.tolist()))
             if len(self.known) + len(new) > MEMORY_PIECES and self.known:
-                self.forget()
+                self.tidy()
                 return self.places(words)
             ids, starts, lengths = self.pieces(new)
             base = len(self.known)
             self.starts = np.concatenate([self.starts, len(self.ids) + starts])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            at[unknown] = base + np.arange(len(new)) if len(new) == len(unknown) else [self.known[words[i]] for i in unknown]
+            at[missing] = base + np.arange(len(new))
         return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,17 +249,17 @@ class Encoder:
         wanted[codes[inner]] = True
         wanted = np.flatnonzero(wanted)
         heads = offsets[:-1][~whole]
-        first = codes[heads]
+        first, of_head = np.unique(codes[heads], return_inverse=True)
         # One call, so that the memory cannot start anew in between.
         at = self.places([distinct[i] for i in wanted.tolist()] + [HEAD + distinct[i] for i in first.tolist()])
         place = np.zeros(len(distinct), np.int64)
         place[wanted] = at[:len(wanted)]
         piece = place[codes]
-        piece[heads] = at[len(wanted):]
+        piece[heads] = at[len(wanted):][of_head]
         piece = piece[used]
         lengths = self.lengths[piece] if len(piece) else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.starts[piece] - before[:-1], lengths) + np.arange(before[-1])] if len(piece) else self.ids[:0]
+        ids = self.ids[spread(self.starts[piece], lengths)] if len(piece) else self.ids[:0]
         upto = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(offsets)))])
         bounds = before[upto]
         if not whole.any():

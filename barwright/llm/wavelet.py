@@ -50,9 +50,9 @@ def build(ids: np.ndarray) -> dict:
         blocks = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK_BITS // 8), dtype=np.int64)
         planes.append(bits.tobytes())
         ranks.append((np.cumsum(blocks) - blocks).astype("<u4").tobytes())
-        low = now[~ones]
-        zeros.append(len(low))
-        now = np.concatenate([low, now[ones]])
+        zeros.append(len(now) - int(np.count_nonzero(ones)))
+        if level:  # compress: masks as irregular as these are several times slower as an index
+            now = np.concatenate([now.compress(~ones), now.compress(ones)])
     return {"alphabet": alphabet.tobytes(), "zeros": zeros, "planes": planes, "ranks": ranks}
 
 
@@ -124,8 +124,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             zeros = self.zeros[level]
             up = np.empty_like(values)
-            up[~ones] = values[:zeros]
-            up[ones] = values[zeros:] | values.dtype.type(1 << (len(self.zeros) - 1 - level))
+            up[np.flatnonzero(~ones)] = values[:zeros]  # faster than a mask as the index
+            up[np.flatnonzero(ones)] = values[zeros:] | values.dtype.type(1 << (len(self.zeros) - 1 - level))
             values = up
         return self.alphabet[values]
 
